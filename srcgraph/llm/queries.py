@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -12,6 +12,32 @@ def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def _joined(finds: str) -> Column:
+    """kind:start:end of an array of finds, comma-joined."""
+    return F.expr(f"array_join(transform({finds}, f -> concat_ws(':', f.kind, f.start, f.end)), ',')")
+
+
+def _digest(found: DataFrame, kinds: tuple[str, ...]) -> DataFrame:
+    """doc_id, the number of base finds of each kind, their digest and all spans."""
+    base = "filter(finds, f -> f.base)"
+    counts = [F.expr(f"cast(size(filter(finds, f -> f.base and f.kind = '{k}')) as long)").alias(f"n_{k}") for k in kinds]
+    return found.select("doc_id", *counts, F.sha2(_joined(base), 256).alias("base_sha256"), _joined("finds").alias("spans"))
+
+
+def op1_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Secrets in every document."""
+    from .secrets import KINDS, scan_secrets
+
+    return _digest(scan_secrets(_documents(spark, sf_dir)), KINDS)
+
+
+def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Personal data in every document."""
+    from .pii import KINDS, find_pii
+
+    return _digest(find_pii(_documents(spark, sf_dir)), KINDS)
+
+
 def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's byte-level BPE tokens, encoded and decoded again."""
     import public_tokenizers
@@ -37,6 +63,8 @@ def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_secrets": op1_secrets,
+    "op3_pii": op3_pii,
     "op4_bpe": op4_bpe,
     "op7_repetition": op7_repetition,
     "op9_mixing": op9_mixing,

@@ -24,10 +24,11 @@ from pyspark.sql import functions as F
 from .common import sliced
 from .words import Words, mix, windows
 
-#: Limits on the share of word characters within repeated n-grams, after published quality rules; fixed values.
-NGRAM_LIMITS = {5: 0.15, 6: 0.14, 7: 0.13, 8: 0.12, 9: 0.11, 10: 0.10}
+#: Limits on the share of word characters within repeated n-grams. Published rules for web pages take half of
+#: these; a short text of a few lines that repeats one line of boilerplate should pass.
+NGRAM_LIMITS = {5: 0.30, 6: 0.28, 7: 0.26, 8: 0.24, 9: 0.22, 10: 0.20}
 #: Limits on the share of repeated lines, and of characters in them.
-LINE_LIMIT, LINE_CHAR_LIMIT = 0.30, 0.20
+LINE_LIMIT, LINE_CHAR_LIMIT = 0.50, 0.30
 MIN_WORDS, MAX_REPEAT_PERCENT = 50, 50
 
 _SYMBOL = np.zeros(256, bool)
