@@ -98,8 +98,8 @@ SPELLED = {
 
 
 @functools.cache
-def _table() -> tuple[dict[int, str], re.Pattern]:
-    """Translation of look-alikes to ASCII, and a pattern that finds any of them or an invisible character."""
+def _table() -> tuple[dict[int, str], frozenset[str]]:
+    """Translation of look-alikes to ASCII, and all of them with the invisible characters."""
     table = {ord(a): b for a, b in LOOK_ALIKES.items()}
     for point in range(0xA1, 0x20000):
         c = chr(point)
@@ -107,7 +107,7 @@ def _table() -> tuple[dict[int, str], re.Pattern]:
             table[point] = str(unicodedata.digit(c))
         elif len(form := unicodedata.normalize("NFKC", c)) == 1 and "!" <= form <= "~":
             table[point] = form
-    return table, re.compile("[" + "".join(map(re.escape, sorted(map(chr, table)))) + INVISIBLE + "]")
+    return table, frozenset(map(chr, table)) | frozenset(INVISIBLE)
 
 
 _WORDS = "|".join(sorted(SPELLED, key=len, reverse=True))
@@ -119,7 +119,7 @@ _TOKENS = re.compile(
     r"|(?<=[A-Za-z0-9])\s{1,3}@\s{0,3}(?=[A-Za-z0-9])|(?<=[A-Za-z0-9])@\s{1,3}(?=[A-Za-z0-9]))"
     rf"|(?P<dot>{_OPEN}(?:dot|\.){_CLOSE}|(?<=[A-Za-z0-9])\s{{1,3}}dot\s{{1,3}}(?=[A-Za-z0-9]))"
     rf"|(?P<plus>(?<![A-Za-z0-9])plus\s{{1,3}}(?=(?:{_WORDS}|[0-9])))"
-    rf"|(?P<word>(?<![^\W_])(?P<digit>{_WORDS})(?![^\W_])(?:[\s,;-]{{1,3}}(?=(?:(?:{_WORDS})(?![^\W_])|[0-9])))?)"
+    rf"|(?P<word>(?<![^\W_])(?P<digit>{_WORDS})(?![^\W_])(?:[\s,-]{{1,3}}(?=(?:{_WORDS})(?![^\W_])))?)"
     rf"|(?P<gone>[{INVISIBLE}])",
     re.I,
 )
@@ -151,14 +151,14 @@ def normalise(text: str) -> tuple[str, list[tuple[int, int, int]]]:
 
 def disguised(text: str) -> bool:
     """Is there anything that the transducer would rewrite into an identifier?"""
-    if not text.isascii() and _table()[1].search(text):
+    if not text.isascii() and not _table()[1].isdisjoint(text):
         return True
     if ("(" in text or "[" in text or "{" in text or "<" in text) and _BRACKETED.search(text):
         return True
     low = text.lower()
     if " dot " in low or "\ndot " in low or " dot\n" in low or " @" in low or "@ " in low:
         return True
-    return sum(low.count(word) for word in SPELLED if len(word) > 2) >= 4 and len(_SPELLED_RUN.findall(low)) > 0
+    return bool(_SPELLED_RUN.search(low))
 
 
 #: Four spelled digits in a row, the dots of an address between them allowed.

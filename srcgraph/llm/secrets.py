@@ -102,9 +102,12 @@ def infer(words: Iterable[str], alpha: float = 0.05) -> Automaton:
                     todo.append((kids[p][symbol], kids[q][symbol]))
         return True
 
-    def fold(into: int, tree: int) -> None:
-        """Add a tree's counts to a state, and its children's to the state's children."""
-        todo = [(into, tree)]
+    def distance(a: int, b: int) -> float:
+        return sum(abs(flows[a].get(c, 0) / visits[a] - flows[b].get(c, 0) / visits[b]) for c in flows[a].keys() | flows[b].keys())
+
+    def fold(into: int, tree: int) -> list[tuple[int, str]]:
+        """Add a tree's counts to a state, and its children's to the state's; returns the edges that are new."""
+        todo, new = [(into, tree)], []
         while todo:
             p, q = todo.pop()
             visits[p] += visits[q]
@@ -115,6 +118,8 @@ def infer(words: Iterable[str], alpha: float = 0.05) -> Automaton:
                     todo.append((kids[p][symbol], kids[q][symbol]))
                 else:
                     kids[p][symbol] = kids[q][symbol]
+                    new.append((p, symbol))
+        return new
 
     settled, place = [0], {0}
     frontier = [(0, s) for s in sorted(kids[0])]
@@ -123,12 +128,12 @@ def infer(words: Iterable[str], alpha: float = 0.05) -> Automaton:
         state = kids[parent][symbol]
         if state in place:
             continue
-        for known in settled:
-            if compatible(known, state):
-                kids[parent][symbol] = known
-                fold(known, state)
-                frontier += [(known, s) for s in sorted(kids[known]) if kids[known][s] not in place]
-                break
+        # a rarely visited state is compatible with any other: it goes to the one that it resembles most
+        near = [(distance(known, state), -len(flows[known]), i) for i, known in enumerate(settled) if compatible(known, state)]
+        if near:
+            known = settled[min(near)[2]]
+            kids[parent][symbol] = known
+            frontier += [edge for edge in sorted(fold(known, state)) if edge[0] in place]
         else:
             settled.append(state)
             place.add(state)
@@ -175,7 +180,7 @@ def default_model() -> dict[str, Automaton]:
 
 
 #: What an unseen symbol costs, and the least log likelihood ratio of a find.
-UNSEEN, THRESHOLD = -10.0, 12.0
+UNSEEN, THRESHOLD = -10.0, 15.0
 
 
 def score(model: dict[str, Automaton], word: str) -> tuple[float, str]:
