@@ -47,6 +47,31 @@ def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_documents(_documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
+def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page written to WARC archives and read back through their index."""
+    from .warc import archive_round_trip
+
+    return archive_round_trip(spark.read.parquet(f"{sf_dir}/pages.parquet")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+OP5_SQL = """
+WITH p AS (SELECT page_id, coalesce(html, '') AS html FROM pages),
+     d AS (SELECT page_id, octet_length(encode(html)) AS payload_bytes, sha1(html) AS payload_digest FROM p),
+     g AS (SELECT *, max(page_id) OVER (PARTITION BY payload_digest) AS best FROM d)
+SELECT page_id, cast(payload_bytes AS BIGINT) AS payload_bytes, payload_digest,
+       CASE WHEN payload_bytes >= 1000 AND page_id IS DISTINCT FROM best THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN payload_bytes >= 1000 AND page_id IS DISTINCT FROM best THEN best END AS refers_to
+FROM g
+"""
+
+
+def op6_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's fingerprint, likened to that of its edited text and to the next document's."""
+    from .fingerprint import fingerprint_neighbours
+
+    return fingerprint_neighbours(_documents(spark, sf_dir))
+
+
 def op7_repetition(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's repetition measures and verdict."""
     from .repetition import score_repetition
@@ -66,8 +91,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_secrets": op1_secrets,
     "op3_pii": op3_pii,
     "op4_bpe": op4_bpe,
+    "op5_warc": op5_warc,
+    "op6_fingerprint": op6_fingerprint,
     "op7_repetition": op7_repetition,
     "op9_mixing": op9_mixing,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op5_warc": OP5_SQL}
