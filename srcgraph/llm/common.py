@@ -72,3 +72,41 @@ def per_text(fn: Callable[[str], tuple], names: list[str], types: list[pa.DataTy
                 yield pa.RecordBatch.from_arrays([part.column(i) for i in rest] + columns, names=[batch.schema.names[i] for i in rest] + names)
 
     return run
+
+
+def spread_join(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner", salts: int = 16) -> DataFrame:
+    """left joined with a smaller right that has one row a key; a key's left rows are dealt over `salts` tasks. Null keys don't meet."""
+    from pyspark.sql import functions as F
+
+    right = right.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    left = left.withColumn("_salt", F.pmod(F.xxhash64(*left.columns), F.lit(salts)).cast("int"))
+    return left.join(right, [*keys, "_salt"], how).drop("_salt")
+
+
+def components(edges: DataFrame) -> DataFrame:
+    """Connected components of edges(a, b): node, root (the least of the component), for nodes of edges between two.
+
+    Alternating large-star and small-star steps; each round is a table in the shared folder, and the
+    driver only sees a count and a checksum of it.
+    """
+    from pyspark.sql import functions as F
+
+    def put(df: DataFrame) -> tuple[DataFrame, tuple]:
+        df = settled(df.distinct(), "edges")
+        row = df.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
+        return df, tuple(row)
+
+    now, seen = put(edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")))
+    while seen[0]:
+        both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
+        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+        large = spread_join(both.where("v > u"), least, ["u"]).select(F.col("v").alias("u"), F.col("m").alias("v"))
+        large = large.distinct()
+        least = large.groupBy("u").agg(F.min("v").alias("m"))
+        small = spread_join(large, least, ["u"])
+        small = small.select("u", F.col("m").alias("v")).unionByName(small.select(F.col("v").alias("u"), F.col("m").alias("v"))).where("u <> v")
+        after, mark = put(small)
+        if mark == seen:
+            break
+        now, seen = after, mark
+    return now.select(F.col("u").alias("node"), F.col("v").alias("root"))
