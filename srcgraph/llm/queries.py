@@ -79,6 +79,15 @@ def op7_repetition(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_repetition(_documents(spark, sf_dir))
 
 
+def op8_lattice_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's log probability under the lattice-backed unigram model."""
+    import public_tokenizers
+
+    from .lattice_lm import score_documents
+
+    return score_documents(_documents(spark, sf_dir), public_tokenizers.path("piece_bpe_32k.model"))
+
+
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The words that the mix takes of every document."""
     from .mixing import mix_sources, quality_weights
@@ -101,6 +110,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_warc": op5_warc,
     "op6_fingerprint": op6_fingerprint,
     "op7_repetition": op7_repetition,
+    "op8_lattice_lm": op8_lattice_lm,
     "op9_mixing": op9_mixing,
     "op10_ngram_join": op10_ngram_join,
 }
