@@ -31,6 +31,13 @@ def op1_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _digest(scan_secrets(_documents(spark, sf_dir)), KINDS)
 
 
+def op2_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents with passages of more than 50 words that repeat in other documents."""
+    from .compact_windows import repeated_passages
+
+    return repeated_passages(_documents(spark, sf_dir))
+
+
 def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Personal data in every document."""
     from .pii import KINDS, find_pii
@@ -105,6 +112,7 @@ def op10_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_secrets": op1_secrets,
+    "op2_passages": op2_passages,
     "op3_pii": op3_pii,
     "op4_bpe": op4_bpe,
     "op5_warc": op5_warc,
