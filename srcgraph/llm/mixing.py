@@ -84,6 +84,19 @@ def mix_sources(docs: DataFrame, quality: DataFrame | None = None, seed: str = "
     return at.select("doc_id", "source", "size", "source_size", "target", (epochs * F.col("size") + sampled).cast("long").alias("taken"))
 
 
+def mix_copies(docs: DataFrame, quality: DataFrame | None = None, seed: str = "mix") -> DataFrame:
+    """docs(doc_id, text, source, ...) with each row as often as the mix takes it, parts of a document rounded.
+
+    Rows that repeat an id and source stand equally often.
+    """
+    columns = docs.columns
+    taken = mix_sources(docs, quality, seed)
+    copies = F.when(F.col("size") > 0, F.round(F.col("taken") / F.col("size"))).otherwise(0).cast("int")
+    each = taken.groupBy(F.col("doc_id").alias("_id"), F.col("source").alias("_source")).agg(F.round(F.avg(copies)).cast("int").alias("_copies"))
+    joined = docs.join(each.where("_copies > 0"), F.expr("doc_id <=> _id and cast(source as string) <=> _source"))
+    return joined.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select(*columns)
+
+
 def quality_weights(labels: DataFrame) -> DataFrame:
     """Quality weights from labels (doc_id, quality): good documents 2, others 0.5; unlabelled ones get 1."""
     return labels.select("doc_id", F.when(F.col("quality") == 1, 2.0).when(F.col("quality") == 0, 0.5).otherwise(1.0).alias("weight"))
