@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 from collections.abc import Callable, Iterable, Iterator
@@ -39,6 +40,12 @@ def settled(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def release(spark: SparkSession) -> None:
+    """Let Spark drop the shuffle files of frames that nothing refers to; else they wait for the driver's next collection."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def partitions(spark: SparkSession) -> int:
     """Partitions for an explicit shuffle."""
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
@@ -74,7 +81,7 @@ def per_text(fn: Callable[[str], tuple], names: list[str], types: list[pa.DataTy
     return run
 
 
-def spread_join(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner", salts: int = 16) -> DataFrame:
+def spread_join(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner", salts: int = 8) -> DataFrame:
     """left joined with a smaller right that has one row a key; a key's left rows are dealt over `salts` tasks. Null keys don't meet."""
     from pyspark.sql import functions as F
 

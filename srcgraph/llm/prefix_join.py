@@ -29,10 +29,10 @@ from collections.abc import Iterable, Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import components, partitions, settled, sliced, spread_join
+from .common import components, partitions, release, settled, sliced, spread_join
 from .words import BASE, Words, mix, windows
 
 #: Documents of a block (a token's documents are bytes), buckets for each partition, classes of half a unit.
@@ -77,6 +77,17 @@ def _unpack(raw: bytes) -> np.ndarray:
     return np.frombuffer(raw, "<u4", n).astype(np.uint64) | np.frombuffer(raw, np.uint8, n, 4 * n).astype(np.uint64) << np.uint64(32)
 
 
+def _pack6(token: np.ndarray) -> bytes:
+    """48 bits of each token's hash, sorted: enough to tell the tokens of one unit apart."""
+    token = np.sort(mix(token) >> np.uint64(16))
+    return (token & np.uint64(0xFFFFFFFF)).astype("<u4").tobytes() + (token >> np.uint64(32)).astype("<u2").tobytes()
+
+
+def _unpack6(raw: bytes) -> np.ndarray:
+    n = len(raw) // 6
+    return np.frombuffer(raw, "<u4", n).astype(np.uint64) | np.frombuffer(raw, "<u2", n, 4 * n).astype(np.uint64) << np.uint64(32)
+
+
 BLOCKS = "bucket int, block long, tokens binary, counts binary, docs binary, ids array<long>, sizes array<long>, digests binary, twins array<int>"
 _BLOCKS = pa.schema([("bucket", pa.int32()), ("block", pa.int64()), ("tokens", pa.binary()), ("counts", pa.binary()), ("docs", pa.binary()), ("ids", pa.list_(pa.int64())), ("sizes", pa.list_(pa.int64())), ("digests", pa.binary()), ("twins", pa.list_(pa.int32()))])
 
@@ -201,7 +212,7 @@ def _prefixes(percent: int):
                 length = size - -(-percent * size // 100) + 1
                 if size and twin == i and length > alone:
                     mine = token[first[i] : first[i + 1]]
-                    prefix, shared = mine[: length - alone].astype(np.int64), np.sort(mine).astype("<u8").tobytes()
+                    prefix, shared = mine[: length - alone].astype(np.int64), _pack6(mine)
                 key = f"{int(digests[i, 0]):016x}{int(digests[i, 1]):016x}{size:x}" if size else None
                 for c, v in zip(columns, (id, size, key, prefix, shared), strict=True):
                     c.append(v)
@@ -254,9 +265,10 @@ def _verify(percent: int):
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, rows in grouped(batches, 4):
+            rows = list({(r["key"], r["home"]): r for r in rows}.values())  # rows that repeat an id
             home = np.array([r["home"] for r in rows])
             if len(rows) > 1 and home.any():
-                sets = [np.frombuffer(r["shared"], "<u8") for r in rows]
+                sets = [_unpack6(r["shared"]) for r in rows]
                 found = forest(sets, np.array([r["n_shingles"] for r in rows]), home, percent)
                 if found:
                     yield pa.RecordBatch.from_arrays([pa.array([rows[e[i]]["key"] for e in found]) for i in (0, 1)], names=["a", "b"])
@@ -264,6 +276,14 @@ def _verify(percent: int):
     return run
 
 
+def _stars(posts: DataFrame, salts: int = 16) -> DataFrame:
+    """posts(grp, token) -> edges a, b that connect the groups of each token: a star in each part of the token, and one of the parts."""
+    part = Window.partitionBy("token", "part")
+    dealt = posts.withColumn("part", F.pmod(F.xxhash64("grp"), F.lit(salts)).cast("int")).withColumn("least", F.min("grp").over(part))
+    tops = dealt.where("grp = least").select("token", "least").withColumn("first", F.min("least").over(Window.partitionBy("token")))
+    return dealt.where("grp <> least").select(F.col("grp").alias("a"), F.col("least").alias("b")).unionByName(tops.where("least <> first").select(F.col("least").alias("a"), F.col("first").alias("b")))
+
+
 def jaccard_components(docs: DataFrame, n: int = 4, percent: int = 85, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_shingles, component_id for every row of docs."""
     spark = docs.sparkSession
@@ -272,25 +292,30 @@ def jaccard_components(docs: DataFrame, n: int = 4, percent: int = 85, id_col: s
     blocks = rows.mapInArrow(_blocks(n, p * BUCKETS_EACH), BLOCKS).repartition(p, "bucket").sortWithinPartitions("bucket")
     shared = blocks.mapInArrow(_count, SHARED).repartition(p, "block").sortWithinPartitions("block")
     table = settled(shared.mapInArrow(_prefixes(percent), DOCS), "ngram-sets")
+    del blocks, shared
+    release(spark)
 
     classes = table.where("key is not null").groupBy("key").agg(F.min("doc_id").alias("least"), F.count("*").alias("n"))
-    # one row with the set for each class; copies of it in other blocks have the same
-    wanted = table.where("prefix is not null").select("key", "n_shingles", "prefix", "shared", F.md5(F.concat_ws(",", F.col("n_shingles").cast("string"), F.col("prefix").cast("array<string>"))).alias("grp"))
-    sets = settled(wanted.dropDuplicates(["key"]), "ngram-classes")
-    posts = sets.select("grp", F.explode("prefix").alias("token")).distinct()
-    least = posts.groupBy("token").agg(F.min("grp").alias("least"), F.count("*").alias("n")).where("n > 1").drop("n")
-    clusters = components(spread_join(posts, least, ["token"]).select(F.col("grp").alias("a"), F.col("least").alias("b")))
+    wanted = table.where("prefix is not null")
+    # copies of a class in other blocks have the same set: its least row stands for it
+    sets = wanted.groupBy("key").agg(F.min(F.struct(F.coalesce("doc_id", F.lit(-1)).alias("id"), F.xxhash64("n_shingles", "prefix").alias("grp"), "n_shingles")).alias("s")).select("key", "s.*")
+    posts = wanted.select(F.xxhash64("n_shingles", "prefix").alias("grp"), F.explode("prefix").alias("token")).distinct()
+    clusters = components(_stars(posts))
     clusters = clusters.unionByName(clusters.select(F.col("root").alias("node"), "root").distinct()).select(F.col("node").alias("grp"), F.col("root").alias("cluster"))
 
     # groups alone in their cluster still hold classes with equal prefixes
-    placed = spread_join(sets.drop("prefix"), clusters, ["grp"], "left").withColumn("cluster", F.coalesce("cluster", "grp"))
+    placed = spread_join(sets, clusters, ["grp"], "left").withColumn("cluster", F.coalesce("cluster", "grp"))
     size = F.floor(F.log(F.col("n_shingles").cast("double")) / (math.log(100 / percent) * 1.0001)).cast("long")
-    placed = placed.withColumn("size", size).withColumn("level", F.explode(F.array(F.lit(0), F.lit(1)))).withColumn("home", F.col("level") == 0).withColumn("level", F.col("size") + F.col("level"))
+    placed = settled(placed.select("key", "id", "n_shingles", "cluster", size.alias("size")), "ngram-clusters")
+    placed = placed.withColumn("more", F.explode(F.array(F.lit(0), F.lit(1)))).withColumn("home", F.col("more") == 0).withColumn("level", F.col("size") + F.col("more"))
     units = placed.groupBy("cluster", "level").agg(F.count("*").alias("members"), F.max("home").alias("open")).where("members > 1 and open").select("cluster", "level", F.ceil(F.col("members") / UNIT).cast("int").alias("parts"))
     dealt = spread_join(placed, units, ["cluster", "level"]).withColumn("part", F.pmod(F.xxhash64("key"), F.col("parts")).cast("int"))
     dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-    dealt = dealt.select("cluster", "level", F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j"), "key", "n_shingles", "home", "shared")
-    dealt = dealt.repartition(p, "cluster", "level", "i", "j").sortWithinPartitions("cluster", "level", "i", "j")
+    dealt = dealt.select("cluster", "level", F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j"), "key", "n_shingles", "home", "id")
+    # the sets travel only now: once to their units' rows, once to the units
+    held = wanted.select("key", F.coalesce("doc_id", F.lit(-1)).alias("id"), "shared")
+    dealt = dealt.join(held, ["key", "id"]).drop("id").select("cluster", "level", "i", "j", "key", "n_shingles", "home", "shared")
+    dealt = dealt.repartition(p, "cluster", "level", "i", "j").sortWithinPartitions("cluster", "level", "i", "j", "key")
     links = components(settled(dealt.mapInArrow(_verify(percent), "a string, b string"), "ngram-links"))
 
     members = links.unionByName(links.select(F.col("root").alias("node"), "root").distinct())
