@@ -9,9 +9,9 @@ c / (N + V), and an unseen one V / (N + V) times its marginal. A text's probabil
 over its words and one end.
 
 Corpus counts travel packed: a block of documents sends each bucket its distinct words with
-training counts, and which document has which word how often; the bucket adds up the counts of all
-blocks, scores each word once, and returns sums per document. No table of words is collected or
-broadcast.
+training counts; the bucket adds up the counts of all blocks, scores each word once and returns
+both to the blocks that have the word; there they meet the list of which document has which word
+how often. No table of words is collected or broadcast.
 
 Defined results: null and empty texts consist of the end alone; repeated rows count again in
 training and are scored alike; without training documents every count is 0.
@@ -136,63 +136,58 @@ def _blocks(buckets: int):
         rank = np.empty(len(words), np.int64)
         rank[order] = np.arange(len(words))
         first = np.searchsorted(bucket[order], np.arange(buckets + 1))
-        at = rank[np.concatenate(places)] if words else np.zeros(0, np.int64)
-        entry = np.argsort(bucket[order][at], kind="stable") if words else at
-        at = at[entry]
-        doc = np.concatenate(docs)[entry] if words else np.zeros(0, np.uint16)
-        n = np.concatenate(times)[entry] if words else np.zeros(0, np.uint32)
-        cut = np.searchsorted(bucket[order][at], np.arange(buckets + 1))
-        total = np.array(counts, "<u4")[order] if words else np.zeros(0, "<u4")
+        total = np.array(counts, "<u4")[order]
         rows: dict[str, list] = {c: [] for c in _BLOCKS.names}
-        for b in np.unique(bucket):
-            s, e = first[b], first[b + 1]
-            x, y = cut[b], cut[b + 1]
-            values = (int(b), block, b"\n".join(words[k] for k in order[s:e]), total[s:e].tobytes(), doc[x:y].tobytes(), (at[x:y] - s).astype("<u4").tobytes(), n[x:y].astype("<u4").tobytes(), None, None, None)
+
+        def put(*values: object) -> None:
             for c, v in zip(rows, values, strict=True):
                 rows[c].append(v)
-        for c, v in zip(rows, (block % buckets, block, None, None, None, None, None, ids, held, sizes), strict=True):
-            rows[c].append(v)
+
+        for b in np.unique(bucket):
+            s, e = first[b], first[b + 1]
+            put(int(b), block, b"\n".join(words[k] for k in order[s:e]), total[s:e].tobytes(), None, None, None, None, None, None)
+        joined = lambda parts, kind: np.concatenate([*parts, np.zeros(0, np.int64)]).astype(kind).tobytes()
+        put(block % buckets, block, None, None, joined(docs, "<u2"), joined([rank[p] for p in places], "<u4"), joined(times, "<u4"), ids, held, sizes)
         return pa.RecordBatch.from_arrays([pa.array(rows[f.name], f.type) for f in _BLOCKS], schema=_BLOCKS)
 
     return run
 
 
-PARTS = "block long, vocabulary long, ids array<long>, held array<boolean>, sizes array<long>, docs binary, sums binary"
-_PARTS = pa.schema([("block", pa.int64()), ("vocabulary", pa.int64()), ("ids", pa.list_(pa.int64())), ("held", pa.list_(pa.bool_())), ("sizes", pa.list_(pa.int64())), ("docs", pa.binary()), ("sums", pa.binary())])
+VALUES = "block long, bucket int, vocabulary long, counts binary, logs binary, docs binary, places binary, times binary, ids array<long>, held array<boolean>, sizes array<long>"
+_VALUES = pa.schema([("block", pa.int64()), ("bucket", pa.int32()), ("vocabulary", pa.int64()), ("counts", pa.binary()), ("logs", pa.binary())] + [_BLOCKS.field(c) for c in ("docs", "places", "times", "ids", "held", "sizes")])
 
 
 def _score(path: str):
-    """Over rows sorted by bucket: per block and document the sums over the bucket's words."""
+    """Over rows sorted by bucket: for each block's words the counts in all blocks and the marginals."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = lattice(path)
-        for (_,), rows in grouped(batches, 1):
-            out: dict[str, list] = {c: [] for c in _PARTS.names}
-            lists = [r["words"].split(b"\n") for r in rows if r["words"] is not None]
+        for (bucket,), rows in grouped(batches, 1):
+            out: dict[str, list] = {c: [] for c in _VALUES.names}
             count: dict[bytes, int] = {}
-            for r, words in zip([r for r in rows if r["words"] is not None], lists, strict=True):
-                for word, c in zip(words, np.frombuffer(r["counts"], "<u4").tolist(), strict=True):
-                    count[word] = count.get(word, 0) + c
+            places = []
+            for r in rows:
+                if r["words"] is not None:
+                    spots = []
+                    for word, c in zip(r["words"].split(b"\n"), np.frombuffer(r["counts"], "<u4").tolist(), strict=True):
+                        count[word] = count.get(word, 0) + c
+                        spots.append(word)
+                    places.append(spots)
             place = {word: i for i, word in enumerate(count)}
-            c = np.fromiter(count.values(), np.float64, len(count))
-            base = np.array([model.log_probability(word.decode("utf-8", "replace")) for word in count], np.float64)
-            value = np.stack((np.log10(c + ADDED), (c > 0).astype(float), np.where(c > 0, np.log10(np.maximum(c, 1)), base / math.log(10)), base / math.log(10)), 1) if len(count) else np.zeros((0, 4))
-            # the number of training words is in no bucket alone: it enters at the end
-            known, at = int((c > 0).sum()), 0
+            total = np.fromiter(count.values(), "<u8", len(count))
+            logs = np.array([model.log_probability(word.decode("utf-8", "replace")) for word in count], "<f4")
+            # the words seen in training are counted once, in a bucket's first row
+            known, at = int((total > 0).sum()), 0
             for r in rows:
                 if r["words"] is None:
-                    made = (r["block"], 0, r["ids"], r["held"], r["sizes"], None, None)
+                    made = (r["block"], None, 0, None, None, *(r[c] for c in ("docs", "places", "times", "ids", "held", "sizes")))
                 else:
-                    spot = np.fromiter((place[w] for w in lists[at]), np.int64, len(lists[at]))[np.frombuffer(r["places"], "<u4")]
-                    doc = np.frombuffer(r["docs"], "<u2")
-                    terms = value[spot] * np.frombuffer(r["times"], "<u4")[:, None]
-                    own, slot = np.unique(doc, return_inverse=True)
-                    sums = np.stack([np.bincount(slot, terms[:, k]) for k in range(4)], 1)
-                    made = (r["block"], known, None, None, None, own.astype("<u2").tobytes(), sums.astype("<f8").tobytes())
+                    spot = np.fromiter((place[w] for w in places[at]), np.int64, len(places[at]))
+                    made = (r["block"], bucket, known, total[spot].tobytes(), logs[spot].tobytes(), None, None, None, None, None, None)
                     known, at = 0, at + 1
                 for column, v in zip(out, made, strict=True):
                     out[column].append(v)
-            yield pa.RecordBatch.from_arrays([pa.array(out[f.name], f.type) for f in _PARTS], schema=_PARTS)
+            yield pa.RecordBatch.from_arrays([pa.array(out[f.name], f.type) for f in _VALUES], schema=_VALUES)
 
     return run
 
@@ -204,12 +199,23 @@ def _gather(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Over rows sorted by block: one row a document."""
     for _, rows in grouped(batches, 1):
         meta = next(r for r in rows if r["ids"] is not None)
-        total = np.zeros((len(meta["ids"]), 4))
-        for r in rows:
-            if r["docs"] is not None:
-                total[np.frombuffer(r["docs"], "<u2")] += np.frombuffer(r["sums"], "<f8").reshape(-1, 4)
-        vocabulary = [sum(r["vocabulary"] for r in rows)] + [0] * (len(total) - 1)
-        columns = [pa.array(meta["ids"], pa.int64()), pa.array(meta["held"], pa.bool_()), pa.array(meta["sizes"], pa.int64()), pa.array(total[:, 0]), pa.array(np.rint(total[:, 1]).astype(np.int64)), pa.array(total[:, 2]), pa.array(total[:, 3]), pa.array(vocabulary, pa.int64())]
+        found = sorted((r for r in rows if r["counts"] is not None), key=lambda r: r["bucket"])
+        c = np.concatenate([np.frombuffer(r["counts"], "<u8") for r in found] or [np.zeros(0)]).astype(float)
+        log = np.concatenate([np.frombuffer(r["logs"], "<f4") for r in found] or [np.zeros(0)]).astype(float) / math.log(10)
+        place, doc, times = (np.frombuffer(meta[k], t) for k, t in (("places", "<u4"), ("docs", "<u2"), ("times", "<u4")))
+        per_doc = lambda value: np.bincount(doc, value[place] * times, len(meta["ids"]))
+        known = c > 0
+        vocabulary = [sum(r["vocabulary"] for r in rows)] + [0] * (len(meta["ids"]) - 1)
+        columns = [
+            pa.array(meta["ids"], pa.int64()),
+            pa.array(meta["held"], pa.bool_()),
+            pa.array(meta["sizes"], pa.int64()),
+            pa.array(per_doc(np.log10(c + ADDED))),
+            pa.array(np.rint(per_doc(known.astype(float))).astype(np.int64)),
+            pa.array(per_doc(np.where(known, np.log10(np.maximum(c, 1)), log))),
+            pa.array(per_doc(log)),
+            pa.array(vocabulary, pa.int64()),
+        ]
         yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "held_out", "n_words", "log_base", "known_words", "log_model", "lattice_score", "vocabulary"])
 
 
@@ -221,7 +227,7 @@ def score_documents(docs: DataFrame, path: str, id_col: str = "doc_id", text_col
     p = partitions(docs.sparkSession)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(held_out(F.col(id_col)), F.lit(False)).alias("held"), F.col(text_col).cast("string").alias("text"))
     blocks = rows.mapInArrow(_blocks(p * BUCKETS_EACH), BLOCKS).repartition(p, "bucket").sortWithinPartitions("bucket")
-    parts = blocks.mapInArrow(_score(path), PARTS).repartition(p, "block").sortWithinPartitions("block")
+    parts = blocks.mapInArrow(_score(path), VALUES).repartition(p, "block").sortWithinPartitions("block")
     table = settled(parts.mapInArrow(_gather, SCORES), "lm-sums")
 
     train = F.coalesce(F.sum(F.when(~F.col("held_out"), F.col("n_words") + 1)), F.lit(0))
