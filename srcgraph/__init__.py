@@ -1,0 +1 @@
+"""srcgraph: structural questions about source code as Spark queries."""
