@@ -92,9 +92,9 @@ def mix_copies(docs: DataFrame, quality: DataFrame | None = None, seed: str = "m
     columns = docs.columns
     taken = mix_sources(docs, quality, seed)
     copies = F.when(F.col("size") > 0, F.round(F.col("taken") / F.col("size"))).otherwise(0).cast("int")
-    each = taken.groupBy(F.col("doc_id").alias("_id"), F.col("source").alias("_source")).agg(F.round(F.avg(copies)).cast("int").alias("_copies"))
-    joined = docs.join(each.where("_copies > 0"), F.expr("doc_id <=> _id and cast(source as string) <=> _source"))
-    return joined.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select(*columns)
+    each = taken.groupBy("doc_id", "source").agg(F.round(F.avg(copies)).cast("int").alias("copies")).where("copies > 0")
+    joined = docs.alias("d").join(each.alias("e"), F.expr("d.doc_id <=> e.doc_id and cast(d.source as string) <=> e.source"))
+    return joined.select(*(F.col(f"d.`{c}`") for c in columns), F.explode(F.sequence(F.lit(1), F.col("e.copies"))).alias("_copy")).select(*(F.col(f"`{c}`") for c in columns))
 
 
 def quality_weights(labels: DataFrame) -> DataFrame:

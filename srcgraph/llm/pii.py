@@ -111,11 +111,14 @@ def _table() -> tuple[dict[int, str], frozenset[str]]:
 
 
 _WORDS = "|".join(sorted(SPELLED, key=len, reverse=True))
+#: Endings that make a bare "at ... dot ..." an address, fixed values.
+ENDINGS = "com org net edu gov mil int info biz name io co ai dev app me tv uk de fr es it eu us ca ch at nl be pt se no dk fi pl ru cn jp in br au example test invalid localhost".split()
 _OPEN, _CLOSE = r"\s{0,3}[\[({<]\s{0,3}", r"\s{0,3}[\])}>]\s{0,3}"
 _BRACKETED = re.compile(rf"{_OPEN}(?:at|dot|@|\.){_CLOSE}", re.I)
+_LABEL, _DOT = r"[A-Za-z0-9-]{1,63}", rf"{_OPEN}(?:dot|\.){_CLOSE}"
 _TOKENS = re.compile(
     rf"(?P<at>{_OPEN}(?:at|@){_CLOSE}"
-    rf"|(?<=[A-Za-z0-9])\s{{1,3}}at\s{{1,3}}(?=[A-Za-z0-9-]{{1,63}}(?:\s{{1,3}}dot\s|{_OPEN}(?:dot|\.)))"
+    rf"|(?<=[A-Za-z0-9])\s{{1,3}}at\s{{1,3}}(?={_LABEL}(?:(?:\s{{1,3}}dot\s{{1,3}}|\.){_LABEL}){{0,4}}?(?:\s{{1,3}}dot\s{{1,3}}(?:{'|'.join(ENDINGS)})(?![A-Za-z0-9-])|{_DOT}))"
     r"|(?<=[A-Za-z0-9])\s{1,3}@\s{0,3}(?=[A-Za-z0-9])|(?<=[A-Za-z0-9])@\s{1,3}(?=[A-Za-z0-9]))"
     rf"|(?P<dot>{_OPEN}(?:dot|\.){_CLOSE}|(?<=[A-Za-z0-9])\s{{1,3}}dot\s{{1,3}}(?=[A-Za-z0-9]))"
     rf"|(?P<plus>(?<![A-Za-z0-9])plus\s{{1,3}}(?=(?:{_WORDS}|[0-9])))"

@@ -145,13 +145,14 @@ def grouped(batches: Iterable[pa.RecordBatch], keys: int) -> Iterator[tuple[tupl
     rows: list[dict] = []
     for batch in batches:
         names = batch.schema.names[:keys]
-        for row in batch.to_pylist():
-            key = tuple(row[c] for c in names)
-            if key != now:
-                if rows:
-                    yield now, rows
-                now, rows = key, []
-            rows.append(row)
+        for start in range(0, batch.num_rows, 64):
+            for row in batch.slice(start, 64).to_pylist():
+                key = tuple(row[c] for c in names)
+                if key != now:
+                    if rows:
+                        yield now, rows
+                    now, rows = key, []
+                rows.append(row)
     if rows:
         yield now, rows
 
@@ -305,7 +306,7 @@ def jaccard_components(docs: DataFrame, n: int = 4, percent: int = 85, id_col: s
 
     # groups alone in their cluster still hold classes with equal prefixes
     placed = spread_join(sets, clusters, ["grp"], "left").withColumn("cluster", F.coalesce("cluster", "grp"))
-    size = F.floor(F.log(F.col("n_shingles").cast("double")) / (math.log(100 / percent) * 1.0001)).cast("long")
+    size = F.floor(F.log(F.col("n_shingles").cast("double")) / max(math.log(100 / percent) * 1.0001, 1e-9)).cast("long")
     placed = settled(placed.select("key", "id", "n_shingles", "cluster", size.alias("size")), "ngram-clusters")
     placed = placed.withColumn("more", F.explode(F.array(F.lit(0), F.lit(1)))).withColumn("home", F.col("more") == 0).withColumn("level", F.col("size") + F.col("more"))
     units = placed.groupBy("cluster", "level").agg(F.count("*").alias("members"), F.max("home").alias("open")).where("members > 1 and open").select("cluster", "level", F.ceil(F.col("members") / UNIT).cast("int").alias("parts"))

@@ -3,8 +3,8 @@
 Labelled credentials of each format make a prefix tree; states whose next-symbol frequencies are
 statistically compatible (Hoeffding's bound) are merged, children along with them, which leaves a
 small probabilistic automaton per format (the ALERGIA scheme). Every candidate of a text, a long
-run of credential characters with a digit in it, is scored by each automaton's likelihood against
-that of uniformly random characters; the best format wins if the ratio is large enough.
+run of credential characters with a letter and a digit in it, is scored by each automaton's
+likelihood against that of ordinary words; the best format wins if the ratio is large enough.
 
 Fixed patterns (an assignment to a telling name, an access key id, a long hexadecimal run) are
 always found as well and never removed.
@@ -41,8 +41,10 @@ _HEX = re.compile(r"[0-9a-f]+")
 #: A candidate: a maximal run of at least MIN_CANDIDATE characters.
 MIN_CANDIDATE = 20
 _CANDIDATE = re.compile(rf"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{{{MIN_CANDIDATE},}}+")
-_DIGIT = re.compile(r"[0-9]")
-SYMBOLS = 66  # credential characters and one for the end
+_DIGIT, _LETTER = re.compile(r"[0-9]"), re.compile(r"[A-Za-z]")
+#: Log probabilities of characters in ordinary words: mostly small letters, the other classes rare; fixed values.
+ORDINARY = {c: math.log(share / len(of)) for of, share in (("abcdefghijklmnopqrstuvwxyz", 0.90), ("0123456789", 0.05), ("ABCDEFGHIJKLMNOPQRSTUVWXYZ", 0.03), ("+/_-.=", 0.02)) for c in of}
+ORDINARY_END = math.log(0.1)
 
 
 class Automaton:
@@ -102,8 +104,11 @@ def infer(words: Iterable[str], alpha: float = 0.05) -> Automaton:
                     todo.append((kids[p][symbol], kids[q][symbol]))
         return True
 
-    def distance(a: int, b: int) -> float:
-        return sum(abs(flows[a].get(c, 0) / visits[a] - flows[b].get(c, 0) / visits[b]) for c in flows[a].keys() | flows[b].keys())
+    def likeness(known: int, state: int) -> float:
+        """The log posterior that a state's counts come from a known one: by its visits and its smoothed frequencies."""
+        total = visits[known] + 0.1 * 67
+        fits = sum(n * math.log((flows[known].get(c, 0) + 0.1) / total) for c, n in flows[state].items())
+        return math.log(visits[known]) + fits + stops[state] * math.log((stops[known] + 0.1) / total)
 
     def fold(into: int, tree: int) -> list[tuple[int, str]]:
         """Add a tree's counts to a state, and its children's to the state's; returns the edges that are new."""
@@ -129,9 +134,9 @@ def infer(words: Iterable[str], alpha: float = 0.05) -> Automaton:
         if state in place:
             continue
         # a rarely visited state is compatible with any other: it goes to the one that it resembles most
-        near = [(distance(known, state), -len(flows[known]), i) for i, known in enumerate(settled) if compatible(known, state)]
+        near = [(likeness(known, state), -i) for i, known in enumerate(settled) if compatible(known, state)]
         if near:
-            known = settled[min(near)[2]]
+            known = settled[-max(near)[1]]
             kids[parent][symbol] = known
             frontier += [edge for edge in sorted(fold(known, state)) if edge[0] in place]
         else:
@@ -180,13 +185,13 @@ def default_model() -> dict[str, Automaton]:
 
 
 #: What an unseen symbol costs, and the least log likelihood ratio of a find.
-UNSEEN, THRESHOLD = -10.0, 15.0
+UNSEEN, THRESHOLD = -15.0, 20.0
 
 
 def score(model: dict[str, Automaton], word: str) -> tuple[float, str]:
-    """(log likelihood ratio against random characters, format) of the likeliest format."""
-    uniform = -math.log(SYMBOLS) * (len(word) + 1)
-    return max((a.log_likelihood(word, UNSEEN) - uniform, label) for label, a in model.items())
+    """(log likelihood ratio against ordinary words, format) of the likeliest format."""
+    ordinary = sum(map(ORDINARY.__getitem__, word)) + ORDINARY_END
+    return max((a.log_likelihood(word, UNSEEN) - ordinary, label) for label, a in model.items())
 
 
 def base_finds(text: str, candidates: list[tuple[int, int]]) -> list[tuple[int, int, str]]:
@@ -206,7 +211,7 @@ def find(text: str, model: dict[str, Automaton], threshold: float = THRESHOLD) -
     order = {k: i for i, k in enumerate(KINDS)}
     out = [(s, e, kind, True, 0.0) for s, e, kind in base_finds(text, candidates)]
     for s, e in candidates:
-        if _DIGIT.search(text, s, e):
+        if _DIGIT.search(text, s, e) and _LETTER.search(text, s, e):
             ratio, label = score(model, text[s:e])
             if ratio >= threshold:
                 out.append((s, e, label, False, ratio))
