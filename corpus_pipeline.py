@@ -24,14 +24,17 @@ from srcgraph.llm.repetition import score_repetition
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that pass the quality rules."""
     columns = docs.columns
-    return score_repetition(docs, keep=tuple(c for c in columns if c != "doc_id")).where("kept").select(*columns)
+    # names of our own: the table may have columns called like the measures
+    plain = docs.select(docs["doc_id"], docs["text"], *(docs[f"`{c}`"].alias(f"_in{i}") for i, c in enumerate(columns)))
+    judged = score_repetition(plain, keep=tuple(f"_in{i}" for i in range(len(columns)))).where("kept")
+    return judged.select(*(F.col(f"_in{i}").alias(c) for i, c in enumerate(columns)))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The document with the least id of each component under likeness 80 % of 5-word shingles; rows without id stay."""
     found = jaccard_components(docs.select("doc_id", "text"), n=5, percent=80)
-    gone = found.where("doc_id is not null and component_id <> doc_id").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    gone = found.where("doc_id is not null and component_id <> doc_id").select(F.col("doc_id").alias("_gone")).distinct()
+    return docs.join(gone, docs["doc_id"] == gone["_gone"], "left_anti")
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
