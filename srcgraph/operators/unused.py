@@ -26,9 +26,8 @@ def declarations(facts: DataFrame) -> DataFrame:
 
 def unused_symbols(facts: DataFrame, files: DataFrame, limit: int = 0) -> DataFrame:
     """file, kind, name, line, col, text of names that occur once in files(path, content), in walk order."""
-    declared = declarations(facts)
-    scanned = facts.where("symbols is not null").select("path")
-    text = files.join(scanned, "path", "left_semi").select("path", F.make_valid_utf8(F.col("content").cast("string")).alias("content"))
+    declared = declarations(facts).persist()  # asked several times; parsing again would cost more than all the rest
+    text = files.where("content is not null").select("path", F.make_valid_utf8(F.col("content").cast("string")).alias("content"))
     runs = text.select("path", F.explode(F.regexp_extract_all("content", F.lit(f"({_RUN})"))).alias("run"))
     counts = runs.groupBy("run").agg(F.count("*").alias("n"))
 
@@ -39,7 +38,10 @@ def unused_symbols(facts: DataFrame, files: DataFrame, limit: int = 0) -> DataFr
     longer = counts.crossJoin(F.broadcast(lengths))  # one row: the set of lengths
     pieces = F.flatten(F.transform(F.filter("lengths", lambda l: l < F.length("run")), lambda l: F.transform(F.sequence(F.lit(1), F.length("run") - l + 1), lambda i: F.substring("run", i, l))))
     pieces = longer.select("run", "n", F.explode(F.array_distinct(pieces)).alias("name"))
-    within = pieces.join(exact.select("name"), "name").groupBy("name").agg(F.sum(F.col("n") * occurrences(F.col("run"), F.col("name"))).alias("more"))
+    # most pieces are no names: hashes sort that out, and only names that are within runs meet their runs again
+    hashes = pieces.select(F.xxhash64("name").alias("h"))
+    inner = exact.select("name", F.xxhash64("name").alias("h")).join(hashes, "h", "left_semi").select("name")
+    within = pieces.join(inner, "name").groupBy("name").agg(F.sum(F.col("n") * occurrences(F.col("run"), F.col("name"))).alias("more"))
     once = exact.join(within, "name", "left").where("n + coalesce(more, 0) = 1").select("name", "d")
 
     # names with other characters: their longest run leads to the files

@@ -37,7 +37,9 @@ def go_corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
         "",
     )
     function = F.concat(F.lit("func order_"), order, F.lit("() {\n"), F.coalesce(body, F.lit("")), F.lit("}\n"))
-    files = orders.select("o_custkey", "o_orderkey", function.alias("text")).groupBy("o_custkey").agg(F.array_sort(F.collect_list(F.struct("o_orderkey", "text"))).alias("f"))
+    # parsing is far dearer than its bytes, so the partitions must not be merged by size
+    dealt = orders.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "o_custkey")
+    files = dealt.select("o_custkey", "o_orderkey", function.alias("text")).groupBy("o_custkey").agg(F.array_sort(F.collect_list(F.struct("o_orderkey", "text"))).alias("f"))
     customers = files.select(F.format_string("corpus/cust_%09d.go", F.col("o_custkey")).alias("path"), F.concat(F.lit("package corpus\n"), F.array_join(F.col("f.text"), "")).alias("text"))
     numbered = read("part").select("p_partkey", F.floor(F.col("p_partkey") / PARTS_A_FILE).cast("long").alias("n"))
     parts = numbered.groupBy("n").agg(F.array_sort(F.collect_list("p_partkey")).alias("keys")).select(F.format_string("corpus/parts_%06d.go", F.col("n")).alias("path"), F.concat(F.lit("package corpus\n"), F.array_join(F.transform("keys", lambda k: F.format_string("func part_%09d() {\n}\n", k)), "")).alias("text"))
