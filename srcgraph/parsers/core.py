@@ -177,7 +177,7 @@ class Parser:
         kids: list[Node] = []
         while self.now.kind is not END:
             t = self.now
-            if kids and depth == 0 and (t.text in until or t.kind is LINE or t.text in ")]}"):
+            if kids and depth == 0 and (t.text in until or t.kind is LINE or t.text in ")]}" or t.fresh):
                 break
             if t.kind is OP and t.text in "([{" and t.text:
                 depth += 1

@@ -229,7 +229,7 @@ class Matcher:
             return set().union(*(self.roots(a) for a in p.alternatives))
         if p.group:
             return {None}
-        return {p.kind}
+        return {None if p.kind == "MISSING" else p.kind}
 
     def matches(self, tree: Tree) -> list[Binding]:
         """All matches in the order of their first node."""
