@@ -224,29 +224,41 @@ class Tree:
 
     def __init__(self, source: bytes, root: Node):
         self.source = source
-        self.nodes: list[Node] = []
-        self.parent: list[int] = []
-        self.depth: list[int] = []
-        self.place: list[int] = []
-        self.kids: list[list[int]] = []
+        self.nodes = nodes = []
+        self.parent = parent = []
+        self.depth = depth = []
+        self.place = place = []
+        self.kids = kids = []
+        self.by_kind: dict[str, list[int]] = {}
+        self.missing = False
+        by_kind = self.by_kind
         stack = [(root, -1, 0, 0)]
         while stack:
-            node, parent, depth, place = stack.pop()
-            me = len(self.nodes)
-            self.nodes.append(node)
-            self.parent.append(parent)
-            self.depth.append(depth)
-            self.place.append(place)
-            self.kids.append([])
-            if parent >= 0:
-                self.kids[parent].append(me)
-            for i in range(len(node.kids) - 1, -1, -1):
-                stack.append((node.kids[i], me, depth + 1, i))
-        self.end = list(range(1, len(self.nodes) + 1))
-        for i in range(len(self.nodes) - 1, 0, -1):
-            p = self.parent[i]
-            if self.end[i] > self.end[p]:
-                self.end[p] = self.end[i]
+            node, up, level, nth = stack.pop()
+            me = len(nodes)
+            nodes.append(node)
+            parent.append(up)
+            depth.append(level)
+            place.append(nth)
+            kids.append([])
+            if up >= 0:
+                kids[up].append(me)
+            if node.kind in by_kind:
+                by_kind[node.kind].append(me)
+            else:
+                by_kind[node.kind] = [me]
+            if node.missing:
+                self.missing = True
+            if node.kids:
+                level += 1
+                nth = len(node.kids)
+                for kid in reversed(node.kids):
+                    nth -= 1
+                    stack.append((kid, me, level, nth))
+        self.end = end = list(range(1, len(nodes) + 1))
+        for i in range(len(nodes) - 1, 0, -1):
+            if end[i] > end[parent[i]]:
+                end[parent[i]] = end[i]
         self.lines = [0] + [m.start() + 1 for m in re.finditer(b"\n", source)]
 
     def point(self, offset: int) -> tuple[int, int]:
@@ -259,4 +271,4 @@ class Tree:
 
     @property
     def has_error(self) -> bool:
-        return any(n.kind == "ERROR" or n.missing for n in self.nodes)
+        return "ERROR" in self.by_kind or self.missing

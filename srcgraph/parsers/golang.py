@@ -43,9 +43,6 @@ class Go(Curly):
                 out[pairs.pop()].part = i
         self.plain = False  # in the head of a statement, where a brace opens its block
 
-    def leaf(self, kind: str | None = None) -> Node:
-        return super().leaf(kind)
-
     def lines(self) -> None:
         while self.see("\n", ";"):
             self.step()
@@ -181,7 +178,7 @@ class Go(Curly):
         while self.tokens[i].kind == ID and self.tokens[i + 1].text == ",":
             names, i = names + 1, i + 2
         t, u = self.tokens[i], self.tokens[i + 1]
-        typed = t.kind == ID and t.text not in self.keywords and u.text not in (",", ")", ".", "\n") and not (u.text == "[" and False)
+        typed = t.kind == ID and t.text not in self.keywords and u.text not in (",", ")", ".", "\n")
         if typed:
             for _ in range(names):
                 parts += [("name", self.name()), self.leaf()]
@@ -419,7 +416,7 @@ class Go(Curly):
             return self.string()
         if self.see("("):
             held, self.plain = self.plain, False
-            self_ = self.make("parenthesized_expression", self.leaf(), self.type() if self.see("*") and False else self.expression(), self.closing(")"))
+            self_ = self.make("parenthesized_expression", self.leaf(), self.expression(), self.closing(")"))
             self.plain = held
             return self_
         if t.text == "func":
@@ -469,13 +466,13 @@ class Go(Curly):
                 left = self.make("call_expression", ("function", left), ("arguments", self.listed("(", ")", self.call_argument, "argument_list")))
             elif self.see("["):
                 left = self.index(left)
-            elif self.see("{") and not self.plain and (left.kind in ("identifier", "selector_expression", "generic_type") or (left.kind == "index_expression")) and left.kind != "index_expression":
+            elif self.see("{") and not self.plain and left.kind in ("identifier", "selector_expression", "generic_type"):
                 left = self.composite(left)
             else:
                 return left
 
     def call_argument(self) -> Node:
-        e = self.expression() if not self.see("*") or self.ahead().kind == ID else self.expression()
+        e = self.expression()
         if self.see("..."):
             return self.make("variadic_argument", e, self.leaf())
         return e

@@ -8,6 +8,7 @@ questions across files move data.
 
 from __future__ import annotations
 
+import gc
 import sys
 from collections.abc import Iterable, Iterator
 
@@ -36,13 +37,22 @@ _FACTS = pa.schema([("path", pa.string()), ("language", pa.string()), ("error",
 
 
 def tree_of(language: catalog.Language, content: bytes) -> Tree:
-    """The syntax tree of a file; whatever can't be read is in ERROR nodes."""
+    """The syntax tree of a file; whatever can't be read is in ERROR nodes.
+
+    Trees have no cycles, so the collector would only walk their many objects in vain.
+    """
     if sys.getrecursionlimit() < 20_000:
         sys.setrecursionlimit(20_000)
-    parser = language.make_parser(content.decode("latin-1"))
-    root = parser.file()
-    place_comments(root, parser.comments)
-    return Tree(content, root)
+    collecting = gc.isenabled()
+    gc.disable()
+    try:
+        parser = language.make_parser(content.decode("latin-1"))
+        root = parser.file()
+        place_comments(root, parser.comments)
+        return Tree(content, root)
+    finally:
+        if collecting:
+            gc.enable()
 
 
 def point(tree: Tree, offset: int) -> dict[str, int]:
@@ -72,13 +82,8 @@ def symbols_of(tree: Tree, language: catalog.Language, full: bool, kinds: tuple[
 
 def decisions_of(tree: Tree, kinds: frozenset[str]) -> list[int]:
     """Nodes that branch; a binary expression only if one of its leaves is && or ||."""
-    out = []
-    for i, node in enumerate(tree.nodes):
-        if node.kind in kinds:
-            if node.kind == "binary_expression" and not any(not k.kids and tree.source[k.start : k.end] in (b"&&", b"||") for k in node.kids):
-                continue
-            out.append(i)
-    return out
+    logical = lambda i: any(not k.kids and tree.source[k.start : k.end] in (b"&&", b"||") for k in tree.nodes[i].kids)
+    return sorted(i for kind in kinds for i in tree.by_kind.get(kind, ()) if kind != "binary_expression" or logical(i))
 
 
 def facts_of(path: str, language: catalog.Language, content: bytes, want: frozenset[str], kinds: tuple[str, ...] | None) -> dict:

@@ -234,14 +234,20 @@ class Matcher:
     def matches(self, tree: Tree) -> list[Binding]:
         """All matches in the order of their first node."""
         out: list[Binding] = []
-        anywhere = self.starts.get(None, [])
-        for i, node in enumerate(tree.nodes):
-            for n in (*self.starts.get(node.kind, ()), *anywhere):
-                p = self.query.patterns[n]
-                found = self.run_of(p, tree, i) if p.group else self.at(p, tree, i)
-                for b in dict.fromkeys(found):
-                    if self.holds(self.query.predicates[n], tree, b):
-                        out.append(b)
+        if None in self.starts:
+            anywhere = self.starts[None]
+            todo = [(i, n) for i, node in enumerate(tree.nodes) for n in (*self.starts.get(node.kind, ()), *anywhere)]
+        elif len(self.starts) == 1:  # one kind: its nodes are in order already
+            ((kind, ns),) = self.starts.items()
+            todo = [(i, n) for i in tree.by_kind.get(kind, ()) for n in ns]
+        else:
+            todo = sorted((i, n) for kind, ns in self.starts.items() for i in tree.by_kind.get(kind, ()) for n in ns)
+        for i, n in todo:
+            p = self.query.patterns[n]
+            found = self.run_of(p, tree, i) if p.group else self.at(p, tree, i)
+            for b in dict.fromkeys(found):
+                if self.holds(self.query.predicates[n], tree, b):
+                    out.append(b)
         return out
 
     def run_of(self, p: Pattern, tree: Tree, i: int) -> list[Binding]:
