@@ -167,7 +167,7 @@ def _blocks(docs: DataFrame) -> DataFrame:
     The bounds of the blocks are quantiles of the ids; driver and tasks only see one number per block.
     """
     spark = docs.sparkSession
-    n = partitions(spark)
+    n = 4 * partitions(spark)  # several blocks a partition even out what hashing deals
     ids = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63))).alias("id"))
     found = ids.select(F.percentile_approx("id", [i / n for i in range(1, n)] or [0.5], 20 * n).alias("q")).first()["q"] or []
     cuts = np.unique(np.array(found, np.int64))

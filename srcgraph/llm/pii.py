@@ -110,17 +110,25 @@ def _table() -> tuple[dict[int, str], frozenset[str]]:
     return table, frozenset(map(chr, table)) | frozenset(INVISIBLE)
 
 
-_WORDS = "|".join(sorted(SPELLED, key=len, reverse=True))
+SPELLED["oh"] = "0"
+#: Words for the at sign and the dot, fixed values.
+AT_WORDS, DOT_WORDS = "at|arroba", "dot|punto|punkt|point"
 #: Endings that make a bare "at ... dot ..." an address, fixed values.
-ENDINGS = "com org net edu gov mil int info biz name io co ai dev app me tv uk de fr es it eu us ca ch at nl be pt se no dk fi pl ru cn jp in br au example test invalid localhost".split()
+ENDINGS = "com org net edu gov mil int info biz name io co ai dev app me tv uk de fr es it eu us ca ch nl be pt se no dk fi pl ru cn jp in br au example test invalid localhost"
+
+_WORDS = "|".join(sorted(SPELLED, key=len, reverse=True))
 _OPEN, _CLOSE = r"\s{0,3}[\[({<]\s{0,3}", r"\s{0,3}[\])}>]\s{0,3}"
-_BRACKETED = re.compile(rf"{_OPEN}(?:at|dot|@|\.){_CLOSE}", re.I)
-_LABEL, _DOT = r"[A-Za-z0-9-]{1,63}", rf"{_OPEN}(?:dot|\.){_CLOSE}"
+_BRACKETED = re.compile(rf"{_OPEN}(?:{AT_WORDS}|{DOT_WORDS}|@|\.){_CLOSE}", re.I)
+_END = rf"(?:{ENDINGS.replace(' ', '|')})(?![A-Za-z0-9-])"
+_GAP = r"(?:\s{1,3}|[_-])"  # around a bare word
+_LABEL = r"[A-Za-z0-9]{1,63}"
+_DOT = rf"(?:{_GAP}(?:{DOT_WORDS}){_GAP}|{_OPEN}(?:{DOT_WORDS}|\.){_CLOSE}|\s{{1,2}}\.\s{{0,2}}|\.)"
 _TOKENS = re.compile(
-    rf"(?P<at>{_OPEN}(?:at|@){_CLOSE}"
-    rf"|(?<=[A-Za-z0-9])\s{{1,3}}at\s{{1,3}}(?={_LABEL}(?:(?:\s{{1,3}}dot\s{{1,3}}|\.){_LABEL}){{0,4}}?(?:\s{{1,3}}dot\s{{1,3}}(?:{'|'.join(ENDINGS)})(?![A-Za-z0-9-])|{_DOT}))"
+    # bracketed signs always count; bare ones if an address can follow
+    rf"(?P<at>{_OPEN}(?:{AT_WORDS}|@){_CLOSE}"
+    rf"|(?<=[A-Za-z0-9]){_GAP}(?:{AT_WORDS}){_GAP}(?={_LABEL}(?:-{_LABEL})*?(?:{_DOT}{_LABEL}){{0,4}}?(?:{_GAP}(?:{DOT_WORDS}){_GAP}{_END}|{_OPEN}(?:{DOT_WORDS}|\.){_CLOSE}))"
     r"|(?<=[A-Za-z0-9])\s{1,3}@\s{0,3}(?=[A-Za-z0-9])|(?<=[A-Za-z0-9])@\s{1,3}(?=[A-Za-z0-9]))"
-    rf"|(?P<dot>{_OPEN}(?:dot|\.){_CLOSE}|(?<=[A-Za-z0-9])\s{{1,3}}dot\s{{1,3}}(?=[A-Za-z0-9]))"
+    rf"|(?P<dot>{_OPEN}(?:{DOT_WORDS}|\.){_CLOSE}|(?<=[A-Za-z0-9]){_GAP}(?:{DOT_WORDS}){_GAP}(?=[A-Za-z0-9])|(?<=[A-Za-z0-9])\s{{1,2}}\.\s{{0,2}}(?={_LABEL}(?:\s{{0,2}}\.|{_GAP})|{_END}))"
     rf"|(?P<plus>(?<![A-Za-z0-9])plus\s{{1,3}}(?=(?:{_WORDS}|[0-9])))"
     rf"|(?P<word>(?<![^\W_])(?P<digit>{_WORDS})(?![^\W_])(?:[\s,-]{{1,3}}(?=(?:{_WORDS})(?![^\W_])))?)"
     rf"|(?P<gone>[{INVISIBLE}])",
@@ -159,13 +167,15 @@ def disguised(text: str) -> bool:
     if ("(" in text or "[" in text or "{" in text or "<" in text) and _BRACKETED.search(text):
         return True
     low = text.lower()
-    if " dot " in low or "\ndot " in low or " dot\n" in low or " @" in low or "@ " in low:
+    if " @" in low or "@ " in low or ("dot" in low or "punto" in low or "punkt" in low or "point" in low) and _BARE.search(low):
         return True
     return bool(_SPELLED_RUN.search(low))
 
 
+#: A dot by its name before an ending, or between spelled or written digits.
+_BARE = re.compile(rf"[A-Za-z0-9]{_GAP}(?:{DOT_WORDS}){_GAP}(?:{_END}|(?:{_WORDS})(?![^\W_])|[0-9]|{_LABEL}{_GAP}(?:{DOT_WORDS}){_GAP})")
 #: Four spelled digits in a row, the dots of an address between them allowed.
-_SPELLED_RUN = re.compile(rf"(?<![^\W_])(?:{_WORDS})(?:(?:\s+(?:dot|point|punkt|punto))?[\s,.;-]+(?:{_WORDS})(?![^\W_])){{3}}")
+_SPELLED_RUN = re.compile(rf"(?<![^\W_])(?:{_WORDS})(?:(?:\s+(?:{DOT_WORDS}))?[\s,.;-]+(?:{_WORDS})(?![^\W_])){{3}}")
 
 
 def find(text: str) -> tuple[list[Span], list[Span]]:
