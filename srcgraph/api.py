@@ -65,6 +65,8 @@ def timed(method: Callable) -> Callable:
             if timer:
                 timer.cancel()
             self.spark.removeTag(tag)
+            while self._kept:
+                self._kept.pop().unpersist()
         if late.is_set():
             raise Cancelled(f"{method.__name__} took more than {self.timeout} s")
         out.elapsed_ms = round((time.perf_counter() - began) * 1000, 3)
@@ -79,6 +81,7 @@ class Engine:
 
     def __init__(self, spark: SparkSession, timeout: float = 30.0):
         self.spark, self.timeout = spark, timeout
+        self._kept: list[DataFrame] = []
 
     def _rows(self, df: DataFrame) -> list[dict]:
         return [r.asDict(recursive=True) for r in df.collect()]
@@ -90,6 +93,7 @@ class Engine:
         """(files, facts, errors): parsed once and kept for the operation's further jobs."""
         files = read_directory(self.spark, path, language)
         found = parse_facts(files, want, kinds).cache()
+        self._kept.append(found)
         wrong = {r["path"]: r["message"] for r in symbols.errors(found).collect()}
         unread = {r["path"]: r["error"] for r in files.where("error is not null").select("path", "error").collect()}
         return files, found, wrong | unread

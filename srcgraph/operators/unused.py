@@ -20,18 +20,20 @@ _RUN = r"[A-Za-z0-9_$\x{80}-\x{10FFFF}]+"
 def declarations(facts: DataFrame) -> DataFrame:
     """The first declaration of each name but imports: by walk order, start, kind."""
     s = facts.select("path", F.explode("symbols").alias("s")).where("s.kind <> 'imports' and s.name <> ''")
-    first = F.min_by(F.struct("path", "s.kind", "s.start", "s.text"), F.struct(path_key(F.col("path")), F.col("s.start"), F.col("s.kind"), F.col("s.ord")))
+    first = F.min_by(F.struct("path", "s.kind", "s.start", "s.text", "s.name"), F.struct(path_key(F.col("path")), F.col("s.start"), F.col("s.kind"), F.col("s.ord")))
     return s.groupBy(F.col("s.name").alias("name")).agg(first.alias("d"))
 
 
 def unused_symbols(facts: DataFrame, files: DataFrame, limit: int = 0) -> DataFrame:
     """file, kind, name, line, col, text of names that occur once in files(path, content), in walk order."""
-    declared = declarations(facts).persist()  # asked several times; parsing again would cost more than all the rest
+    # asked several times: conditions on the chosen rows, not on the grouping key, leave the shuffle
+    # below the same for all, so it runs once and the files are parsed once
+    declared = declarations(facts)
     text = files.where("content is not null").select("path", F.make_valid_utf8(F.col("content").cast("string")).alias("content"))
     runs = text.select("path", F.explode(F.regexp_extract_all("content", F.lit(f"({_RUN})"))).alias("run"))
     counts = runs.groupBy("run").agg(F.count("*").alias("n"))
 
-    plain = declared.where(F.col("name").rlike(f"^{_RUN}$"))
+    plain = declared.where(F.col("d.name").rlike(f"^{_RUN}$"))
     exact = plain.join(counts, F.col("name") == F.col("run"), "left").select("name", "d", F.coalesce("n", F.lit(0)).alias("n")).where("n <= 1")
     # pieces of longer runs, of the lengths that the names left have
     lengths = exact.agg(F.collect_set(F.length("name")).alias("lengths"))
@@ -45,7 +47,7 @@ def unused_symbols(facts: DataFrame, files: DataFrame, limit: int = 0) -> DataFr
     once = exact.join(within, "name", "left").where("n + coalesce(more, 0) = 1").select("name", "d")
 
     # names with other characters: their longest run leads to the files
-    other = declared.where(~F.col("name").rlike(f"^{_RUN}$"))
+    other = declared.where(~F.col("d.name").rlike(f"^{_RUN}$"))
     anchors = other.withColumn("anchor", F.array_max(F.transform(F.regexp_extract_all("name", F.lit(f"({_RUN})")), lambda r: F.struct(F.length(r).alias("size"), r.alias("run"))))["run"])
     held = runs.distinct()
     whole = anchors.where("anchor is not null").join(held, F.col("run") == F.col("anchor")).select("name", "path")
