@@ -197,5 +197,9 @@ UNION ALL SELECT {_CUST}, '{PART_NAME}()', false FROM orders JOIN lineitem ON l_
     "call_graph": _BASE + f"SELECT f.path, f.name, c.callee, cast(c.n AS BIGINT) AS n FROM f LEFT JOIN {_CALLED} c ON c.path = f.path AND c.name = f.name",
     "callers": f"SELECT path AS file, name, 'functions' AS kind, cast(n AS BIGINT) AS n FROM {_CALLED} WHERE callee = '{PART_NAME}'",
     "text_measures": "SELECT doc_id, cast(length(text) - length(replace(text, chr(10), '')) + 1 AS BIGINT) AS lines, cast(strlen(text) AS BIGINT) AS bytes, cast((length(text) - length(replace(text, 'the', ''))) // 3 AS BIGINT) AS n_the FROM documents",
+    "first_lines": """
+SELECT doc_id, CASE WHEN strlen(l) > 200 THEN left(l, k) || CASE WHEN strlen(left(l, k)) < 197 THEN chr(65533) ELSE '' END || '...' ELSE l END AS summary
+FROM (SELECT doc_id, l, list_max(list_filter(range(0, 198), lambda n: strlen(left(l, n)) <= 197)) AS k
+      FROM (SELECT doc_id, trim(regexp_replace(split_part(text, chr(10), 1), '\\s+', ' ', 'g')) AS l FROM documents))""",
     "detect_language": "SELECT 'a.b/part_' || p_partkey || e AS path, CASE e WHEN '.go' THEN 'go' WHEN '.py' THEN 'python' WHEN '.tsx' THEN 'typescript' ELSE 'yaml' END AS language FROM (SELECT p_partkey, ['.go', '.py', '.tsx', '.txt', '.GO', '.yml', ''][p_partkey % 7 + 1] AS e FROM part) WHERE e IN ('.go', '.py', '.tsx', '.yml')",
 }
