@@ -206,14 +206,20 @@ def base_finds(text: str, candidates: list[tuple[int, int]]) -> list[tuple[int,
 
 
 def find(text: str, model: dict[str, Automaton], threshold: float = THRESHOLD) -> list[tuple[int, int, str, bool, float]]:
-    """(start, end, kind, from a fixed pattern, score) by start, then kind as listed, then format."""
+    """(start, end, kind, from a fixed pattern, score) by start, then kind as listed, then format.
+
+    A candidate that a fixed pattern has found gives that find its score; others are finds of their own.
+    """
     candidates = [m.span() for m in _CANDIDATE.finditer(text)]
     order = {k: i for i, k in enumerate(KINDS)}
     out = [(s, e, kind, True, 0.0) for s, e, kind in base_finds(text, candidates)]
     for s, e in candidates:
         if _DIGIT.search(text, s, e) and _LETTER.search(text, s, e):
             ratio, label = score(model, text[s:e])
-            if ratio >= threshold:
+            known = [i for i, f in enumerate(out) if f[3] and f[0] < e and s < f[1]]
+            for i in known:
+                out[i] = (*out[i][:4], max(out[i][4], ratio))
+            if not known and ratio >= threshold:
                 out.append((s, e, label, False, ratio))
     return sorted(out, key=lambda f: (f[0], order.get(f[2], len(order)), f[2]))
 
