@@ -90,11 +90,40 @@ def spread_join(left: DataFrame, right: DataFrame, keys: list[str], how: str = "
     return left.join(right, [*keys, "_salt"], how).drop("_salt")
 
 
+#: Edges up to which one task unites them all: a few megabytes, checked before.
+FEW_EDGES = 300_000
+
+
+def _united(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Union-find over (u, v): node, root of the nodes that are not the least of their component."""
+    root: dict = {}
+
+    def top(x: object) -> object:
+        while root[x] != x:
+            root[x] = root[root[x]]
+            x = root[x]
+        return x
+
+    types = None
+    for batch in batches:
+        types = batch.schema.field(0).type
+        for u, v in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            root.setdefault(u, u)
+            root.setdefault(v, v)
+            a, b = top(u), top(v)
+            if a != b:
+                root[max(a, b)] = min(a, b)
+    found = [(x, top(x)) for x in root]
+    found = [(x, r) for x, r in found if x != r]
+    for s in range(0, len(found), 10_000):
+        yield pa.RecordBatch.from_arrays([pa.array(c, types) for c in zip(*found[s : s + 10_000], strict=True)], names=["node", "root"])
+
+
 def components(edges: DataFrame) -> DataFrame:
     """Connected components of edges(a, b): node, root (the least of the component), for nodes of edges between two.
 
     Alternating large-star and small-star steps; each round is a table in the shared folder, and the
-    driver only sees a count and a checksum of it.
+    driver only sees a count and a checksum of it. A table of at most FEW_EDGES is united in one task.
     """
     from pyspark.sql import functions as F
 
@@ -104,6 +133,9 @@ def components(edges: DataFrame) -> DataFrame:
         return df, tuple(row)
 
     now, seen = put(edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")))
+    if seen[0] <= FEW_EDGES:
+        kind = now.schema["u"].dataType.simpleString()
+        return now.coalesce(1).mapInArrow(_united, f"node {kind}, root {kind}")
     while seen[0]:
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))

@@ -18,7 +18,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from srcgraph.llm import compact_windows, fingerprint, lattice_lm, mixing, prefix_join, warc
+from srcgraph.llm import common, compact_windows, fingerprint, lattice_lm, mixing, prefix_join, warc
 from srcgraph.llm.common import components, sliced
 
 SCHEMA = "doc_id long, text string, source string"
@@ -234,8 +234,10 @@ def test_join_of_nothing(spark):
     assert prefix_join.jaccard_components(spark.createDataFrame([], SCHEMA)).count() == 0
 
 
+@pytest.mark.parametrize("few", [0, 1000])
 @pytest.mark.parametrize("shape", ["path", "star", "random", "none"])
-def test_components(spark, shape):
+def test_components(spark, shape, few, monkeypatch):
+    monkeypatch.setattr(common, "FEW_EDGES", few)
     draw = random.Random(11)
     edges = {"path": [(i, i + 1) for i in range(60)], "star": [(99, i) for i in range(40)], "random": [(draw.randrange(80), draw.randrange(80)) for _ in range(60)], "none": [(3, 3)]}[shape]
     draw.shuffle(edges)
