@@ -364,7 +364,7 @@ class Bash(Parser):
             value = self.make("array", parts, self.closing_(")"))
         elif self.at < len(self.text) and self.text[self.at] not in " \t\n;&|)`":
             value = self.word_()
-        # the name fills the field that the reference's pattern asks for
+        # the name fills the field that the catalogue's pattern asks for
         return self.make("variable_assignment", ("variable", name), o, value and ("value", value))
 
     def simple(self) -> Node:
