@@ -118,22 +118,50 @@ ENDINGS = "com org net edu gov mil int info biz name io co ai dev app me tv uk d
 
 _WORDS = "|".join(sorted(SPELLED, key=len, reverse=True))
 _OPEN, _CLOSE = r"\s{0,3}[\[({<]\s{0,3}", r"\s{0,3}[\])}>]\s{0,3}"
-_BRACKETED = re.compile(rf"{_OPEN}(?:{AT_WORDS}|{DOT_WORDS}|@|\.){_CLOSE}", re.I)
 _END = rf"(?:{ENDINGS.replace(' ', '|')})(?![A-Za-z0-9-])"
 _GAP = r"(?:\s{1,3}|[_-])"  # around a bare word
 _LABEL = r"[A-Za-z0-9]{1,63}"
 _DOT = rf"(?:{_GAP}(?:{DOT_WORDS}){_GAP}|{_OPEN}(?:{DOT_WORDS}|\.){_CLOSE}|\s{{1,2}}\.\s{{0,2}}|\.)"
-_TOKENS = re.compile(
-    # bracketed signs always count; bare ones if an address can follow
-    rf"(?P<at>{_OPEN}(?:{AT_WORDS}|@){_CLOSE}"
-    rf"|(?<=[A-Za-z0-9]){_GAP}(?:{AT_WORDS}){_GAP}(?={_LABEL}(?:-{_LABEL})*?(?:{_DOT}{_LABEL}){{0,4}}?(?:{_GAP}(?:{DOT_WORDS}){_GAP}{_END}|{_OPEN}(?:{DOT_WORDS}|\.){_CLOSE}))"
-    r"|(?<=[A-Za-z0-9])\s{1,3}@\s{0,3}(?=[A-Za-z0-9])|(?<=[A-Za-z0-9])@\s{1,3}(?=[A-Za-z0-9]))"
-    rf"|(?P<dot>{_OPEN}(?:{DOT_WORDS}|\.){_CLOSE}|(?<=[A-Za-z0-9]){_GAP}(?:{DOT_WORDS}){_GAP}(?=[A-Za-z0-9])|(?<=[A-Za-z0-9])\s{{1,2}}\.\s{{0,2}}(?={_LABEL}(?:\s{{0,2}}\.|{_GAP})|{_END}))"
-    rf"|(?P<plus>(?<![A-Za-z0-9])plus\s{{1,3}}(?=(?:{_WORDS}|[0-9])))"
-    rf"|(?P<word>(?<![^\W_])(?P<digit>{_WORDS})(?![^\W_])(?:[\s,-]{{1,3}}(?=(?:{_WORDS})(?![^\W_])))?)"
-    rf"|(?P<gone>[{INVISIBLE}])",
-    re.I,
-)
+_BRACKETED_AT, _BRACKETED_DOT = rf"{_OPEN}(?:{AT_WORDS}|@){_CLOSE}", rf"{_OPEN}(?:{DOT_WORDS}|\.){_CLOSE}"
+#: By what a text has to hold for it: the alternatives of a token, in the order in which they are tried.
+_PARTS = {
+    "at": (
+        # bracketed signs always count; bare ones if an address can follow
+        ("open", _BRACKETED_AT),
+        ("bare", rf"(?<=[A-Za-z0-9]){_GAP}(?:{AT_WORDS}){_GAP}(?={_LABEL}(?:-{_LABEL})*?(?:{_DOT}{_LABEL}){{0,4}}?(?:{_GAP}(?:{DOT_WORDS}){_GAP}{_END}|{_BRACKETED_DOT}))"),
+        ("@", r"(?<=[A-Za-z0-9])\s{1,3}@\s{0,3}(?=[A-Za-z0-9])|(?<=[A-Za-z0-9])@\s{1,3}(?=[A-Za-z0-9])"),
+    ),
+    "dot": (
+        ("open", _BRACKETED_DOT),
+        ("named", rf"(?<=[A-Za-z0-9]){_GAP}(?:{DOT_WORDS}){_GAP}(?=[A-Za-z0-9])"),
+        ("loose", rf"(?<=[A-Za-z0-9])\s{{1,2}}\.\s{{0,2}}(?={_LABEL}(?:\s{{0,2}}\.|{_GAP})|{_END})"),
+    ),
+    "plus": (("plus", rf"(?<![A-Za-z0-9])plus\s{{1,3}}(?=(?:{_WORDS}|[0-9]))"),),
+    "word": (("", rf"(?<![^\W_])(?P<digit>{_WORDS})(?![^\W_])(?:[\s,-]{{1,3}}(?=(?:{_WORDS})(?![^\W_])))?"),),
+    "gone": (("gone", rf"[{INVISIBLE}]"),),
+}
+_HOLDS = {
+    "open": re.compile(r"[\[({<]"),
+    "@": re.compile("@"),
+    "named": re.compile(DOT_WORDS, re.I),
+    "loose": re.compile(r"\s\."),
+    "plus": re.compile("plus", re.I),
+    "gone": re.compile(f"[{INVISIBLE}]"),
+}
+
+
+@functools.cache
+def _pattern(holds: frozenset[str]) -> re.Pattern:
+    parts = {name: "|".join(p for need, p in of if not need or need in holds) for name, of in _PARTS.items()}
+    return re.compile("|".join(f"(?P<{name}>{p})" for name, p in parts.items() if p), re.I)
+
+
+def _tokens(flat: str) -> re.Pattern:
+    """The tokens that can stand in a text: an alternative is left out only if a text like this can't match it."""
+    holds = {name for name, sign in _HOLDS.items() if sign.search(flat)}
+    if "named" in holds or "open" in holds:
+        holds.add("bare")
+    return _pattern(frozenset(holds))
 
 
 def normalise(text: str) -> tuple[str, list[tuple[int, int, int]]]:
@@ -142,7 +170,7 @@ def normalise(text: str) -> tuple[str, list[tuple[int, int, int]]]:
     out: list[str] = []
     spans: list[tuple[int, int, int]] = []
     place = done = 0
-    for m in _TOKENS.finditer(flat):
+    for m in _tokens(flat).finditer(flat):
         s, e = m.span()
         if s > done:
             out.append(flat[done:s])
@@ -160,30 +188,12 @@ def normalise(text: str) -> tuple[str, list[tuple[int, int, int]]]:
     return "".join(out), spans
 
 
-def disguised(text: str) -> bool:
-    """Is there anything that the transducer would rewrite into an identifier?"""
-    if not text.isascii() and not _table()[1].isdisjoint(text):
-        return True
-    if ("(" in text or "[" in text or "{" in text or "<" in text) and _BRACKETED.search(text):
-        return True
-    low = text.lower()
-    if " @" in low or "@ " in low or ("dot" in low or "punto" in low or "punkt" in low or "point" in low) and _BARE.search(low):
-        return True
-    return bool(_SPELLED_RUN.search(low))
-
-
-#: A dot by its name before an ending, or between spelled or written digits.
-_BARE = re.compile(rf"[A-Za-z0-9]{_GAP}(?:{DOT_WORDS}){_GAP}(?:{_END}|(?:{_WORDS})(?![^\W_])|[0-9]|{_LABEL}{_GAP}(?:{DOT_WORDS}){_GAP})")
-#: Four spelled digits in a row, the dots of an address between them allowed.
-_SPELLED_RUN = re.compile(rf"(?<![^\W_])(?:{_WORDS})(?:(?:\s+(?:{DOT_WORDS}))?[\s,.;-]+(?:{_WORDS})(?![^\W_])){{3}}")
-
-
 def find(text: str) -> tuple[list[Span], list[Span]]:
     """(plain finds, added finds), each by kind, then start."""
     base = plain(text)
-    if not disguised(text):
-        return base, []
     flat, spans = normalise(text)
+    if flat == text:
+        return base, []
     places = [p for p, _, _ in spans]
 
     def source(at: int, end: bool) -> int:

@@ -107,6 +107,21 @@ def test_disguises_are_found_at_their_source(text, kind, source):
     assert (kind, text.index(source), text.index(source) + len(source)) in added
 
 
+@pytest.mark.parametrize(
+    ("text", "kind", "source"),
+    [
+        ("call +49 30 five five one 2345", 3, "+49 30 five five one 2345"),
+        ("plus 49 30 1234567", 3, "plus 49 30 1234567"),
+        ("host 10.zero.zero.1", 1, "10.zero.zero.1"),
+        ("card 4111 1111 1111 1 one one one", 2, "4111 1111 1111 1 one one one"),
+    ],
+)
+@pytest.mark.parametrize("other", ["", "elsewhere (.) ", "elsewhere а "])
+def test_finds_do_not_depend_on_other_text(other, text, kind, source):
+    start = len(other) + text.index(source)
+    assert pii.find(other + text)[1] == [(kind, start, start + len(source))]
+
+
 @settings(max_examples=200, deadline=None)
 @given(st.lists(st.sampled_from([" at ", "(at)", " dot ", "[dot]", "one ", "five", "plus ", "а", "x", "@", ".", "de", "​", "4", " "]), max_size=12))
 def test_finds_lie_within_the_text_and_keep_the_plain_ones(pieces):
@@ -114,6 +129,9 @@ def test_finds_lie_within_the_text_and_keep_the_plain_ones(pieces):
     base, added = pii.find(text)
     assert base == plain_pii(text)
     assert all(0 <= s < e <= len(text) for _, s, e in added)
+    with pytest.MonkeyPatch.context() as patch:  # no token may be left out that could stand in the text
+        patch.setattr(pii, "_tokens", lambda flat: pii._pattern(frozenset((*pii._HOLDS, "bare"))))
+        assert pii.find(text) == (base, added)
 
 
 def test_clean_prose_has_no_personal_data():
