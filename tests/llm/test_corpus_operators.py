@@ -274,6 +274,19 @@ def test_compact_windows_are_those_of_the_definition(values, t):
     assert got == want
 
 
+def test_equal_passages_are_found_among_documents_that_share_less(spark):
+    draw = random.Random(5)
+    passage = prose(draw, 51).split()
+    texts = {0: " ".join(passage) + " " + prose(draw, 20), 999: prose(draw, 20) + " " + " ".join(passage)}
+    for i in range(1, 200):  # part of it, in texts of their own
+        s = draw.randrange(51 - 24)
+        texts[i] = prose(draw, 60) + " " + " ".join(passage[s : s + draw.randint(24, 40)]) + " " + prose(draw, 60)
+    rows = [(i, t, "s") for i, t in texts.items()]
+    out = {r["doc_id"]: r for r in compact_windows.repeated_passages(spark.createDataFrame(rows, SCHEMA)).collect()}
+    assert set(out) == {0, 999}
+    assert out[0]["spans"] == "0:51" and out[999]["spans"] == "20:71" and out[999]["class_id"] == 0
+
+
 def test_passages(spark):
     draw = random.Random(12)
     passage = prose(draw, 60)
