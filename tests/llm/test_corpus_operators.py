@@ -287,6 +287,15 @@ def test_equal_passages_are_found_among_documents_that_share_less(spark):
     assert out[0]["spans"] == "0:51" and out[999]["spans"] == "20:71" and out[999]["class_id"] == 0
 
 
+def test_class_size_counts_all_documents_of_a_passage(spark):
+    draw = random.Random(6)
+    passage = prose(draw, 60)
+    rows = [(i, prose(draw, 40) + " " + passage + " " + prose(draw, 40), "s") for i in range(100)] + [(200, prose(draw, 90), "s")]
+    out = compact_windows.repeated_passages(spark.createDataFrame(rows, SCHEMA)).collect()
+    assert {(r["doc_id"], r["class_id"], r["class_size"]) for r in out} == {(i, 0, 100) for i in range(100)}
+    assert "n_links" not in out[0]
+
+
 def test_passages(spark):
     draw = random.Random(12)
     passage = prose(draw, 60)
