@@ -19,7 +19,7 @@ class Bash(Parser):
 
     def __init__(self, text: str):
         self.text, self.at, self.comments = text, 0, []
-        self.pending: list[tuple[str, bool, Node]] = []
+        self.pending: list[tuple[str, bool, bool, Node]] = []
         self.quoted = 0  # backquotes around
 
     # -- characters
@@ -71,7 +71,8 @@ class Bash(Parser):
 
     def heredocs(self) -> None:
         """After a line's end: the documents announced on it."""
-        for word, strip, node in self.pending:
+        announced, self.pending = self.pending, []
+        for word, strip, quoted, node in announced:
             start = self.at
             while self.at < len(self.text):
                 end = self.text.find("\n", self.at)
@@ -79,12 +80,32 @@ class Bash(Parser):
                 line = self.text[self.at : end]
                 self.at = min(end + 1, len(self.text))
                 if (line.lstrip("\t") if strip else line).rstrip("\r") == word:
-                    node.kids.append(Node("heredoc_body", start, end - len(line)))
+                    node.kids.append(self.heredoc_body(start, end - len(line), quoted))
                     node.kids.append(Node("heredoc_end", end - len(line), end))
                     break
             else:
-                node.kids.append(Node("heredoc_body", start, self.at))
-        self.pending = []
+                node.kids.append(self.heredoc_body(start, self.at, quoted))
+
+    def heredoc_body(self, start: int, end: int, quoted: bool) -> Node:
+        """A document's text; unless its word is quoted, the expansions in it are its children."""
+        node = Node("heredoc_body", start, end)
+        if quoted or not re.compile(r"[$`]").search(self.text, start, end):
+            return node
+        held, self.at = (self.text, self.at, self.pending), start
+        self.text, self.pending = self.text[:end], []  # nothing in it goes on beyond its end
+        while self.at < end:
+            c, at = self.text[self.at], self.at
+            try:
+                if c == "$" and (_SPECIAL.match(self.text, at) or self.text[at + 1 : at + 2] in ("(", "{")):
+                    node.kids.append(self.expansion())
+                elif c == "`":
+                    node.kids.append(self.backquote())
+                else:
+                    self.at += 2 if c == "\\" else 1
+            except (Bad, IndexError):
+                self.at = at + 1
+        self.text, self.at, self.pending = held
+        return node
 
     # -- lists of commands
     def file(self) -> Node:
@@ -179,7 +200,7 @@ class Bash(Parser):
                 raise Bad
             self.at = w.end()
             node = self.make("heredoc_redirect", *parts, Node("heredoc_start", w.start(), w.end()))
-            self.pending.append((w[2] or w[3], m[2] == "<<-", node))
+            self.pending.append((w[2] or w[3], m[2] == "<<-", bool(w[1] or w[3]), node))
             return node
         kind = "herestring_redirect" if m[2] == "<<<" else "file_redirect"
         return self.make(kind, *parts, ("destination", self.word_()))

@@ -52,7 +52,7 @@ class JavaScript(Curly):
                 at = self.template(at, stop)
                 fresh = False
                 continue
-            if c == "/" and text[at : at + 2] not in ("//", "/*") and self.regex_here():
+            if c == "/" and text[at : at + 2] not in ("//", "/*") and text[at - 1 : at] != "<" and self.regex_here():
                 m = _REGEX.match(text, at)
                 if m:
                     self.tokens.append(Token("regex", m[0], at, m.end(), fresh))
@@ -700,11 +700,17 @@ class JavaScript(Curly):
         return self.make("pair", *parts, ("key", name), self.want(":"), ("value", self.expression()))
 
     def jsx(self) -> Node:
-        """An element of embedded markup, as one leaf: its tags are matched, its contents are not read."""
+        """An element of embedded markup: its tags are matched, the expressions in braces are its children."""
         start, depth = self.now.start, 0
+        parts: list[Node] = []
         i = self.at
         while i < len(self.tokens) - 1:
             t = self.tokens[i]
+            if t.text == "{" and t.kind is OP:
+                self.go(i)
+                parts.append(self.jsx_expression())
+                i = self.at
+                continue
             if t.text == "<" and self.tokens[i + 1].text == "/":
                 depth -= 1
             elif t.text == "<" and (self.tokens[i + 1].kind == ID or self.tokens[i + 1].text == ">"):
@@ -713,10 +719,28 @@ class JavaScript(Curly):
                 depth -= 1
             if t.text == ">" and depth <= 0 and (self.tokens[i - 1].text != "="):
                 self.go(i + 1)
-                return Node("jsx_element", start, t.end)
+                return Node("jsx_element", start, t.end, parts)
             i += 1
         raise Bad
 
+    def jsx_expression(self) -> Node:
+        """An expression in braces, or none; what can't be read is an ERROR to the closing brace."""
+        at, held = self.at, self.no_in
+        self.no_in = False
+        try:
+            return self.make("jsx_expression", self.leaf(), None if self.see("}") else self.spread() if self.see("...") else self.comma(), self.want("}"))
+        except Bad:
+            self.go(at)
+            depth = 0
+            while self.now.kind is not END:
+                depth += self.see("{", "${") - self.see("}")
+                t = self.step()
+                if not depth:
+                    return Node("ERROR", self.tokens[at].start, t.end)
+            raise
+        finally:
+            self.no_in = held
+
     def postfix(self, left: Node) -> Node:
         while True:
             if self.see(".", "?."):

@@ -162,3 +162,19 @@ def kinds_of_mini():
     for s in facts_of("x", catalog.get("mini"), b"a: 1\nb: 2\n", EVERYTHING, None)["symbols"]:
         out.setdefault(s["kind"], []).append(s["name"])
     return out
+
+
+def test_expressions_in_markup_are_read():
+    text = "function App({items}) {\n  return <ul className={cls(a > b)} {...rest()} onClick={() => go(x)}>\n    {/* note */}{}\n    {items.map(i => ok && i ? <li key={id(i)}>{show(i)}</li> : null)} text {} <b>{`a${deep(1)}`}</b>\n  </ul>;\n}\nfunction next() { return after(); }\n"
+    assert callees("javascript", text) == ["cls", "rest", "go", "items.map", "id", "show", "deep", "after"]
+    assert kinds("javascript", text)["functions"] == ["App", "next"]
+    broken = "const a = <p>{f(1) g} and {h(2)}</p>;\nk();\n"
+    assert callees("javascript", broken)[-2:] == ["h", "k"]
+
+
+def test_expansions_in_here_documents_are_read():
+    text = "cat <<A <<'B' <<-C\nx $(one a) `two` ${v:-$(three)} \\$(no)\nA\n$(quoted)\nB\n\t$(four\n\tC\nfive\n"
+    found = callees("bash", text)
+    assert {"cat", "one", "two", "three", "five"} <= set(found)
+    assert not {"no", "quoted"} & set(found)
+    assert "simple_expansion" in {n.kind for n in parse("bash", "cat <<A\n$v\nA\n").nodes}
