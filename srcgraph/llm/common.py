@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import gc
 import tempfile
 import uuid
 from collections.abc import Callable, Iterable, Iterator
@@ -40,15 +39,9 @@ def settled(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def release(spark: SparkSession) -> None:
-    """Let Spark drop the shuffle files of frames that nothing refers to; else they wait for the driver's next collection."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
-
-
-def partitions(spark: SparkSession) -> int:
-    """Partitions for an explicit shuffle."""
-    return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
+def partitions(df: DataFrame) -> int:
+    """Partitions for an explicit shuffle of what df's texts make: the session's number, more if df itself has more."""
+    return max(1, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), df.rdd.getNumPartitions())
 
 
 def sliced(column: pa.Array, limit: int = SLICE_BYTES) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
@@ -90,13 +83,14 @@ def spread_join(left: DataFrame, right: DataFrame, keys: list[str], how: str = "
     return left.join(right, [*keys, "_salt"], how).drop("_salt")
 
 
-#: Edges up to which one task unites them all: a few megabytes, checked before.
-FEW_EDGES = 300_000
+#: Edges that a task unites at once.
+CHUNK = 200_000
 
 
-def _united(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Union-find over (u, v): node, root of the nodes that are not the least of their component."""
+def _forests(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Union-find over some (u, v) at a time: u, v being a node and the least of its component, for nodes that are not it."""
     root: dict = {}
+    kind, seen = None, 0
 
     def top(x: object) -> object:
         while root[x] != x:
@@ -104,48 +98,47 @@ def _united(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             x = root[x]
         return x
 
-    types = None
+    def flush() -> Iterator[pa.RecordBatch]:
+        found = [(x, r) for x in root if (r := top(x)) != x]
+        for s in range(0, len(found), 10_000):
+            yield pa.RecordBatch.from_arrays([pa.array(c, kind) for c in zip(*found[s : s + 10_000], strict=True)], names=["u", "v"])
+
     for batch in batches:
-        types = batch.schema.field(0).type
+        kind, seen = batch.schema.field(0).type, seen + batch.num_rows
         for u, v in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
             root.setdefault(u, u)
             root.setdefault(v, v)
             a, b = top(u), top(v)
             if a != b:
                 root[max(a, b)] = min(a, b)
-    found = [(x, top(x)) for x in root]
-    found = [(x, r) for x, r in found if x != r]
-    for s in range(0, len(found), 10_000):
-        yield pa.RecordBatch.from_arrays([pa.array(c, types) for c in zip(*found[s : s + 10_000], strict=True)], names=["node", "root"])
+        if seen >= CHUNK:
+            yield from flush()
+            root, seen = {}, 0
+    yield from flush()
 
 
 def components(edges: DataFrame) -> DataFrame:
     """Connected components of edges(a, b): node, root (the least of the component), for nodes of edges between two.
 
-    Alternating large-star and small-star steps; each round is a table in the shared folder, and the
-    driver only sees a count and a checksum of it. A table of at most FEW_EDGES is united in one task.
+    Each task first unites the edges it has, a bounded number at once; then large-star and small-star
+    steps alternate until every node has one edge, to a node that has none. Each round is a table in
+    the shared folder; the driver only learns whether it is the last.
     """
     from pyspark.sql import functions as F
 
-    def put(df: DataFrame) -> tuple[DataFrame, tuple]:
-        df = settled(df.distinct(), "edges")
-        row = df.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        return df, tuple(row)
-
-    now, seen = put(edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")))
-    if seen[0] <= FEW_EDGES:
-        kind = now.schema["u"].dataType.simpleString()
-        return now.coalesce(1).mapInArrow(_united, f"node {kind}, root {kind}")
-    while seen[0]:
+    pair = edges.where("a <> b").select(F.col("a").alias("u"), F.col("b").alias("v"))
+    kind = pair.schema["u"].dataType.simpleString()
+    now = settled(pair.mapInArrow(_forests, f"u {kind}, v {kind}").distinct(), "edges")
+    while True:
+        ends = now.select(F.col("u").alias("x"), F.lit(1).alias("up"), F.lit(0).alias("down")).unionByName(now.select(F.col("v").alias("x"), F.lit(0).alias("up"), F.lit(1).alias("down")))
+        open_ = ends.groupBy("x").agg(F.sum("up").alias("up"), F.max("down").alias("down")).where("up > 1 or (up > 0 and down > 0)")
+        if open_.isEmpty():
+            return now.select(F.col("u").alias("node"), F.col("v").alias("root"))
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = spread_join(both.where("v > u"), least, ["u"]).select(F.col("v").alias("u"), F.col("m").alias("v"))
-        large = large.distinct()
+        large = spread_join(both.where("v > u"), least, ["u"]).select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = spread_join(large, least, ["u"])
         small = small.select("u", F.col("m").alias("v")).unionByName(small.select(F.col("v").alias("u"), F.col("m").alias("v"))).where("u <> v")
-        after, mark = put(small)
-        if mark == seen:
-            break
-        now, seen = after, mark
-    return now.select(F.col("u").alias("node"), F.col("v").alias("root"))
+        # what a task has of the result is united again: long paths shorten in each round
+        now = settled(small.mapInArrow(_forests, f"u {kind}, v {kind}").distinct(), "edges")

@@ -166,8 +166,7 @@ def _blocks(docs: DataFrame) -> DataFrame:
 
     The bounds of the blocks are quantiles of the ids; driver and tasks only see one number per block.
     """
-    spark = docs.sparkSession
-    n = 4 * partitions(spark)  # several blocks a partition even out what hashing deals
+    n = 4 * partitions(docs)  # several blocks a partition even out what hashing deals
     ids = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63))).alias("id"))
     found = ids.select(F.percentile_approx("id", [i / n for i in range(1, n)] or [0.5], 20 * n).alias("q")).first()["q"] or []
     cuts = np.unique(np.array(found, np.int64))
@@ -211,7 +210,7 @@ def fingerprint_neighbours(docs: DataFrame, id_col: str = "doc_id", text_col: st
     the first. One shuffle of the texts into blocks of neighbouring ids.
     """
     docs = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    rows = _blocks(docs).repartition(partitions(docs.sparkSession), "block").sortWithinPartitions("block", "tail", F.desc("_id"), F.asc_nulls_first("text")).select("block", "tail", "doc_id", "text")
+    rows = _blocks(docs).repartition(partitions(docs), "block").sortWithinPartitions("block", "tail", F.desc("_id"), F.asc_nulls_first("text")).select("block", "tail", "doc_id", "text")
     kind = docs.schema["doc_id"].dataType.simpleString()
     names = ["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"]
 

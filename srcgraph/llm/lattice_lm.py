@@ -224,7 +224,7 @@ def score_documents(docs: DataFrame, path: str, id_col: str = "doc_id", text_col
 
     path: a SentencePiece model file. lattice_score: the log10 base measure of the words alone.
     """
-    p = partitions(docs.sparkSession)
+    p = partitions(docs)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(held_out(F.col(id_col)), F.lit(False)).alias("held"), F.col(text_col).cast("string").alias("text"))
     blocks = rows.mapInArrow(_blocks(p * BUCKETS_EACH), BLOCKS).repartition(p, "bucket").sortWithinPartitions("bucket")
     parts = blocks.mapInArrow(_score(path), VALUES).repartition(p, "block").sortWithinPartitions("block")

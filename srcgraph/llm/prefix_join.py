@@ -32,7 +32,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import components, partitions, release, settled, sliced, spread_join
+from .common import components, partitions, settled, sliced, spread_join
 from .words import BASE, Words, mix, windows
 
 #: Documents of a block (a token's documents are bytes), buckets for each partition, classes of half a unit.
@@ -287,14 +287,11 @@ def _stars(posts: DataFrame, salts: int = 16) -> DataFrame:
 
 def jaccard_components(docs: DataFrame, n: int = 4, percent: int = 85, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_shingles, component_id for every row of docs."""
-    spark = docs.sparkSession
-    p = partitions(spark)
+    p = partitions(docs)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     blocks = rows.mapInArrow(_blocks(n, p * BUCKETS_EACH), BLOCKS).repartition(p, "bucket").sortWithinPartitions("bucket")
     shared = blocks.mapInArrow(_count, SHARED).repartition(p, "block").sortWithinPartitions("block")
     table = settled(shared.mapInArrow(_prefixes(percent), DOCS), "ngram-sets")
-    del blocks, shared
-    release(spark)
 
     classes = table.where("key is not null").groupBy("key").agg(F.min("doc_id").alias("least"), F.count("*").alias("n"))
     wanted = table.where("prefix is not null")

@@ -139,7 +139,7 @@ READ = "page_id {id}, url string, payload_bytes long, payload_digest string, rec
 def read_records(selected: DataFrame, folder: str, with_payload: bool = False) -> DataFrame:
     """The records of index rows, read back; a response whose payload does not have its digest is an error."""
     kind = selected.schema["page_id"].dataType
-    dealt = selected.select("archive", "offset", "length", F.floor(F.col("offset") / READ_BYTES).alias("part")).repartition(partitions(selected.sparkSession), "archive", "part").sortWithinPartitions("archive", "offset").drop("part")
+    dealt = selected.select("archive", "offset", "length", F.floor(F.col("offset") / READ_BYTES).alias("part")).repartition(partitions(selected), "archive", "part").sortWithinPartitions("archive", "offset").drop("part")
     names = ["page_id", "url", "payload_bytes", "payload_digest", "record_type", "refers_to"] + ["payload"] * with_payload
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
