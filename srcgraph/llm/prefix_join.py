@@ -8,13 +8,18 @@
    document whose prefix holds only tokens of its own has no partner and drops out here.
 4. Documents with equal sets are one class; classes with equal prefixes and sizes are one group.
    Groups that share prefix tokens form candidate clusters: a star per token, never all pairs.
-5. Groups are expanded; the classes of a cluster meet by size (a partner is at most 100 / P times
-   as large) in units of bounded size, and are verified by their exact overlap. A pair that is
-   connected already needs no check, so each unit returns a spanning forest of its links.
-6. Components of the links, then of the documents of each class.
-
-A token carries 40 bits and its bucket's; both stand for the n-gram. Every step's output is linear
-in its input whatever the size of a group, and nothing is dropped.
+5. The classes of a cluster meet by size (a partner is at most 100 / P times as large) in units of
+   bounded size. In a unit, pairs of groups that share prefix tokens are formed and filtered by size
+   and by the places of the shared tokens; what is left is expanded, and members are verified by
+   their exact overlap. A pair that is connected already needs no check.
+6. A cluster of many units sends its likeliest centres, a few classes with the fewest tokens of
+   their own, to all its units: near copies of one text become connected in this pass, whose rows
+   grow in proportion to the cluster. Classes that are still apart from the cluster's largest
+   component then meet all classes of the cluster, so no link is lost; this second pass costs
+   their number times the cluster's size / UNIT.
+7. Components of the links, then of the documents of each class.
+
+A token carries 40 bits and its bucket's; both stand for the n-gram.
 
 Defined results: texts with fewer words than n are one n-gram; texts without words and null texts
 have no set, link with nothing and are their own component; rows that repeat a document id are
@@ -29,14 +34,16 @@ from collections.abc import Iterable, Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import components, partitions, settled, sliced, spread_join
 from .words import BASE, Words, mix, windows
 
-#: Documents of a block (a token's documents are bytes), buckets for each partition, classes of half a unit.
-BLOCK_DOCS, BUCKETS_EACH, UNIT = 256, 3, 512
+#: Documents of a block (a token's documents are bytes), buckets for each partition.
+BLOCK_DOCS, BUCKETS_EACH = 256, 3
+#: Classes of a unit, centres that all units of a cluster get, classes of half a unit of the second pass.
+UNIT, CENTRES, HALF = 128, 16, 512
 
 _C1, _C2 = np.uint64(0xA0761D6478BD642F), np.uint64(0xE7037ED1A0B428DB)
 
@@ -78,8 +85,8 @@ def _unpack(raw: bytes) -> np.ndarray:
 
 
 def _pack6(token: np.ndarray) -> bytes:
-    """48 bits of each token's hash, sorted: enough to tell the tokens of one unit apart."""
-    token = np.sort(mix(token) >> np.uint64(16))
+    """48 bits of each token's hash in the tokens' order: enough to tell the tokens of one unit apart."""
+    token = mix(token) >> np.uint64(16)
     return (token & np.uint64(0xFFFFFFFF)).astype("<u4").tobytes() + (token >> np.uint64(32)).astype("<u2").tobytes()
 
 
@@ -124,7 +131,7 @@ def _blocks(n: int, buckets: int):
         own = bucket[at]
         cuts = np.flatnonzero(np.append(True, own[1:] != own[:-1])) if len(own) else np.zeros(0, np.int64)
         rows: dict[str, list] = {c: [] for c in _BLOCKS.names}
-        for a, b in zip(cuts, np.append(cuts[1:], len(own)), strict=True):
+        for a, b in zip(cuts, np.append(cuts[1:], len(own))[: len(cuts)], strict=True):
             s, e = at[a], at[b] if b < len(at) else len(doc)
             for c, v in zip(rows, (int(own[a]), block, _pack(token[at[a:b]]), count[a:b].astype("<u2").tobytes(), doc[s:e].tobytes(), None, None, None, None), strict=True):
                 rows[c].append(v)
@@ -187,15 +194,15 @@ def _count(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(out[f.name], f.type) for f in _SHARED], schema=_SHARED)
 
 
-DOCS = "doc_id long, n_shingles long, key string, prefix array<long>, shared binary"
-_DOCS = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("key", pa.string()), ("prefix", pa.list_(pa.int64())), ("shared", pa.binary())])
+DOCS = "row long, doc_id long, n_shingles long, key string, prefix array<long>, shared binary"
+_DOCS = pa.schema([("row", pa.int64()), ("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("key", pa.string()), ("prefix", pa.list_(pa.int64())), ("shared", pa.binary())])
 
 
 def _prefixes(percent: int):
     """Step 3, over rows sorted by block."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, rows in grouped(batches, 1):
+        for (block,), rows in grouped(batches, 1):
             meta = next(r for r in rows if r["ids"] is not None)
             rows = [r for r in rows if r["tokens"] is not None]
             none = np.zeros(0, np.uint64)
@@ -206,7 +213,7 @@ def _prefixes(percent: int):
             token, doc = token[order], doc[order]
             first = np.searchsorted(doc, np.arange(len(meta["ids"]) + 1))
             digests = np.frombuffer(meta["digests"], "<u8").reshape(-1, 2)
-            columns: list[list] = [[], [], [], [], []]
+            columns: list[list] = [[] for _ in _DOCS]
             for i, (id, size, twin) in enumerate(zip(meta["ids"], meta["sizes"], meta["twins"], strict=True)):
                 prefix = shared = None
                 alone = size - int(first[i + 1] - first[i])
@@ -215,111 +222,195 @@ def _prefixes(percent: int):
                     mine = token[first[i] : first[i + 1]]
                     prefix, shared = mine[: length - alone].astype(np.int64), _pack6(mine)
                 key = f"{int(digests[i, 0]):016x}{int(digests[i, 1]):016x}{size:x}" if size else None
-                for c, v in zip(columns, (id, size, key, prefix, shared), strict=True):
+                for c, v in zip(columns, (block * BLOCK_DOCS + i, id, size, key, prefix, shared), strict=True):
                     c.append(v)
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, _DOCS, strict=True)], schema=_DOCS)
 
     return run
 
 
-def forest(sets: list[np.ndarray], sizes: np.ndarray, home: np.ndarray, percent: int) -> list[tuple[int, int]]:
-    """Edges of a spanning forest of the links among sets; pairs of two guests are left to another unit."""
-    n = len(sets)
-    root = list(range(n))
-
-    def top(i: int) -> int:
-        while root[i] != i:
-            root[i] = root[root[i]]
-            i = root[i]
-        return i
+def group_pairs(prefixes: list[np.ndarray], sizes: np.ndarray, alone: np.ndarray, percent: int) -> list[np.ndarray]:
+    """For each group the groups that it can have links with, itself included.
 
+    prefixes: a group's prefix tokens in the global order, those that no other document has left out;
+    alone: the number of those. A pair must share a token, be of like size, and the shared tokens must
+    leave enough of both sets for the overlap that the likeness takes (the positional filter).
+    """
+    n = len(prefixes)
+    lengths = np.array([len(p) for p in prefixes])
+    token, owner = np.concatenate(prefixes), np.repeat(np.arange(n), lengths)
+    place = np.arange(len(token)) - np.repeat(np.cumsum(lengths) - lengths, lengths) + alone[owner]
+    _, token = np.unique(token, return_inverse=True)
+    order = np.argsort(token, kind="stable")
+    start = np.concatenate(([0], np.cumsum(np.bincount(token, minlength=1))))
+    first = np.concatenate(([0], np.cumsum(lengths)))
+    out = []
+    for x in range(n):
+        mine = token[first[x] : first[x + 1]]
+        s, e = start[mine], start[mine + 1]
+        at = order[np.arange((e - s).sum()) + np.repeat(s - np.concatenate(([0], np.cumsum(e - s)[:-1])), e - s)]
+        common = np.bincount(owner[at], minlength=n)
+        here, there = np.zeros(n, np.int64), np.zeros(n, np.int64)
+        here[owner[at]] = np.repeat(place[first[x] : first[x + 1]], e - s)  # of a pair's shared tokens the last one stays
+        there[owner[at]] = place[at]
+        need = -(-percent * (sizes[x] + sizes) // (100 + percent))
+        most = common + np.minimum(sizes[x] - here, sizes - there) - 1
+        fits = (common > 0) & (most >= need) & (100 * np.minimum(sizes, sizes[x]) >= percent * np.maximum(sizes, sizes[x]))
+        fits[x] = True
+        out.append(np.flatnonzero(fits))
+    return out
+
+
+def forest(sets: list[np.ndarray], heads: np.ndarray, sizes: np.ndarray, home: np.ndarray, percent: int, lead: np.ndarray | None = None, label: np.ndarray | None = None) -> list[tuple[int, int]]:
+    """Edges that connect what links connect among sets.
+
+    heads: how many of a set's tokens are its prefix. Pairs of two guests, or of two that don't lead,
+    are left to another unit; sets with equal labels are connected already.
+    """
+    n = len(sets)
+    lead = np.ones(n, bool) if lead is None else lead
+    label = np.arange(n) if label is None else np.unique(label, return_inverse=True)[1]
     lengths = np.array([len(s) for s in sets])
+    groups: dict[tuple, int] = {}
+    group = np.array([groups.setdefault((int(z), s[:h].tobytes()), len(groups)) for s, h, z in zip(sets, heads, sizes, strict=True)])
+    of = np.unique(group, return_index=True)[1]
+    partners = group_pairs([sets[i][: heads[i]] for i in of], sizes[of], (sizes - lengths)[of], percent)
     token = np.concatenate(sets)
     owner = np.repeat(np.arange(n), lengths)
     _, token = np.unique(token, return_inverse=True)
-    order = np.argsort(token, kind="stable")
-    posting = owner[order]
+    posting = owner[np.argsort(token, kind="stable")]
     start = np.concatenate(([0], np.cumsum(np.bincount(token))))
     first = np.concatenate(([0], np.cumsum(lengths)))
     edges: list[tuple[int, int]] = []
+    left = len(np.unique(label)) - 1
     for x in np.argsort(sizes - lengths, kind="stable"):  # those with the fewest tokens of their own link to most
+        if not left:
+            break
+        near = np.zeros(len(of), bool)
+        near[partners[group[x]]] = True
+        todo = near[group] & (home | home[x]) & (lead | lead[x]) & (label != label[x])
+        if not todo.any():
+            continue
         mine = token[first[x] : first[x + 1]]
         s, e = start[mine], start[mine + 1]
-        long = e - s
-        if not long.sum():
-            continue
-        place = np.arange(long.sum()) + np.repeat(s - np.concatenate(([0], np.cumsum(long)[:-1])), long)
+        place = np.arange((e - s).sum()) + np.repeat(s - np.concatenate(([0], np.cumsum(e - s)[:-1])), e - s)
         common = np.bincount(posting[place], minlength=n)
-        linked = (100 * common >= percent * (sizes[x] + sizes - common)) & (home | home[x])
-        for y in np.flatnonzero(linked):
-            a, b = top(x), top(y)
-            if a != b:
-                root[a] = b
+        for y in np.flatnonzero(todo & (100 * common >= percent * (sizes[x] + sizes - common))):
+            if label[x] != label[y]:
+                label = np.where(label == label[y], label[x], label)
                 edges.append((int(x), int(y)))
-        if len(edges) == n - 1:
-            break
+                left -= 1
     return edges
 
 
+#: What a unit's rows hold: the unit, the class and the flags that forest takes.
+MEMBER = ("row", "n_shingles", "head", "home", "lead", "label", "shared")
+
+
 def _verify(percent: int):
-    """Step 5, over rows (cluster, level, i, j, key, n_shingles, home, shared) sorted by unit."""
+    """Steps 5 and 6, over rows (cluster, level, i, j, *MEMBER) sorted by unit."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, rows in grouped(batches, 4):
-            rows = list({(r["key"], r["home"]): r for r in rows}.values())  # rows that repeat an id
-            home = np.array([r["home"] for r in rows])
-            if len(rows) > 1 and home.any():
-                sets = [_unpack6(r["shared"]) for r in rows]
-                found = forest(sets, np.array([r["n_shingles"] for r in rows]), home, percent)
+            each: dict[int, dict] = {}
+            for r in rows:  # a class may come as a member and as a centre
+                if r["lead"] or r["row"] not in each:
+                    each[r["row"]] = r
+            rows = list(each.values())
+            column = lambda c: np.array([r[c] for r in rows])  # noqa: B023, E731
+            home, lead, label = column("home"), column("lead"), column("label")
+            if len(rows) > 1 and home.any() and lead.any() and (label != label[0]).any():
+                found = forest([_unpack6(r["shared"]) for r in rows], column("head"), column("n_shingles"), home, percent, lead, label)
                 if found:
-                    yield pa.RecordBatch.from_arrays([pa.array([rows[e[i]]["key"] for e in found]) for i in (0, 1)], names=["a", "b"])
+                    yield pa.RecordBatch.from_arrays([pa.array([rows[e[i]]["row"] for e in found], pa.int64()) for i in (0, 1)], names=["a", "b"])
 
     return run
 
 
-def _stars(posts: DataFrame, salts: int = 16) -> DataFrame:
+def _stars(posts: DataFrame, salts: int = 64) -> DataFrame:
     """posts(grp, token) -> edges a, b that connect the groups of each token: a star in each part of the token, and one of the parts."""
-    part = Window.partitionBy("token", "part")
-    dealt = posts.withColumn("part", F.pmod(F.xxhash64("grp"), F.lit(salts)).cast("int")).withColumn("least", F.min("grp").over(part))
-    tops = dealt.where("grp = least").select("token", "least").withColumn("first", F.min("least").over(Window.partitionBy("token")))
-    return dealt.where("grp <> least").select(F.col("grp").alias("a"), F.col("least").alias("b")).unionByName(tops.where("least <> first").select(F.col("least").alias("a"), F.col("first").alias("b")))
+    dealt = posts.withColumn("part", F.pmod(F.xxhash64("grp"), F.lit(salts)).cast("int"))
+    tops = dealt.groupBy("token", "part").agg(F.min("grp").alias("least"))
+    firsts = tops.groupBy("token").agg(F.min("least").alias("first"))
+    within = dealt.join(tops, ["token", "part"]).select(F.col("grp").alias("a"), F.col("least").alias("b"))
+    return within.unionByName(tops.join(firsts, "token").select(F.col("least").alias("a"), F.col("first").alias("b"))).where("a <> b")
+
+
+def _units(rows: DataFrame, percent: int, p: int) -> DataFrame:
+    """Edges a, b among rows (cluster, level, i, j, *MEMBER)."""
+    unit = ("cluster", "level", "i", "j")
+    return settled(rows.select(*unit, *MEMBER).repartition(p, *unit).sortWithinPartitions(*unit, "row").mapInArrow(_verify(percent), "a long, b long"), "ngram-links")
+
+
+def _numbers(n: str, each: int = 1024) -> tuple:
+    """(blocks, numbers of a block): 0 .. n - 1 as two arrays to explode one after the other, so that one task needn't make them all."""
+    blocks = F.sequence(F.lit(0), F.floor((F.col(n) - 1) / each).cast("int"))
+    return blocks, F.sequence(F.col("block") * each, F.least(F.col(n) - 1, F.col("block") * each + each - 1))
+
+
+def _links(placed: DataFrame, sets: DataFrame, percent: int, p: int) -> DataFrame:
+    """Edges a, b that connect the classes of placed(row, n_shingles, head, own, cluster, size); sets: row, shared."""
+    unit = ["cluster", "level"]
+    placed = placed.withColumn("more", F.explode(F.array(F.lit(0), F.lit(1)))).withColumn("home", F.col("more") == 0).withColumn("level", F.col("size") + F.col("more"))
+    sizes = placed.groupBy(*unit).agg(F.count("*").alias("members"), F.max("home").alias("open")).where("members > 1 and open").select(*unit, "members", F.ceil(F.col("members") / UNIT).cast("int").alias("parts"))
+    dealt = spread_join(placed, sizes, unit).select(*unit, "members", "parts", "row", "n_shingles", "head", "own", "home", F.lit(True).alias("lead"), F.col("row").alias("label"))
+    dealt = settled(dealt, "ngram-units")
+
+    # the centres: of each slot of a cluster the class with the least share of tokens of its own
+    slot = F.pmod(F.xxhash64("row"), F.lit(CENTRES)).alias("slot")
+    rank = F.struct((F.col("own") / F.col("n_shingles")).alias("own"), "row")
+    centres = dealt.where("parts > 1").groupBy(*unit, "parts", slot).agg(F.min_by(F.struct("row", "n_shingles", "head", "home", "lead", "label"), rank).alias("c"))
+    blocks, numbers = _numbers("parts")
+    centres = centres.select(*unit, "parts", "c.*").join(sets, "row").withColumn("block", F.explode(blocks)).repartition(p, "row", "block").withColumn("i", F.explode(numbers))
+    part = F.pmod(F.xxhash64("row", F.lit(1)), F.col("parts")).cast("int")
+    members = dealt.join(sets, "row").withColumn("i", part)
+    columns = [*unit, "i", F.col("i").alias("j"), *MEMBER]
+    found = _units(members.select(*columns).unionByName(centres.select(*columns)), percent, p)
+
+    # what is still apart in clusters of several units meets the whole cluster
+    joined = components(found)
+    roots = joined.unionByName(joined.select(F.col("root").alias("node"), "root").distinct())
+    many = dealt.where("parts > 1").drop("label").join(roots, F.col("row") == F.col("node"), "left").withColumn("label", F.coalesce("root", "row")).drop("node", "root")
+    counts = many.groupBy(*unit, "members", "label").agg(F.count("*").alias("n"))
+    apart = counts.groupBy(*unit, "members").agg(F.max_by("label", F.struct("n", "label")).alias("top"), F.max("n").alias("n")).where("n < members")
+    apart = apart.select(*unit, "top", F.ceil((F.col("members") - F.col("n")) / HALF).cast("int").alias("rests"), F.ceil(F.col("members") / HALF).cast("int").alias("alls"))
+    late = settled(spread_join(many.drop("lead"), apart, unit).withColumn("lead", F.col("label") != F.col("top")), "ngram-apart")
+    with_sets = late.join(sets, "row")
+    half = lambda n: F.pmod(F.xxhash64("row", F.lit(2)), F.col(n)).cast("int")
+    rest = with_sets.where("lead").withColumn("i", half("rests")).withColumn("j", F.explode(F.sequence(F.lit(0), F.col("alls") - 1)))
+    whole = with_sets.withColumn("lead", F.lit(False)).withColumn("j", half("alls")).withColumn("i", F.explode(F.sequence(F.lit(0), F.col("rests") - 1)))
+    columns = [*unit, "i", "j", *MEMBER]
+    more = _units(rest.select(*columns).unionByName(whole.select(*columns)), percent, p)
+    return joined.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(more)
 
 
 def jaccard_components(docs: DataFrame, n: int = 4, percent: int = 85, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_shingles, component_id for every row of docs."""
     p = partitions(docs)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    blocks = rows.mapInArrow(_blocks(n, p * BUCKETS_EACH), BLOCKS).repartition(p, "bucket").sortWithinPartitions("bucket")
+    blocks = rows.mapInArrow(_blocks(n, p * BUCKETS_EACH), BLOCKS).repartitionById(p, F.col("bucket") % p).sortWithinPartitions("bucket")
     shared = blocks.mapInArrow(_count, SHARED).repartition(p, "block").sortWithinPartitions("block")
     table = settled(shared.mapInArrow(_prefixes(percent), DOCS), "ngram-sets")
 
     classes = table.where("key is not null").groupBy("key").agg(F.min("doc_id").alias("least"), F.count("*").alias("n"))
     wanted = table.where("prefix is not null")
-    # copies of a class in other blocks have the same set: its least row stands for it
-    sets = wanted.groupBy("key").agg(F.min(F.struct(F.coalesce("doc_id", F.lit(-1)).alias("id"), F.xxhash64("n_shingles", "prefix").alias("grp"), "n_shingles")).alias("s")).select("key", "s.*")
-    posts = wanted.select(F.xxhash64("n_shingles", "prefix").alias("grp"), F.explode("prefix").alias("token")).distinct()
-    clusters = components(_stars(posts))
+    group = F.xxhash64("n_shingles", "prefix").alias("grp")
+    # copies of a class in other blocks have the same set: its first row stands for it
+    first = F.struct("row", "n_shingles", F.size("prefix").alias("head"), (F.col("n_shingles") - F.octet_length("shared") / 6).cast("long").alias("own"), group)
+    chosen = settled(wanted.groupBy("key").agg(F.min(first).alias("s")).select("key", "s.*"), "ngram-classes")
+    clusters = components(_stars(wanted.select(group, F.explode("prefix").alias("token"))))
     clusters = clusters.unionByName(clusters.select(F.col("root").alias("node"), "root").distinct()).select(F.col("node").alias("grp"), F.col("root").alias("cluster"))
 
     # groups alone in their cluster still hold classes with equal prefixes
-    placed = spread_join(sets, clusters, ["grp"], "left").withColumn("cluster", F.coalesce("cluster", "grp"))
     size = F.floor(F.log(F.col("n_shingles").cast("double")) / max(math.log(100 / percent) * 1.0001, 1e-9)).cast("long")
-    placed = settled(placed.select("key", "id", "n_shingles", "cluster", size.alias("size")), "ngram-clusters")
-    placed = placed.withColumn("more", F.explode(F.array(F.lit(0), F.lit(1)))).withColumn("home", F.col("more") == 0).withColumn("level", F.col("size") + F.col("more"))
-    units = placed.groupBy("cluster", "level").agg(F.count("*").alias("members"), F.max("home").alias("open")).where("members > 1 and open").select("cluster", "level", F.ceil(F.col("members") / UNIT).cast("int").alias("parts"))
-    dealt = spread_join(placed, units, ["cluster", "level"]).withColumn("part", F.pmod(F.xxhash64("key"), F.col("parts")).cast("int"))
-    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-    dealt = dealt.select("cluster", "level", F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j"), "key", "n_shingles", "home", "id")
-    # the sets travel only now: once to their units' rows, once to the units
-    held = wanted.select("key", F.coalesce("doc_id", F.lit(-1)).alias("id"), "shared")
-    dealt = dealt.join(held, ["key", "id"]).drop("id").select("cluster", "level", "i", "j", "key", "n_shingles", "home", "shared")
-    dealt = dealt.repartition(p, "cluster", "level", "i", "j").sortWithinPartitions("cluster", "level", "i", "j", "key")
-    links = components(settled(dealt.mapInArrow(_verify(percent), "a string, b string"), "ngram-links"))
+    placed = spread_join(chosen.drop("key"), clusters, ["grp"], "left").select("row", "n_shingles", "head", "own", F.coalesce("cluster", "grp").alias("cluster"), size.alias("size"))
+    links = components(_links(placed, wanted.select("row", "shared"), percent, p))
 
     members = links.unionByName(links.select(F.col("root").alias("node"), "root").distinct())
-    named = members.join(classes, members["node"] == classes["key"]).select("key", "root", "least")
+    named = members.join(chosen.select("row", "key"), F.col("node") == F.col("row")).join(classes, "key").select("key", "root", "least")
     tops = named.groupBy("root").agg(F.min("least").alias("component_id"))
-    linked = spread_join(named, tops, ["root"]).select("key", "component_id")
+    # merged, as a broadcast of many members would leave a large component to one task
+    linked = spread_join(named.hint("merge"), tops, ["root"], salts=32).select("key", "component_id")
     alone = classes.where("n > 1").join(linked, "key", "left_anti").select("key", F.col("least").alias("component_id"))
-    out = spread_join(table.select("doc_id", "n_shingles", "key"), linked.unionByName(alone), ["key"], "left")
+    out = spread_join(table.select("doc_id", "n_shingles", "key"), linked.unionByName(alone), ["key"], "left", 32)
     return out.select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
