@@ -1,20 +1,27 @@
 """Language-model scores from a subword lattice.
 
-The pieces of an existing vocabulary, with probabilities by the rank that its scores give them,
-span a lattice over every word: each path is a segmentation. A forward recursion in log space sums
-over all paths, which makes a word's probability the marginal over its segmentations. A unigram
-model of whole words, learnt from the training part of the corpus, backs off to it (Witten and
-Bell): among N training tokens with V distinct ones, a token seen c times has probability
-c / (N + V), and an unseen one V / (N + V) times its marginal. A text's probability is the product
-over its words and one end.
+The pieces of an existing vocabulary, weighted by its scores, span a lattice over every word: each
+path is a segmentation. A forward recursion in log space sums over all paths, which makes a word's
+probability m the marginal over its segmentations. The words of the corpus are learnt as arcs of
+the same lattice: among N training tokens, one seen c times has an arc of weight c, and the paths
+through pieces share a weight of PRIOR, so its probability is (c + PRIOR m) / (N + PRIOR), the
+marginal over both (a Dirichlet prior whose mean is the lattice). `score` is the log10 probability
+of a text, the product over its words and one end; `lattice_score` is that of the pieces alone.
+
+Scores of a unigram model are log probabilities and are used as they are. A vocabulary whose scores
+are whole numbers has ranks for scores; its pieces get probabilities by rank, 1 / (rank + SHIFT).
 
 Corpus counts travel packed: a block of documents sends each bucket its distinct words with
 training counts; the bucket adds up the counts of all blocks, scores each word once and returns
 both to the blocks that have the word; there they meet the list of which document has which word
-how often. No table of words is collected or broadcast.
+how often. No table of words is collected or broadcast. However common a word is, a block sends it
+once, and buckets are as many as the input has partitions, so a bucket's size does not follow the
+size of the corpus.
 
 Defined results: null and empty texts consist of the end alone; repeated rows count again in
-training and are scored alike; without training documents every count is 0.
+training and are scored alike; without training documents every count is 0; null ids are not held
+out; a word of any length is one word, scored in time linear in it; further columns of the input,
+whatever their names, are not read.
 """
 
 from __future__ import annotations
@@ -35,8 +42,9 @@ from pyspark.sql import functions as F
 from .common import partitions, settled
 from .prefix_join import grouped
 
-#: The base measure of an end that was never seen; what base scores add to each count; documents and bytes of a block.
-END, ADDED = 0.05, 0.1
+#: The lattice's probability of the end, the weight of its paths in training tokens, what base scores add to each count.
+END, PRIOR, ADDED = 0.05, 10_000, 0.1
+#: Documents and bytes of a block, buckets for each partition.
 BLOCK_DOCS, BLOCK_BYTES, BUCKETS_EACH = 1024, 4 << 20, 2
 #: The shift of the rank-probability rule 1 / (rank + SHIFT), and the probability of ending a word's lattice in one more piece.
 SHIFT, MORE = 2.7, 0.5
@@ -73,11 +81,13 @@ class Lattice:
 
 @functools.lru_cache(maxsize=2)
 def lattice(path: str) -> Lattice:
-    """The lattice of a SentencePiece model file: ordinary pieces by falling score get probabilities by rank."""
+    """The lattice of a SentencePiece model file's ordinary pieces."""
     import sentencepiece
 
     model = sentencepiece.SentencePieceProcessor(model_file=path)
     ids = [i for i in range(model.get_piece_size()) if not (model.is_control(i) or model.is_unknown(i) or model.is_byte(i) or model.is_unused(i))]
+    if any(model.get_score(i) % 1 for i in ids):
+        return Lattice({model.id_to_piece(i): model.get_score(i) for i in ids}, "▁")
     ids.sort(key=lambda i: (-model.get_score(i), i))
     total = sum(1 / (rank + SHIFT) for rank in range(len(ids)))
     return Lattice({model.id_to_piece(i): -math.log((rank + SHIFT) * total) for rank, i in enumerate(ids)}, "▁")
@@ -212,8 +222,8 @@ def _gather(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             pa.array(meta["sizes"], pa.int64()),
             pa.array(per_doc(np.log10(c + ADDED))),
             pa.array(np.rint(per_doc(known.astype(float))).astype(np.int64)),
-            pa.array(per_doc(np.where(known, np.log10(np.maximum(c, 1)), log))),
-            pa.array(per_doc(log)),
+            pa.array(per_doc(np.log10(c + PRIOR * (1 - END) * 10**log))),
+            pa.array(per_doc(log + math.log10(1 - END))),
             pa.array(vocabulary, pa.int64()),
         ]
         yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "held_out", "n_words", "log_base", "known_words", "log_model", "lattice_score", "vocabulary"])
@@ -222,11 +232,11 @@ def _gather(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def score_documents(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, lattice_score for every row of docs.
 
-    path: a SentencePiece model file. lattice_score: the log10 base measure of the words alone.
+    path: a SentencePiece model file.
     """
     p = partitions(docs)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(held_out(F.col(id_col)), F.lit(False)).alias("held"), F.col(text_col).cast("string").alias("text"))
-    blocks = rows.mapInArrow(_blocks(p * BUCKETS_EACH), BLOCKS).repartition(p, "bucket").sortWithinPartitions("bucket")
+    blocks = rows.mapInArrow(_blocks(p * BUCKETS_EACH), BLOCKS).repartitionById(p, F.col("bucket") % p).sortWithinPartitions("bucket")
     parts = blocks.mapInArrow(_score(path), VALUES).repartition(p, "block").sortWithinPartitions("block")
     table = settled(parts.mapInArrow(_gather, SCORES), "lm-sums")
 
@@ -235,9 +245,7 @@ def score_documents(docs: DataFrame, path: str, id_col: str = "doc_id", text_col
     facts = table.agg(train.alias("n"), ends.alias("ends"), F.coalesce(F.sum("vocabulary"), F.lit(0)).alias("v")).first()
     n, end, v = facts["n"], facts["ends"], facts["v"] + (facts["ends"] > 0)
     own = F.col("n_words") + 1
-    base_end, model_end = math.log10(end + ADDED), math.log10(end or END)
-    unseen = own - F.col("known_words") - int(end > 0)
-    back_off = (math.log10(v) if v else 0.0) * unseen - (math.log10(n + v) if v else 0.0) * own
+    base_end, model_end = math.log10(end + ADDED), math.log10(end + PRIOR * END)
     return table.select(
         "doc_id",
         "held_out",
@@ -245,6 +253,6 @@ def score_documents(docs: DataFrame, path: str, id_col: str = "doc_id", text_col
         (F.col("known_words") + int(end > 0)).alias("n_known"),
         F.lit(n).cast("long").alias("train_tokens"),
         (F.col("log_base") + base_end - own * math.log10(n + ADDED * (v + 1))).alias("base_score"),
-        (F.col("log_model") + model_end + back_off).alias("score"),
-        "lattice_score",
+        (F.col("log_model") + model_end - own * math.log10(n + PRIOR)).alias("score"),
+        (F.col("lattice_score") + math.log10(END)).alias("lattice_score"),
     )
