@@ -4,9 +4,15 @@ Plain e-mail addresses, IPv4 addresses, payment cards and phone numbers are foun
 is. A transducer then rewrites the disguises: look-alike characters one for one, and `[at]`,
 ` dot `, spelled digits and invisible characters token by token, each output character keeping the
 source interval it came from. What the same detectors find in the rewritten text is mapped back to
-the source and added unless a plain find of its kind overlaps it.
+the source. Where only characters were rewritten, a find is added unless a plain find of its kind
+holds all of it, so a name that begins with a look-alike is covered whole; where words were
+rewritten, unless a find of its kind overlaps it.
 
-Every scan is linear in the text: runs are consumed whole, and an address is read from its @ outwards.
+A bare "at" counts before a known mail provider, before a domain with a spelled dot, and in capitals
+after a small letter; "look at example.com" is no address.
+
+Every scan is linear in the text: runs are consumed whole, an address is read from its @ outwards,
+and finds are looked up among sorted ones.
 
 Defined results: null and empty texts have no finds; spans count code points, the end is exclusive;
 repeated rows give repeated finds; finds of different kinds may overlap.
@@ -117,18 +123,25 @@ AT_WORDS, DOT_WORDS = "at|arroba", "dot|punto|punkt|point"
 ENDINGS = "com org net edu gov mil int info biz name io co ai dev app me tv uk de fr es it eu us ca ch nl be pt se no dk fi pl ru cn jp in br au example test invalid localhost"
 
 _WORDS = "|".join(sorted(SPELLED, key=len, reverse=True))
+#: Mail providers before which a bare "at" makes an address, fixed values.
+PROVIDERS = "gmail googlemail yahoo ymail hotmail outlook icloud aol gmx protonmail proton yandex"
 _OPEN, _CLOSE = r"\s{0,3}[\[({<]\s{0,3}", r"\s{0,3}[\])}>]\s{0,3}"
 _END = rf"(?:{ENDINGS.replace(' ', '|')})(?![A-Za-z0-9-])"
 _GAP = r"(?:\s{1,3}|[_-])"  # around a bare word
 _LABEL = r"[A-Za-z0-9]{1,63}"
 _DOT = rf"(?:{_GAP}(?:{DOT_WORDS}){_GAP}|{_OPEN}(?:{DOT_WORDS}|\.){_CLOSE}|\s{{1,2}}\.\s{{0,2}}|\.)"
 _BRACKETED_AT, _BRACKETED_DOT = rf"{_OPEN}(?:{AT_WORDS}|@){_CLOSE}", rf"{_OPEN}(?:{DOT_WORDS}|\.){_CLOSE}"
+_DOMAIN_AHEAD = rf"{_LABEL}(?:-{_LABEL})*?(?:{_DOT}{_LABEL}){{0,4}}?{_DOT}{_END}"
 #: By what a text has to hold for it: the alternatives of a token, in the order in which they are tried.
 _PARTS = {
     "at": (
         # bracketed signs always count; bare ones if an address can follow
         ("open", _BRACKETED_AT),
         ("bare", rf"(?<=[A-Za-z0-9]){_GAP}(?:{AT_WORDS}){_GAP}(?={_LABEL}(?:-{_LABEL})*?(?:{_DOT}{_LABEL}){{0,4}}?(?:{_GAP}(?:{DOT_WORDS}){_GAP}{_END}|{_BRACKETED_DOT}))"),
+        # (a), the Spanish word and a capital AT count before any domain, a small one before a mail provider
+        ("open", rf"(?<=[A-Za-z0-9]){_OPEN}a{_CLOSE}(?={_DOMAIN_AHEAD})"),
+        ("named@", rf"(?<=[A-Za-z0-9])(?:{_GAP}arroba{_GAP}|(?<=(?-i:[a-z0-9])){_GAP}(?-i:AT){_GAP})(?={_DOMAIN_AHEAD})"),
+        ("named@", rf"(?<=[A-Za-z0-9]){_GAP}at{_GAP}(?=(?:{PROVIDERS.replace(' ', '|')}){_DOT}(?:{_LABEL}{_DOT})?{_END})"),
         ("@", r"(?<=[A-Za-z0-9])\s{1,3}@\s{0,3}(?=[A-Za-z0-9])|(?<=[A-Za-z0-9])@\s{1,3}(?=[A-Za-z0-9])"),
     ),
     "dot": (
@@ -143,6 +156,7 @@ _PARTS = {
 _HOLDS = {
     "open": re.compile(r"[\[({<]"),
     "@": re.compile("@"),
+    "named@": re.compile(r"(?:\s|[_-])(?:at|arroba)(?:\s|[_-])", re.I),
     "named": re.compile(DOT_WORDS, re.I),
     "loose": re.compile(r"\s\."),
     "plus": re.compile("plus", re.I),
@@ -150,6 +164,9 @@ _HOLDS = {
 }
 
 
+_INVISIBLES = re.compile(f"(?P<gone>[{INVISIBLE}])")
+
+
 @functools.cache
 def _pattern(holds: frozenset[str]) -> re.Pattern:
     parts = {name: "|".join(p for need, p in of if not need or need in holds) for name, of in _PARTS.items()}
@@ -164,13 +181,15 @@ def _tokens(flat: str) -> re.Pattern:
     return _pattern(frozenset(holds))
 
 
-def normalise(text: str) -> tuple[str, list[tuple[int, int, int]]]:
-    """The rewritten text, and (place in it, source start, source end of a replaced token, or 0 for a copied run)."""
-    flat = text.translate(_table()[0])
+#: (place in the rewritten text, source start, source end of a replaced token, or 0 for a copied run)
+Places = list[tuple[int, int, int]]
+
+
+def _rewritten(flat: str, pattern: re.Pattern) -> tuple[str, Places]:
     out: list[str] = []
-    spans: list[tuple[int, int, int]] = []
+    spans: Places = []
     place = done = 0
-    for m in _tokens(flat).finditer(flat):
+    for m in pattern.finditer(flat):
         s, e = m.span()
         if s > done:
             out.append(flat[done:s])
@@ -180,7 +199,7 @@ def normalise(text: str) -> tuple[str, list[tuple[int, int, int]]]:
         if new:
             out.append(new)
             # a spelled digit ends with its word, not with the space after it
-            spans.append((place, s, m.end("digit") if m["digit"] else e))
+            spans.append((place, s, m.end("digit") if m.lastgroup == "word" else e))
             place += 1
         done = e
     out.append(flat[done:])
@@ -188,23 +207,63 @@ def normalise(text: str) -> tuple[str, list[tuple[int, int, int]]]:
     return "".join(out), spans
 
 
+def flattened(text: str) -> tuple[str, Places]:
+    """The text with look-alikes replaced and invisible characters left out."""
+    flat = text if text.isascii() else text.translate(_table()[0])
+    return _rewritten(flat, _INVISIBLES) if _HOLDS["gone"].search(flat) else (flat, [(0, 0, 0)])
+
+
+def normalise(text: str) -> tuple[str, Places]:
+    """The text with all disguises rewritten."""
+    flat = text if text.isascii() else text.translate(_table()[0])
+    return _rewritten(flat, _tokens(flat))
+
+
+class _Intervals:
+    """Disjoint intervals of each kind, found by bisection; those that overlap are made one."""
+
+    def __init__(self, spans: list[Span]):
+        self.starts: dict[int, list[int]] = {}
+        self.ends: dict[int, list[int]] = {}
+        for kind, s, e in sorted(spans):
+            starts, ends = self.starts.setdefault(kind, []), self.ends.setdefault(kind, [])
+            if ends and s < ends[-1]:
+                ends[-1] = max(ends[-1], e)
+            else:
+                starts.append(s)
+                ends.append(e)
+
+    def overlap(self, kind: int, s: int, e: int) -> bool:
+        i = bisect.bisect_left(self.starts.get(kind, ()), e) - 1
+        return i >= 0 and self.ends[kind][i] > s
+
+    def hold(self, kind: int, s: int, e: int) -> bool:
+        i = bisect.bisect_right(self.starts.get(kind, ()), s) - 1
+        return i >= 0 and self.ends[kind][i] >= e
+
+
 def find(text: str) -> tuple[list[Span], list[Span]]:
     """(plain finds, added finds), each by kind, then start."""
     base = plain(text)
-    flat, spans = normalise(text)
-    if flat == text:
-        return base, []
-    places = [p for p, _, _ in spans]
-
-    def source(at: int, end: bool) -> int:
-        place, start, stop = spans[bisect.bisect_right(places, at) - 1]
-        return (stop if end else start) if stop else start + at - place + end
-
-    added = []
-    for kind, s, e in plain(flat):
-        span = (kind, source(s, False), source(e - 1, True))
-        if not any(k == kind and a < span[2] and span[1] < b for k, a, b in base):
-            added.append(span)
+    added: list[Span] = []
+
+    def from_source(flat: str, spans: Places) -> list[Span]:
+        places = [p for p, _, _ in spans]
+
+        def source(at: int, end: bool) -> int:
+            place, start, stop = spans[bisect.bisect_right(places, at) - 1]
+            return (stop if end else start) if stop else start + at - place + end
+
+        return [(kind, source(s, False), source(e - 1, True)) for kind, s, e in plain(flat)]
+
+    flat, spans = flattened(text)
+    if flat != text:
+        known = _Intervals(base)
+        added = [f for f in from_source(flat, spans) if not known.hold(*f)]
+    whole, spans = normalise(text)
+    if whole != flat:
+        known = _Intervals(base + added)
+        added += [f for f in from_source(whole, spans) if not known.overlap(*f)]
     return base, sorted(set(added))
 
 
