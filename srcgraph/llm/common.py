@@ -16,9 +16,12 @@ SLICE_BYTES = 1 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, else (tests) a new one."""
+    """The folder that driver and executors share: spark.checkpoint.dir. A local session (tests) may do without: it gets a new one."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        master = spark.sparkContext.master
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="srcgraph-shared-")
         spark.conf.set("spark.checkpoint.dir", found)
     if spark.sparkContext.getCheckpointDir() is None:
@@ -27,8 +30,14 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def work_path(spark: SparkSession, name: str) -> str:
-    """A new path below the shared folder."""
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    """A new path below the shared folder; clear() deletes it."""
+    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    _paths.setdefault(spark.sparkContext.applicationId, []).append(path)
+    return path
+
+
+#: By application, the paths that its work has made.
+_paths: dict[str, list[str]] = {}
 
 
 def settled(df: DataFrame, name: str) -> DataFrame:
@@ -36,7 +45,30 @@ def settled(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = work_path(spark, name)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    table = spark.read.schema(df.schema).parquet(path)
+    table._settled = path
+    return table
+
+
+def _delete(path: str) -> None:
+    from pyarrow import fs
+
+    store, root = fs.FileSystem.from_uri(path)
+    if store.get_file_info(root).type != fs.FileType.NotFound:
+        store.delete_dir(root)
+
+
+def discard(table: DataFrame) -> None:
+    """Delete a settled table that nothing reads any more: what was made from it is settled itself."""
+    paths = _paths[table.sparkSession.sparkContext.applicationId]
+    paths.remove(table._settled)
+    _delete(table._settled)
+
+
+def clear(spark: SparkSession) -> None:
+    """Delete all tables, archives and indexes that this application's operators have made; results that read them are void."""
+    for path in _paths.pop(spark.sparkContext.applicationId, []):
+        _delete(path)
 
 
 def partitions(df: DataFrame) -> int:
@@ -141,4 +173,5 @@ def components(edges: DataFrame) -> DataFrame:
         small = spread_join(large, least, ["u"])
         small = small.select("u", F.col("m").alias("v")).unionByName(small.select(F.col("v").alias("u"), F.col("m").alias("v"))).where("u <> v")
         # what a task has of the result is united again: long paths shorten in each round
-        now = settled(small.mapInArrow(_forests, f"u {kind}, v {kind}").distinct(), "edges")
+        before, now = now, settled(small.mapInArrow(_forests, f"u {kind}, v {kind}").distinct(), "edges")
+        discard(before)

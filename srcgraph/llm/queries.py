@@ -25,10 +25,11 @@ def _digest(found: DataFrame, kinds: tuple[str, ...]) -> DataFrame:
 
 
 def op1_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Secrets in every document."""
-    from .secrets import KINDS, scan_secrets
+    """Secrets in every document; the automata learn from published formats and from the documents' own plain finds."""
+    from .secrets import KINDS, harvest, labelled, scan_secrets, train
 
-    return _digest(scan_secrets(_documents(spark, sf_dir)), KINDS)
+    docs = _documents(spark, sf_dir)
+    return _digest(scan_secrets(docs, train(labelled() + harvest(docs))), KINDS)
 
 
 def op2_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -100,7 +101,7 @@ def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .mixing import mix_sources, quality_weights
 
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
-    return mix_sources(_documents(spark, sf_dir), quality_weights(labels)).drop("source")
+    return mix_sources(_documents(spark, sf_dir), quality_weights(labels)).drop("source", "text_hash")
 
 
 def op10_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -6,7 +6,9 @@ import gzip
 import hashlib
 import itertools
 import math
+import os
 import random
+import time
 import zlib
 from collections import Counter
 
@@ -128,10 +130,47 @@ def test_scores(spark):
         base = sum(math.log10((c[w] + 0.1) / (n + 0.1 * (v + 1))) for w in tokens(t))
         want[(i, held(i), len(tokens(t)), sum(c[w] > 0 for w in tokens(t)), n, round(base, 6))] += 1
     assert Counter((r["doc_id"], r["held_out"], r["n_tokens"], r["n_known"], r["train_tokens"], round(r["base_score"], 6)) for r in out) == want
-    assert all(r["score"] < 0 for r in out)
+    # the score by brute force: every segmentation of every word, and the learnt words
+    model = lattice_lm.lattice(public_tokenizers.path("piece_bpe_32k.model"))
+
+    def paths(text):
+        for k in range(1, len(text) + 1):
+            cost = model.pieces.get(text[:k], model.rare * len(text.encode()[: len(text[0].encode())]) if k == 1 else None)
+            if cost is not None:
+                yield from [math.exp(cost) * (1 - lattice_lm.MORE)] if k == len(text) else [math.exp(cost) * lattice_lm.MORE * rest for rest in paths(text[k:])]
+
+    mean = {w: (1 - lattice_lm.END) * sum(paths("▁" + w.decode())) for w in {w for _, t, _ in rows for w in tokens(t)[:-1]}} | {"END": lattice_lm.END}
+    want = sorted((i, sum(math.log10((c[w] + lattice_lm.PRIOR * mean[w]) / (n + lattice_lm.PRIOR)) for w in tokens(t)), sum(math.log10(mean[w]) for w in tokens(t))) for i, t, _ in rows)
+    got = sorted((r["doc_id"], r["score"], r["lattice_score"]) for r in out)
+    assert [x[0] for x in got] == [x[0] for x in want]
+    assert np.array(got) == pytest.approx(np.array(want), rel=1e-5)
     assert lattice_lm.score_documents(docs.limit(0), public_tokenizers.path("piece_bpe_32k.model")).count() == 0
 
 
+def test_scores_of_a_unigram_model_are_used_as_they_are(monkeypatch):
+    class Model:
+        pieces = [("<unk>", 0.0), ("▁a", -1.5), ("b", -0.25)]
+
+        def __init__(self, model_file):
+            pass
+
+        get_piece_size = lambda self: len(self.pieces)
+        id_to_piece = lambda self, i: self.pieces[i][0]
+        get_score = lambda self, i: self.pieces[i][1]
+        is_unknown = lambda self, i: i == 0
+        is_control = is_byte = is_unused = lambda self, i: False
+
+    monkeypatch.setattr("sentencepiece.SentencePieceProcessor", Model)
+    assert lattice_lm.lattice.__wrapped__("any").pieces == {"▁a": -1.5, "b": -0.25}
+
+
+def test_a_very_long_word_takes_linear_time():
+    model = lattice_lm.lattice(public_tokenizers.path("piece_bpe_32k.model"))
+    began = time.perf_counter()
+    assert model.log_probability("ab1/" * 25_000) < -100_000
+    assert time.perf_counter() - began < 30
+
+
 # -- mixing
 def plain_targets(sizes, weights):
     """Shares by weight, cut at twice the size, the excess dealt again until none is above."""
@@ -181,6 +220,46 @@ def test_mix(spark):
     assert mixing.mix_sources(docs.limit(0)).count() == 0
 
 
+def test_extreme_weights(spark):
+    """Taken by ascending -ln(u) / weight, whatever the weights; ranges stay small."""
+    rows = [(i, "w " * (i % 7), "a" if i % 3 else "b") for i in range(3000)]
+    weights = {i: (1000.0, 0.001, 1.0)[i % 11 % 3] for i in range(3000)}
+    docs = spark.createDataFrame(rows, SCHEMA)
+    out = mixing.mix_sources(docs, spark.createDataFrame(list(weights.items()), "doc_id long, weight double")).collect()
+    for source in ("a", "b"):
+        own = [r for r in out if r["source"] == source]
+        u = lambda i: (int(hashlib.md5(f"mix:{i}".encode()).hexdigest()[:13], 16) + 0.5) / (1 << 52)
+        size, target = own[0]["source_size"], own[0]["target"]
+        left = round(target - target // size * size)
+        want = {}
+        for r in sorted(own, key=lambda r: -math.log(u(r["doc_id"])) / weights[r["doc_id"]]):
+            want[r["doc_id"]] = int(target // size) * r["size"] + min(r["size"], max(0, left))
+            left -= r["size"]
+        assert {r["doc_id"]: r["taken"] for r in own} == want
+
+
+def test_a_cluster_needs_a_shared_folder(spark, monkeypatch):
+    class Conf:
+        get = staticmethod(lambda *a: None)
+
+    class Session:
+        conf = Conf
+
+        class sparkContext:  # noqa: N801
+            master = "spark://somewhere:7077"
+
+    with pytest.raises(ValueError, match="checkpoint"):
+        common.shared_dir(Session)
+
+
+def test_settled_tables_can_be_deleted(spark, tmp_path):
+    table = common.settled(spark.range(5), "gone")
+    path = table._settled.removeprefix("file://")
+    assert os.path.isdir(path)
+    common.discard(table)
+    assert not os.path.isdir(path)
+
+
 # -- joins
 def plain_components(rows, n, percent):
     sets = []
@@ -222,11 +301,12 @@ def test_join_agrees_with_all_pairs(spark, n, percent, seed):
     rows = [(i, t, "s") for i, t in enumerate(texts)]
     draw.shuffle(rows)
     rows += [rows[0], (None, texts[0], "s"), (None, "alone and without a number", "s")]
-    held, prefix_join.UNIT = prefix_join.UNIT, 3
+    held = prefix_join.UNIT, prefix_join.CENTRES, prefix_join.HALF
+    prefix_join.UNIT, prefix_join.CENTRES, prefix_join.HALF = 3, 1, 4
     try:
         out = prefix_join.jaccard_components(spark.createDataFrame(rows, SCHEMA).repartition(6).withColumn("key", F.lit("k")), n, percent).collect()
     finally:
-        prefix_join.UNIT = held
+        prefix_join.UNIT, prefix_join.CENTRES, prefix_join.HALF = held
     assert Counter((r["doc_id"], r["n_shingles"], r["component_id"]) for r in out) == plain_components(rows, n, percent)
 
 
@@ -234,14 +314,12 @@ def test_join_of_nothing(spark):
     assert prefix_join.jaccard_components(spark.createDataFrame([], SCHEMA)).count() == 0
 
 
-@pytest.mark.parametrize("few", [0, 1000])
 @pytest.mark.parametrize("shape", ["path", "star", "random", "none"])
-def test_components(spark, shape, few, monkeypatch):
-    monkeypatch.setattr(common, "FEW_EDGES", few)
+def test_components(spark, shape):
     draw = random.Random(11)
     edges = {"path": [(i, i + 1) for i in range(60)], "star": [(99, i) for i in range(40)], "random": [(draw.randrange(80), draw.randrange(80)) for _ in range(60)], "none": [(3, 3)]}[shape]
     draw.shuffle(edges)
-    out = {r["node"]: r["root"] for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    out = {r["node"]: r["root"] for r in components(spark.createDataFrame(edges, "a long, b long").repartition(9)).collect()}
     root = {i: i for e in edges for i in e}
     changed = True
     while changed:
@@ -315,3 +393,89 @@ def test_passages(spark):
     assert out[31]["class_id"] == 30 and out[31]["spans"] == "0:70"
     assert "50:110" in out[3]["spans"] and out[9]["spans"].startswith("0:60")
     assert compact_windows.repeated_passages(spark.createDataFrame([], SCHEMA)).count() == 0
+
+
+def test_near_passages_are_found_as_brute_force_finds_them(spark):
+    draw = random.Random(21)
+    rows, family_of, n = [], {}, 0
+    for f in range(60):
+        passage = prose(draw, 100).split()
+        for _ in range(4):
+            own = list(passage)
+            for _ in range(draw.randint(0, 2)):
+                own[draw.randrange(len(own))] = "changed" + str(draw.randrange(999))
+            text = prose(draw, draw.randint(10, 80)) + " " + " ".join(own) + " " + prose(draw, draw.randint(10, 80))
+            rows.append((n, text, "s"))
+            family_of[n] = f
+            n += 1
+    rows += [(n + i, prose(draw, 150), "s") for i in range(100)]
+    grams = {i: {tuple(t.split()[k : k + 5]) for k in range(len(t.split()) - 4)} for i, t, _ in rows}
+    want = {i for i in family_of for j in family_of if i != j and family_of[i] == family_of[j] and len(grams[i] & grams[j]) >= 0.8 * 96}
+    out = {r["doc_id"]: r for r in compact_windows.repeated_passages(spark.createDataFrame(rows, SCHEMA).repartition(5)).collect()}
+    assert set(out) <= set(family_of)
+    assert len(want & set(out)) >= 0.95 * len(want)
+    whole = sum(len({out[i]["class_id"] for i in family_of if family_of[i] == f and i in out and i in want}) == 1 for f in range(60))
+    assert whole >= 54
+
+
+def test_equal_windows_are_sent_a_few_times_only():
+    draw = random.Random(3)
+    passage = prose(draw, 120)
+    texts = pa.array([prose(draw, 30) + " " + passage + " " + prose(draw, 30) for _ in range(400)])
+    batch = pa.RecordBatch.from_arrays([pa.array(range(400)), texts], names=["doc_id", "text"])
+    sent = [b for b in compact_windows._spread(4)([batch])]
+    near = [compact_windows.together(b.column("near").to_pylist(), compact_windows._NEAR) for b in sent]
+    alone = compact_windows.entries(np.arange(400), *next(sliced(texts))[2:])
+    assert sum(len(e["values"]) for e in near) < 0.7 * len(alone["values"])
+    found = compact_windows.unpack_pairs(x for b in sent for x in b.column("found").to_pylist())
+    assert len(found) and (found[:, 0] < found[:, 1]).all()
+
+
+@settings(max_examples=50, deadline=None)
+@given(st.lists(st.tuples(*[st.integers(0, 1 << 31)] * 4), max_size=900))
+def test_packed_pairs_come_back(rows):
+    x = np.array([(a, a + b, b % 9, p + 50, p, p + 90, q + 50, q, q + 60) for a, b, p, q in rows], np.int64).reshape(-1, 9)
+    back = compact_windows.unpack_pairs([compact_windows.pack_pairs(x)])
+    assert sorted(map(tuple, back.tolist())) == sorted(map(tuple, x.tolist()))
+
+
+def test_an_equal_run_is_found_at_any_shift():
+    draw = np.random.default_rng(1)
+    x = draw.integers(1, 1 << 31, 60).astype("<u4")
+    y = np.concatenate([np.concatenate((x[:k], x[k + 1 : 40])) for k in range(1, 39)] * 3 + [x, x[:30]])
+    at = compact_windows.occurrence(x, y, 0)
+    assert np.array_equal(y[at : at + 60], x)
+    assert compact_windows.occurrence(x, y[: at + 59], 0) is None
+    assert compact_windows.occurrence(x[:0], y, 3) == 3
+
+
+def test_a_very_long_text_has_its_passages(spark):
+    draw = random.Random(30)
+    passage = prose(draw, 80)
+    rows = [(1, prose(draw, 200_000) + " " + passage + " " + prose(draw, 1000), "s"), (2, prose(draw, 30) + " " + passage, "s")]
+    out = {r["doc_id"]: r["spans"] for r in compact_windows.repeated_passages(spark.createDataFrame(rows, SCHEMA)).collect()}
+    assert out == {1: "200000:200080", 2: "30:110"}
+
+
+def test_rows_into_verification_grow_with_the_cluster(spark):
+    """Near copies of one text: twice as many give about twice as many rows, and one component."""
+    counts = []
+    for m in (400, 800):
+        draw = random.Random(40)
+        base = prose(draw, 200).split()
+        rows = []
+        for i in range(m):
+            own = list(base)
+            for _ in range(2):
+                own[draw.randrange(len(own))] = f"changed{i}"
+            rows.append((i, " ".join(own), "s"))
+        seen = []
+        units = prefix_join._units
+        try:
+            prefix_join._units = lambda r, *a: (seen.append(r.count()), units(r, *a))[1]
+            out = prefix_join.jaccard_components(spark.createDataFrame(rows, SCHEMA)).collect()
+        finally:
+            prefix_join._units = units
+        assert {r["component_id"] for r in out} == {0}
+        counts.append(sum(seen))
+    assert counts[1] < 2.5 * counts[0] and counts[1] < 4 * 800

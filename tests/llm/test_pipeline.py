@@ -63,3 +63,22 @@ def test_empty_tables(spark, tables, tmp_path):
     for t in ("documents", "labels"):
         spark.read.parquet(f"{tables}/{t}.parquet").limit(0).write.parquet(f"{folder}/{t}.parquet")
     assert pipeline.run(spark, folder).count() == 0
+
+
+def test_near_duplicates_with_repeated_and_missing_ids(spark, tables):
+    draw = random.Random(2)
+    one, two, three = (" ".join("".join(draw.choices("abcdef", k=6)) for _ in range(90)) for _ in range(3))
+    rows = [(1, one), (1, one), (2, one + " tail"), (None, one), (None, one), (3, two), (3, three), (4, three), (None, None), (None, None), (5, ""), (6, "")]
+    docs = spark.createDataFrame([(i, t, "en", "s", None) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    out = pipeline.near_duplicates(spark, docs, tables).collect()
+    # one row of each text's component, by least id; of equal rows one; texts without words are their own
+    assert sorted((str(r["doc_id"]), r["text"]) for r in out if r["text"]) == sorted([("1", one), ("3", two), ("3", three)])
+    assert sorted(str(r["doc_id"]) for r in out if not r["text"]) == ["5", "6", "None"]
+
+
+def test_copies_of_rows_without_ids_are_mixed_by_their_texts(spark, tables):
+    rows = [(None, "a b c", "s"), (None, "d e f g", "s"), (None, None, "s"), (1, "h i", "s"), (1, "j k l m n", "s")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    out = pipeline.mix_copies(docs)
+    assert out.columns == docs.columns
+    assert {r["text"] for r in out.collect()} == {"a b c", "d e f g", "h i", "j k l m n"}

@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 import random
 import re
+import time
 
 import numpy as np
 import pyarrow as pa
@@ -100,6 +101,12 @@ def test_plain_finds_are_those_of_the_patterns(pieces):
         ("mail kim arroba correo punto es hoy", 0, "kim arroba correo punto es"),
         ("mail kim{at}mail{dot}co{dot}uk now", 0, "kim{at}mail{dot}co{dot}uk"),
         ("zero​width: a​b@c​.de", 0, "a​b@c​.de"),
+        ("mail kіm@mail.com now", 0, "kіm@mail.com"),
+        ("mail john at gmail.com now", 0, "john at gmail.com"),
+        ("mail juan arroba correo.es hoy", 0, "juan arroba correo.es"),
+        ("mail kim (a) mail.com now", 0, "kim (a) mail.com"),
+        ("mail kim AT mail . com now", 0, "kim AT mail . com"),
+        ("call plus 1 415 five five five 1234 now", 3, "plus 1 415 five five five 1234"),
     ],
 )
 def test_disguises_are_found_at_their_source(text, kind, source):
@@ -135,10 +142,12 @@ def test_finds_lie_within_the_text_and_keep_the_plain_ones(pieces):
 
 
 def test_clean_prose_has_no_personal_data():
-    for text in ["We met at noon, one of two or three times; see section 4.2.", "Il est un des deux ou trois, cinq et six.", "Look at example dot product of one two three.", "A dot in a line, a point in time; nine to five.", "Le point est un des deux. Il est là . Il dort", "we sat at home . it rained"]:
+    for text in ["We met at noon, one of two or three times; see section 4.2.", "Il est un des deux ou trois, cinq et six.", "Look at example dot product of one two three.", "A dot in a line, a point in time; nine to five.", "Le point est un des deux. Il est là . Il dort", "we sat at home . it rained", "look at example.com", "LOOK AT EXAMPLE.COM", "as in (a) above", "see bob at work."]:
         assert pii.find(text) == ([], [])
         assert pii.redact(text) == text
     assert pii.redact("write a@b.de or kim at mail dot com") == "write <EMAIL> or <EMAIL>"
+    assert pii.redact("write kіm@mail.com.") == "write <EMAIL>."
+    assert pii.find("bob@x.com . We went home")[1] == []
 
 
 def test_long_runs_are_read_in_linear_time():
@@ -147,6 +156,66 @@ def test_long_runs_are_read_in_linear_time():
         secrets.find(text, secrets.default_model())
 
 
+def test_many_finds_take_linear_time():
+    draw = random.Random(8)
+    model = secrets.default_model()
+    many = " ".join("".join(draw.choices("0123456789abcdef", k=32)) for _ in range(20_000))
+    mails = "kіm@mail.com or jo at mail dot org, " * 50_000
+    began = time.perf_counter()
+    assert len(secrets.find(many, model)) == 20_000
+    base, added = pii.find(mails)
+    assert len(base) == 50_000 and len(added) == 100_000
+    assert time.perf_counter() - began < 60
+
+
+@pytest.mark.parametrize("word", ["ghp_" + "aZ9bYc8dXe7fWg6hVi5jUk4lTm3nSo2pRq1x", "sk_live_" + "rchJzsGRlkwVriPetsaeBMpV", "glpat-" + "KirpXbfwgYeBCr8kYKf8", "npm_" + "vh1Of7jcQh7Awy2tygiaD1jMfeWVhmlcBOKk"])
+def test_credentials_within_paths_are_found(word):
+    text = f"see /srv/tokens/{word} or host/{word}."
+    found = [text[s:e] for s, e, _, _, _ in secrets.find(text, secrets.default_model())]
+    assert found == [word, word]
+
+
+def plain_scored(model, word, threshold):
+    """All starts and ends, each scored as a whole word."""
+    out = []
+    starts = [i for i in range(len(word)) if i == 0 or word[i - 1] in secrets.SEPARATORS]
+    ends = [i for i in range(1, len(word) + 1) if i == len(word) or word[i] in secrets.SEPARATORS]
+    for s in starts:
+        for e in ends:
+            if e - s >= secrets.MIN_CANDIDATE and (best := secrets.score(model, word[s:e]))[0] >= threshold:
+                out.append((best[0], s, e))
+    return max(out, default=None)
+
+
+def test_the_best_credential_of_a_run_is_that_of_brute_force():
+    draw = random.Random(9)
+    model = secrets.default_model()
+    hits = 0
+    for _ in range(60):
+        name, head, rest, lengths = draw.choice(secrets.FORMATS)
+        parts = [draw.choice(["srv", "v1", "hooks", "a"]) for _ in range(draw.randint(0, 3))] + [head + "".join(draw.choices(rest, k=lengths[0]))] + draw.choice([[], ["end"]])
+        word = draw.choice("/+").join(parts)
+        want, got = plain_scored(model, word, secrets.THRESHOLD), secrets.scored(model, word)
+        if want is not None:
+            hits += any(ratio == pytest.approx(want[0]) for *_, ratio in got)
+        else:
+            assert not got
+    assert hits >= 50
+
+
+def test_credentials_of_the_corpus_are_learnt(spark):
+    draw = random.Random(10)
+    fresh = lambda: "zz_" + "".join(draw.choices("QXZ0189", k=30))
+    rows = [(i, f"my secret = {fresh()} and more", i) for i in range(300)] + [(900, None, 0), (901, "", 0)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, kind int")
+    learnt = secrets.harvest(docs, bound=50)
+    assert len(learnt) == 50 and {k for k, _ in learnt} == {"found_assign"}
+    assert learnt == secrets.harvest(docs.repartition(7), bound=50)
+    model = secrets.train(learnt)
+    assert secrets.find(f"see {fresh()} there", model) and not secrets.find("see some_long_name_of_a_function there", model)
+    assert secrets.harvest(docs.limit(0)) == []
+
+
 # -- tokens
 @pytest.fixture(scope="module")
 def enc():
