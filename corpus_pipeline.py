@@ -31,10 +31,20 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the least id of each component under likeness 80 % of 5-word shingles; rows without id stay."""
-    found = jaccard_components(docs.select("doc_id", "text"), n=5, percent=80)
-    gone = found.where("doc_id is not null and component_id <> doc_id").select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(gone, docs["doc_id"] == gone["_gone"], "left_anti")
+    """One row of each component under likeness 80 % of 5-word shingles: that with the least id, null ids last.
+
+    Rows are told apart by a hash of all their columns, so rows that repeat an id or have none are
+    judged by their own texts; of rows that agree in all columns one stays, even without words.
+    """
+    keyed = docs.withColumn("_key", F.xxhash64(*(F.col(f"`{c}`") for c in docs.columns)))
+    keys = keyed.groupBy("_key").agg(F.min("doc_id").alias("_id"), F.count("*").alias("_rows"))
+    found = jaccard_components(keyed.select("_key", "text"), n=5, percent=80, id_col="_key").select(F.col("doc_id").alias("_key"), "component_id").distinct()
+    found = settled(found.where("_key <> component_id").unionByName(found.select(F.col("component_id").alias("_key"), "component_id").distinct()).join(keys, "_key"), "near-duplicates")
+    best = found.groupBy("component_id").agg(F.min(F.struct(F.col("_id").isNull(), "_id", "_key"))["_key"].alias("_best"))
+    marks = found.join(best, "component_id").select(F.col("_key").alias("_k"), (F.col("_key") != F.col("_best")).alias("_gone"), (F.col("_rows") > 1).alias("_twice")).where("_gone or _twice")
+    kept = keyed.join(marks, F.col("_key") == F.col("_k"), "left").where("not coalesce(_gone, false)")
+    out = kept.where("_twice is null").unionByName(kept.where("_twice").dropDuplicates(["_key"]))
+    return out.select(*(F.col(f"`{c}`") for c in docs.columns))
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
