@@ -105,13 +105,19 @@ class Engine:
     @timed
     def parse_ast_file(self, path: str, language: str | None = None, max_depth: int = 0) -> Result:
         files, name = self._file(path, language)
-        wrong = parse_facts(files, ()).select("has_error").first()["has_error"]
-        return Result([{"path": path, "has_error": wrong, "ast": tree.ast_json(files, max_depth)[path]}], name)
+        known = parse_facts(files, ()).select("has_error", "error").first()
+        if known["error"] is not None:
+            raise ValueError(f"parsing {path}: {known['error']}")
+        return Result([{"path": path, "has_error": known["has_error"], "ast": tree.ast_json(files, max_depth)[path]}], name)
 
     @timed
     def query_ast_file(self, path: str, query: str, language: str | None = None, limit: int = 0, include_text: bool = False) -> Result:
         files, name = self._file(path, language)
-        return Result(self._rows(tree.query_ast(files, query, name, limit, include_text)), name)
+        rows = self._rows(tree.query_ast(files, query, name, limit, include_text))
+        for row in rows:
+            if (error := row.pop("error")) is not None:
+                raise ValueError(f"parsing {path}: {error}")
+        return Result(rows, name)
 
     @timed
     def symbols_file(self, path: str, language: str | None = None, include_text: bool = False) -> Result:
@@ -137,7 +143,10 @@ class Engine:
     @timed
     def get_text_file(self, path: str, start_row: int, start_col: int, end_row: int, end_col: int, language: str | None = None) -> Result:
         files, name = self._file(path, language)
-        return Result(self._rows(text.get_text(files, start_row, start_col, end_row, end_col)), name)
+        (row,) = self._rows(text.get_text(files, start_row, start_col, end_row, end_col))
+        if row["error"] is not None:
+            raise ValueError(row["error"])
+        return Result([{"path": row["path"], "text": row["text"]}], name)
 
     @timed
     def search_name_dir(self, name: str, path: str, language: str | None = None, limit: int = 0) -> Result:

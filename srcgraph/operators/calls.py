@@ -1,45 +1,22 @@
-"""Calls: each function's callees, and the callers of a name."""
+"""Calls: each function's callees, and the callers of a name.
+
+The parsing pass gives every call its function, the innermost around it, so these are questions to
+one array of a row.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.catalog import FUNCTION_KINDS
 from ..functions.text import path_key
 
 
-def functions_of(symbols: str | Column = "symbols") -> Column:
-    """A file's functions, methods and constructors in this order, with their place in it."""
-    of_kind = lambda k: F.filter(symbols, lambda s: s["kind"] == k)
-    parts = [of_kind(k) for k in FUNCTION_KINDS]
-    return F.transform(F.concat(*parts), lambda s, i: F.struct(i.alias("place"), s["name"].alias("name"), s["kind"].alias("kind"), s["start"].alias("start"), s["end"].alias("end"), s["node_id"].alias("node_id"), s["subtree_end"].alias("subtree_end")))
-
-
-def _enclosed() -> tuple[Column, Column]:
-    """(functions, calls with the place of the innermost function around; null outside of all).
-
-    Of the functions that hold the call's position the one that begins on the last row counts, on
-    one row the first listed.
-    """
-    around = lambda call: F.filter("functions", lambda f: (f["start"] <= call["start"]) & (call["start"] < f["end"]))
-    inner = lambda call: F.array_max(F.transform(around(call), lambda f: F.struct(f["start"]["row"].alias("row"), (-f["place"]).alias("order"))))
-    calls = F.transform("calls", lambda c: F.struct(c["ord"].alias("ord"), c["callee"].alias("callee"), (-inner(c)["order"]).alias("place")))
-    return functions_of(), calls
-
-
-def _placed(facts: DataFrame) -> DataFrame:
-    functions, calls = _enclosed()
-    rows = facts.where("symbols is not null and calls is not null").select("path", functions.alias("functions"), "calls")
-    return rows.withColumn("calls", F.filter(calls, lambda c: c["place"].isNotNull()))
-
-
 def call_graph(facts: DataFrame) -> DataFrame:
     """path, name, kind, callees (name and count, in order of the first call), start, end for every function. Row by row."""
-    own = lambda f: F.filter("calls", lambda c: c["place"] == f["place"])
-    count = lambda f: F.transform(F.array_distinct(F.transform(own(f), lambda c: c["callee"])), lambda n: F.struct(n.alias("name"), F.size(F.filter(own(f), lambda c: c["callee"] == n)).alias("count")))
-    rows = _placed(facts).withColumn("f", F.explode(F.transform("functions", lambda f: F.struct(f["name"].alias("name"), f["kind"].alias("kind"), count(f).alias("callees"), f["start"].alias("start"), f["end"].alias("end"), f["place"].alias("place")))))
-    return rows.select("path", "f.name", "f.kind", "f.callees", "f.start", "f.end", "f.place")
+    rows = facts.where("functions is not null and calls is not null").select("path", F.explode("functions").alias("f"))
+    callees = F.transform("f.callees", lambda c: F.struct(c["name"].alias("name"), c["count"].alias("count")))
+    return rows.select("path", "f.name", "f.kind", callees.alias("callees"), "f.start", "f.end", "f.place")
 
 
 def callers(facts: DataFrame, name: str, limit: int = 0) -> DataFrame:
@@ -47,18 +24,15 @@ def callers(facts: DataFrame, name: str, limit: int = 0) -> DataFrame:
 
     Same-named functions of a file are one row, with the attributes of the one that calls first.
     """
-    few = facts.withColumn("calls", F.filter("calls", lambda c: c["callee"] == name)).where(F.size("calls") > 0)
-    placed = _placed(few)
-    at = F.transform("calls", lambda c: F.struct(c["ord"].alias("ord"), F.element_at("functions", c["place"] + 1).alias("f")))
-    rows = placed.select("path", at.alias("calls"))
-    label = lambda c: c["f"]["name"]
-    mine = lambda n: F.filter("calls", lambda c: label(c) == n)
-    merged = F.transform(F.array_distinct(F.transform("calls", label)), lambda n: F.struct(mine(n)[0].alias("first"), F.size(mine(n)).alias("count")))
+    hit = lambda f: F.get(F.filter(f["callees"], lambda c: c["name"] == name), F.lit(0))
+    seen = F.transform("functions", lambda f: F.struct(hit(f)["first"].alias("first"), hit(f)["count"].alias("count"), f["name"].alias("name"), f["kind"].alias("kind"), f["start"].alias("start")))
+    rows = facts.where("functions is not null and calls is not null").select("path", F.array_sort(F.filter(seen, lambda f: f["count"].isNotNull())).alias("hits")).where(F.size("hits") > 0)
+    mine = lambda n: F.filter("hits", lambda f: f["name"] == n)
+    merged = F.transform(F.array_distinct(F.transform("hits", lambda f: f["name"])), lambda n: F.struct(mine(n)[0].alias("f"), F.aggregate(mine(n), F.lit(0), lambda t, f: t + f["count"]).alias("count")))
     out = rows.select("path", F.explode(merged).alias("m"))
     if limit > 0:
-        out = out.orderBy(path_key(F.col("path")), "m.first.ord").limit(limit)
-    f = "m.first.f"
-    return out.select(F.col("path").alias("file"), F.col(f"{f}.name").alias("name"), F.col(f"{f}.kind").alias("kind"), (F.col(f"{f}.start.row") + 1).alias("line"), F.col(f"{f}.start.col").alias("col"), F.col("m.count").alias("count"))
+        out = out.orderBy(path_key(F.col("path")), "m.f.first").limit(limit)
+    return out.select(F.col("path").alias("file"), F.col("m.f.name").alias("name"), F.col("m.f.kind").alias("kind"), (F.col("m.f.start.row") + 1).alias("line"), F.col("m.f.start.col").alias("col"), F.col("m.count").alias("count"))
 
 
 def no_call_query(language: str) -> ValueError:

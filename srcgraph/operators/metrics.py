@@ -6,7 +6,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import catalog
-from .calls import functions_of
 
 
 def analyze(facts: DataFrame) -> DataFrame:
@@ -26,6 +25,5 @@ def analyze(facts: DataFrame) -> DataFrame:
 
 def complexity(facts: DataFrame) -> DataFrame:
     """path, name, kind, complexity, start, end of every function: 1 and the branching nodes within, nested functions' too."""
-    inside = lambda f: F.filter("decisions", lambda d: (d >= f["node_id"]) & (d < f["subtree_end"]))
-    rows = facts.where("symbols is not null").select("path", "decisions", F.explode(functions_of()).alias("f"))
-    return rows.select("path", "f.name", "f.kind", (1 + F.size(inside(F.col("f")))).alias("complexity"), "f.start", "f.end")
+    rows = facts.where("functions is not null and decisions is not null").select("path", F.explode("functions").alias("f"))
+    return rows.select("path", "f.name", "f.kind", "f.complexity", "f.start", "f.end")

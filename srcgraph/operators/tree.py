@@ -22,13 +22,13 @@ def has_error(facts: DataFrame) -> DataFrame:
 def ast_json(files: DataFrame, max_depth: int = 20) -> dict[str, dict]:
     """path -> nested tree, for a few files: the result is gathered on the driver."""
     out: dict[str, list] = {}
-    for row in parse_ast(files, max_depth).select("path", "node_id", "parent_id", "kind", "field", "named", "start", "end").toLocalIterator():
+    for row in parse_ast(files, max_depth).where("error is null").select("path", "node_id", "parent_id", "kind", "field", "named", "start", "end").toLocalIterator():
         out.setdefault(row["path"], []).append(row)
     return {path: nested(rows) for path, rows in out.items()}
 
 
 def query_ast(files: DataFrame, query: str, language: str | None = None, limit: int = 0, include_text: bool = False) -> DataFrame:
-    """path, match_id, captures of a tree pattern in walk order; an invalid query is an error at once."""
+    """path, match_id, captures, error of a tree pattern in walk order; an invalid query is an error at once."""
     check_query(query, language)
     found = query_matches(files, query, include_text, limit)
     return found.orderBy(path_key(F.col("path")), "match_id").limit(limit) if limit > 0 else found

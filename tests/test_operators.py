@@ -3,72 +3,88 @@
 from __future__ import annotations
 
 import os
+import random
+import time
 
 import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from srcgraph.api import Cancelled, Engine
 from srcgraph.functions.text import byte_offset, first_line, first_line_column, line_count, occurrences
 from srcgraph.operators import calls, metrics, rename, symbols, text, tree, unused
-from srcgraph.plans.facts import FILES, facts, nodes
+from srcgraph.plans.facts import FILES, facts, innermost, nodes
 from srcgraph.plans.query import InvalidQuery
 from srcgraph.sources.walk import from_table, read_directory, read_file, walk
 
-BRANCHES = """package m
+PRICES = """package shop
 
-func Simple() int { return 1 }
-
-func Branches(a, b bool, c chan int) {
-	if a && b {
+func price(kind string, n int) int {
+	if kind == "a" {
+		return 1
+	} else if n > 3 || n < 0 && kind != "" {
+		return 2
 	}
-	if a || b {
+	switch n {
+	case 0:
+	case 1, 2:
+	default:
 	}
-	for {
-		select {
-		default:
+	for i := 0; i < n; i++ {
+		if i%2 == 0 {
+			continue
 		}
 	}
-	switch {
-	case a:
-	}
+	return 0
 }
+
+func flat() {}
 """
-CALLS = """package m
+STOCK = """package shop
+
+import "fmt"
+
+type Item struct {
+	count int
+}
 
-func helper() {}
+var total = weigh(3)
 
-func caller() {
-	helper()
-	helper()
-	x := 1
-	_ = x
+func weigh(n int) int {
+	return n * 2
 }
 
-func main() { caller() }
+func pack(items []Item) {
+	for _, it := range items {
+		fmt.Println(weigh(it.count), weigh(1))
+	}
+	seal()
+}
 
-var top = helper()
+func seal() {
+	label := func() int { return weigh(4) }
+	label()
+}
 """
-OTHER = """package m
+CRATES = """package shop
 
-type T struct{}
+type Crate struct{ size int }
 
-func (t T) alpha() { helper() }
+func (c *Crate) open() bool { return weigh(c.size) > 0 && c.size < 9 }
 
-func Used() {}
+func (c *Crate) shut() { seal() }
 
-func Unused() { Used() }
+func orphan() { Shelf() }
 
-func outer() {
-	f := func() { helper() }
-	f()
-}
+func Shelf() {}
 """
 
 
 @pytest.fixture(scope="module")
 def folder(tmp_path_factory):
     root = tmp_path_factory.mktemp("src")
-    for name, content in {"a.go": CALLS, "b/b.go": OTHER, "c.go": BRANCHES, ".hidden/x.go": "package x\nfunc Gone() {}\n", ".dot.py": "def f(): pass\n", "__init__.py": "v = 1\n", "notes.txt": "helper\n", "empty.go": ""}.items():
+    for name, content in {"a.go": STOCK, "b/b.go": CRATES, "c.go": PRICES, ".hidden/x.go": "package x\nfunc Gone() {}\n", ".dot.py": "def f(): pass\n", "__init__.py": "v = 1\n", "notes.txt": "weigh\n", "empty.go": ""}.items():
         path = root / name
         path.parent.mkdir(exist_ok=True)
         path.write_text(content)
@@ -111,35 +127,37 @@ def test_errors_don_t_stop_a_scan(spark, engine, tmp_path):
 
 def test_symbols_and_search(engine, folder):
     got = engine.symbols_file(f"{folder}/a.go", include_text=True).rows
-    main = next(r for r in got if r["name"] == "main")
-    assert (main["kind"], main["text"], main["start"], main["end"]) == ("functions", "func main() { caller() }", {"row": 11, "col": 0}, {"row": 11, "col": 24})
-    hits = engine.search_name_dir("T", folder, "go")
+    weigh = next(r for r in got if r["name"] == "weigh")
+    assert (weigh["kind"], weigh["text"], weigh["start"], weigh["end"]) == ("functions", "func weigh(n int) int {\n\treturn n * 2\n}", {"row": 10, "col": 0}, {"row": 12, "col": 1})
+    hits = engine.search_name_dir("Crate", folder, "go")
     assert [(r["kind"], r["line"], r["col"]) for r in hits.rows] == [("types", 3, 5)] and hits.total == 1
     assert engine.search_name_dir("nothing", folder).rows == []
-    assert engine.search_name_dir("t", folder, "go").rows == []
-    assert len(engine.search_name_dir("x", folder, limit=1).rows) == 1
+    assert engine.search_name_dir("crate", folder, "go").rows == []
+    assert len(engine.search_name_dir("total", folder, limit=1).rows) == 1
 
 
 def test_scans(engine, folder):
     variables = engine.scan_variables_dir(folder).rows
-    assert {(short(r["path"], folder), r["name"]) for r in variables} == {("a.go", "x"), ("a.go", "top"), ("b/b.go", "f"), ("__init__.py", "v")}
+    assert {(short(r["path"], folder), r["name"]) for r in variables} == {("a.go", "count"), ("a.go", "total"), ("a.go", "label"), ("b/b.go", "size"), ("c.go", "i"), ("__init__.py", "v")}
     scanned = {short(r["path"], folder): r["kinds"] for r in engine.scan_symbols_dir(folder, "go").rows}
-    assert [s["name"] for s in scanned["b/b.go"]["functions"]] == ["Used", "Unused", "outer"]
+    assert [s["name"] for s in scanned["b/b.go"]["functions"]] == ["orphan", "Shelf"]
+    assert [s["name"] for s in scanned["b/b.go"]["methods"]] == ["open", "shut"]
     assert scanned["empty.go"] == {}
 
 
 def test_analyze(engine, folder):
     (row,) = engine.analyze_file(f"{folder}/c.go").rows
-    assert (row["lines"], row["bytes"]) == (BRANCHES.count("\n") + 1, len(BRANCHES))
+    assert (row["lines"], row["bytes"]) == (PRICES.count("\n") + 1, len(PRICES))
     assert row["nodes"] > 50 and row["max_nesting"] > 5
-    assert row["kinds"]["functions"] == {"count": 2, "avg_lines": 7.5, "max_lines": 14}
+    assert row["kinds"]["functions"] == {"count": 2, "avg_lines": 9.5, "max_lines": 18}
     assert row["kinds"]["types"] == {"count": 0, "avg_lines": 0.0, "max_lines": 0}
     assert set(row["kinds"]) == {"types", "functions", "methods", "imports", "variables"}
 
 
 def test_complexity(engine, folder):
     got = {r["name"]: r["complexity"] for r in engine.complexity_file(f"{folder}/c.go").rows}
-    assert got == {"Simple": 1, "Branches": 10}
+    # three ifs, || and &&, the switch with its three cases, the loop
+    assert got == {"price": 11, "flat": 1}
     assert engine.complexity_file(f"{folder}/empty.go").rows == []
 
 
@@ -158,11 +176,50 @@ def test_nested_functions_count_twice(spark):
 
 def test_call_graph_and_callers(engine, folder):
     got = {r["name"]: [(c["name"], c["count"]) for c in r["callees"]] for r in engine.call_graph_file(f"{folder}/a.go").rows}
-    assert got == {"helper": [], "caller": [("helper", 2)], "main": [("caller", 1)]}
-    found = [(short(r["file"], folder), r["name"], r["kind"], r["line"], r["count"]) for r in sorted(engine.callers_dir("helper", folder).rows, key=lambda r: (r["file"], r["line"]))]
-    assert found == [("a.go", "caller", "functions", 5, 2), ("b/b.go", "alpha", "methods", 5, 1), ("b/b.go", "outer", "functions", 11, 1)]
+    assert got == {"weigh": [], "pack": [("weigh", 2), ("seal", 1)], "seal": [("weigh", 1), ("label", 1)]}
+    found = [(short(r["file"], folder), r["name"], r["kind"], r["line"], r["count"]) for r in sorted(engine.callers_dir("weigh", folder).rows, key=lambda r: (r["file"], r["line"]))]
+    assert found == [("a.go", "pack", "functions", 15, 2), ("a.go", "seal", "functions", 22, 1), ("b/b.go", "open", "methods", 5, 1)]
     assert engine.callers_dir("nobody", folder).rows == []
-    assert len(engine.callers_dir("helper", folder, limit=2).rows) == 2
+    assert len(engine.callers_dir("weigh", folder, limit=2).rows) == 2
+
+
+def test_a_file_of_many_functions_takes_linear_time(spark):
+    n = 4000
+    source = "package p\n" + "".join(f"func f{i}() {{\n\tif a && b {{ g{i % 7}(); h(); f{(i + 1) % n}(); h() }}\n}}\n" for i in range(n))
+    files = spark.createDataFrame([("m.go", "go", bytearray(source.encode()))], FILES)
+    began = time.perf_counter()
+    found = facts(files).cache()
+    graph = {r["name"]: [(c["name"], c["count"]) for c in r["callees"]] for r in calls.call_graph(found).collect()}
+    assert len(graph) == n and graph["f8"] == [("g1", 1), ("h", 2), ("f9", 1)]
+    assert {r["complexity"] for r in metrics.complexity(found).collect()} == {3}
+    assert time.perf_counter() - began < 60
+
+
+def plain_innermost(spans, points):
+    """The span around each point that begins on the last row, on one row the first."""
+    return [max((i for i, (s, e, _) in enumerate(spans) if s <= p < e), key=lambda i: (spans[i][2], -i), default=None) for p in points]
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.integers(0, 1 << 30))
+def test_innermost_spans(seed):
+    draw = random.Random(seed)
+    spans = []
+
+    def nest(low, high, depth):
+        at = low
+        while at < high and depth < 4 and draw.random() < 0.8:
+            s = draw.randint(at, high)
+            e = draw.randint(s, high)
+            if e > s:
+                spans.append((s, e, s // 5))
+                nest(s, e, depth + 1)
+            at = e + 1
+
+    nest(0, 60, 0)
+    draw.shuffle(spans)
+    points = [draw.randint(0, 62) for _ in range(30)]
+    assert innermost(spans, points) == plain_innermost(spans, points)
 
 
 def test_same_named_methods_are_one_caller(spark):
@@ -173,25 +230,25 @@ def test_same_named_methods_are_one_caller(spark):
 
 def test_callers_are_the_inverted_call_graph(go_facts):
     edges = {(r["path"], r["name"], c["name"]): c["count"] for r in calls.call_graph(go_facts).collect() for c in r["callees"]}
-    for name in ("helper", "caller", "Used", "f"):
+    for name in ("weigh", "seal", "Shelf", "label"):
         want = {(p, n): k for (p, n, c), k in edges.items() if c == name}
         assert {(r["file"], r["name"]): r["count"] for r in calls.callers(go_facts, name).collect()} == want
 
 
 def test_rename(engine, folder, go_facts):
-    rows = engine.rename_preview_dir("helper", folder, "go").rows
-    assert [(short(r["file"], folder), r["line"], r["definition"]) for r in sorted(rows, key=lambda r: (r["file"], r["line"]))] == [("a.go", 3, True), ("a.go", 6, False), ("a.go", 7, False), ("a.go", 14, False), ("b/b.go", 5, False), ("b/b.go", 12, False)]
+    rows = engine.rename_preview_dir("weigh", folder, "go").rows
+    assert [(short(r["file"], folder), r["line"], r["definition"]) for r in sorted(rows, key=lambda r: (r["file"], r["line"]))] == [("a.go", 9, False), ("a.go", 11, True), ("a.go", 17, False), ("a.go", 17, False), ("a.go", 23, False), ("b/b.go", 5, False)]
     assert engine.rename_preview_dir("zzz", folder).rows == []
-    assert len(engine.rename_preview_dir("helper", folder, limit=2).rows) == 2
-    assert len(engine.rename_preview_dir("helper", folder, limit=2, per_file=True).rows) == 3
-    defined = {(r["path"], r["start"]["row"] + 1) for r in symbols.symbols(go_facts).where("name = 'helper'").collect()}
-    assert defined <= {(r["file"], r["line"]) for r in rename.rename_preview(go_facts, "helper").collect()}
+    assert len(engine.rename_preview_dir("weigh", folder, limit=2).rows) == 2
+    assert len(engine.rename_preview_dir("weigh", folder, limit=2, per_file=True).rows) == 3
+    defined = {(r["path"], r["start"]["row"] + 1) for r in symbols.symbols(go_facts).where("name = 'weigh'").collect()}
+    assert defined <= {(r["file"], r["line"]) for r in rename.rename_preview(go_facts, "weigh").collect()}
 
 
 def test_unused(engine, folder):
     found = {(r["name"], r["kind"]) for r in engine.unused_symbols_dir(folder, "go").rows}
-    assert ("Unused", "functions") in found and ("Simple", "functions") in found
-    assert not {"Used", "helper", "x", "T", "caller"} & {n for n, _ in found}
+    assert ("orphan", "functions") in found and ("flat", "functions") in found and ("total", "variables") in found
+    assert not {"Shelf", "weigh", "label", "Crate", "seal"} & {n for n, _ in found}
     assert len(engine.unused_symbols_dir(folder, "go", limit=2).rows) == 2
 
 
@@ -208,24 +265,24 @@ def test_unused_counts_text(spark):
 
 
 def test_query(engine, folder):
-    assert [r["captures"][0]["text"] for r in engine.query_ast_file(f"{folder}/b/b.go", "(type_identifier) @t").rows] == ["T", "T"]
+    assert [r["captures"][0]["text"] for r in engine.query_ast_file(f"{folder}/b/b.go", "(pointer_type (type_identifier) @t)").rows] == ["Crate", "Crate"]
     assert len(engine.query_ast_file(f"{folder}/b/b.go", "(identifier) @i", limit=1).rows) == 1
-    assert engine.query_ast_file(f"{folder}/b/b.go", "(method_declaration name: (field_identifier) @m (parameter_list (parameter_declaration type: (pointer_type))))").rows == []
+    assert engine.query_ast_file(f"{folder}/b/b.go", "(method_declaration name: (field_identifier) @m (parameter_list (parameter_declaration type: (slice_type))))").rows == []
     with pytest.raises(InvalidQuery, match="invalid query: "):
         engine.query_ast_file(f"{folder}/a.go", "(no_such_node) @x")
-    (row,) = engine.query_ast_file(f"{folder}/a.go", '((function_declaration name: (identifier) @n) @f (#eq? @n "caller"))', include_text=True).rows
-    assert [c["name"] for c in row["captures"]] == ["f", "n"] and row["captures"][0]["text"].endswith("_ = x\n}")
+    (row,) = engine.query_ast_file(f"{folder}/a.go", '((function_declaration name: (identifier) @n) @f (#eq? @n "seal"))', include_text=True).rows
+    assert [c["name"] for c in row["captures"]] == ["f", "n"] and row["captures"][0]["text"].endswith("label()\n}")
 
 
 def test_parse_ast(engine, spark, folder):
     (row,) = engine.parse_ast_file(f"{folder}/b/b.go", max_depth=1).rows
     assert row["has_error"] is False and row["ast"]["type"] == "source_file"
     assert all("children" not in c for c in row["ast"]["children"])
-    assert row["ast"]["children"][0] == {"type": "package_clause", "named": True, "start": {"row": 0, "col": 0}, "end": {"row": 0, "col": 9}}
+    assert row["ast"]["children"][0] == {"type": "package_clause", "named": True, "start": {"row": 0, "col": 0}, "end": {"row": 0, "col": 12}}
     files = read_file(spark, f"{folder}/b/b.go")
     assert tree.parse_ast(files, 2).agg(F.max("depth")).first()[0] == 2
     full = nodes(files).collect()
-    content = OTHER.encode()
+    content = CRATES.encode()
     assert all(r["leaf_text"] == content[r["start_byte"] : r["end_byte"]].decode() for r in full if r["leaf_text"] is not None)
     for r in full[:40]:  # a node's range gives its text
         part = text.get_text(files, r["start"]["row"], r["start"]["col"], r["end"]["row"], r["end"]["col"]).first()["text"]
@@ -233,16 +290,22 @@ def test_parse_ast(engine, spark, folder):
 
 
 def test_get_text(engine, spark, folder):
-    (row,) = engine.get_text_file(f"{folder}/a.go", 2, 0, 3, 0).rows
-    assert row["text"] == "func helper() {}\n"
+    (row,) = engine.get_text_file(f"{folder}/a.go", 10, 0, 11, 0).rows
+    assert row["text"] == "func weigh(n int) int {\n"
     content = "né\nab\n\nlast".encode()
     frame = spark.createDataFrame([("x", bytearray(content))], "path string, content binary")
     starts = [0, 4, 7, 8]
     at = lambda r, c: min(len(content), starts[r] + c) if r < len(starts) else len(content)
     for a in [(0, 0), (0, 3), (0, 6), (1, 9), (3, 4), (4, 0), (9, 2)]:
         assert frame.select(byte_offset(F.col("content"), F.lit(a[0]), F.lit(a[1]))).first()[0] == at(*a)
+    got = lambda *range_: text.get_text(frame, *range_).first()
+    assert got(1, 0, 0, 0)["text"] is None and "precedes start" in got(1, 0, 0, 0)["error"]
+    # bytes decide: a column that runs on, rows past the end
+    assert got(1, 0, 0, 6)["text"] == "ab" and got(50, 0, 40, 0)["text"] == ""
     with pytest.raises(ValueError, match="precedes start"):
-        text.get_text(frame, 1, 0, 0, 0)
+        engine.get_text_file(f"{folder}/a.go", 3, 0, 1, 0)
+    two = spark.createDataFrame([("x", bytearray(content)), ("short", bytearray(b"a"))], "path string, content binary")
+    assert {r["path"]: (r["text"], r["error"]) for r in text.get_text(two, 1, 0, 1, 2).collect()} == {"x": ("ab", None), "short": ("", None)}
     with pytest.raises(ValueError, match="negative"):
         text.get_text(frame, 0, -1, 0, 0)
     assert text.get_text(frame, 1, 1, 1, 1).first()["text"] == ""
@@ -265,6 +328,19 @@ def test_tables_as_sources(spark):
     assert {r["path"]: r["message"].split(" ")[0] for r in symbols.errors(found).collect()} == {"a": "unknown", "b": "reading"}
 
 
+def test_deep_files_and_errors_of_single_files(spark, engine, tmp_path):
+    deep = "package p\n\nvar x = " + "(" * 20_000 + "1" + ")" * 20_000 + "\n"
+    rows = [("deep.go", "go", bytearray(deep.encode())), ("ok.go", "go", bytearray(b"package p\nvar y = (1)\n")), ("odd", "cobol", bytearray(b"x")), ("gone.go", "go", None)]
+    files = spark.createDataFrame(rows, FILES)
+    found = {r["path"]: r["n"] for r in tree.query_ast(files, "(parenthesized_expression) @p").where("error is null").groupBy("path").agg(F.count("*").alias("n")).collect()}
+    assert found == {"deep.go": 20_000, "ok.go": 1}
+    wrong = {"odd": "unknown", "gone.go": "reading"}
+    for frame in (tree.query_ast(files, "(parenthesized_expression) @p"), nodes(files), symbols.errors(facts(files)).select("path", F.col("message").alias("error"))):
+        assert {r["path"]: r["error"].split(" ")[0] for r in frame.where("error is not null").collect()} == wrong
+    assert nodes(files).where("path = 'deep.go'").agg(F.max("depth")).first()[0] > 20_000
+    assert facts(files).where("path = 'deep.go' and error is null and max_nesting > 20000").count() == 1
+
+
 def test_languages(engine):
     assert [r["language"] for r in engine.list_languages().rows] == ["bash", "csharp", "go", "java", "javascript", "python", "rust", "typescript", "yaml"]
 
@@ -277,7 +353,7 @@ def test_time_limit(spark, folder):
 
 
 def test_no_shuffle_within_files(go_facts, capsys):
-    for frame in (calls.call_graph(go_facts), metrics.complexity(go_facts), metrics.analyze(go_facts), rename.rename_preview(go_facts, "helper"), calls.callers(go_facts, "helper"), symbols.scan_symbols(go_facts)):
+    for frame in (calls.call_graph(go_facts), metrics.complexity(go_facts), metrics.analyze(go_facts), rename.rename_preview(go_facts, "weigh"), calls.callers(go_facts, "weigh"), symbols.scan_symbols(go_facts)):
         frame.explain()
         assert "Exchange" not in capsys.readouterr().out
 
