@@ -1,20 +1,26 @@
 """Names that occur once.
 
 A declared name is unused if it occurs once in all scanned files, as text: `Foo` within `FooBar`
-counts. Comparing every name with every file would be a cross join. Instead the files' runs of
-identifier characters are counted; a run that is a name counts for it, and two such hits rule the
-name out. For the names left, the pieces of longer runs that have a name's length are looked up,
-an equi-join. Names with other characters are counted in the files that hold their longest run.
+counts. Comparing every name with every file would be a cross join. Instead the files' runs are
+counted, maximal runs of identifier characters and of other visible ones; a run that is a name counts
+for it, and two such hits rule the name out. For the names left, the pieces of longer runs that have
+a name's length are looked up by hash, an equi-join. Names of several runs are counted in the files
+that hold one of their runs, the rarest; a run at a name's edge may be the end of a longer one.
+
+A long run is taken in stretches of STRETCH characters, so no row holds all pieces of one.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import occurrences, path_key
 
-_RUN = r"[A-Za-z0-9_$\x{80}-\x{10FFFF}]+"
+_WORD = r"A-Za-z0-9_$\x{80}-\x{10FFFF}"
+_RUN = rf"[{_WORD}]+|[^{_WORD}\s]+"
+#: Characters of a run whose pieces are made together.
+STRETCH = 256
 
 
 def declarations(facts: DataFrame) -> DataFrame:
@@ -24,37 +30,47 @@ def declarations(facts: DataFrame) -> DataFrame:
     return s.groupBy(F.col("s.name").alias("name")).agg(first.alias("d"))
 
 
+def _runs(text: Column) -> Column:
+    return F.regexp_extract_all(text, F.lit(f"({_RUN})"))
+
+
+def _pieces(runs: DataFrame, lengths: DataFrame) -> DataFrame:
+    """run, n, name: the pieces of runs(run, n) that are shorter than their run and of a length in the one row of lengths."""
+    longer = runs.crossJoin(F.broadcast(lengths)).where(F.exists("lengths", lambda l: l < F.length("run")))  # one row: the set of lengths
+    stretches = longer.withColumn("s", F.explode(F.sequence(F.lit(1), F.length("run"), F.lit(STRETCH))))
+    starts = F.sequence(F.col("s"), F.least(F.length("run"), F.col("s") + STRETCH - 1))
+    fits = F.filter("lengths", lambda l: (l < F.length("run")) & (F.col("s") + l - 1 <= F.length("run")))
+    pieces = F.flatten(F.transform(fits, lambda l: F.transform(F.filter(starts, lambda i: i + l - 1 <= F.length("run")), lambda i: F.substring("run", i, l))))
+    return stretches.select("run", "n", F.explode(F.array_distinct(pieces)).alias("name"))
+
+
 def unused_symbols(facts: DataFrame, files: DataFrame, limit: int = 0) -> DataFrame:
     """file, kind, name, line, col, text of names that occur once in files(path, content), in walk order."""
     # asked several times: conditions on the chosen rows, not on the grouping key, leave the shuffle
     # below the same for all, so it runs once and the files are parsed once
     declared = declarations(facts)
     text = files.where("content is not null").select("path", F.make_valid_utf8(F.col("content").cast("string")).alias("content"))
-    runs = text.select("path", F.explode(F.regexp_extract_all("content", F.lit(f"({_RUN})"))).alias("run"))
-    counts = runs.groupBy("run").agg(F.count("*").alias("n"))
+    counts = text.select(F.explode(_runs(F.col("content"))).alias("run")).groupBy("run").agg(F.count("*").alias("n"))
 
-    plain = declared.where(F.col("d.name").rlike(f"^{_RUN}$"))
+    plain = declared.where(F.col("d.name").rlike(f"^(?:{_RUN})$"))
     exact = plain.join(counts, F.col("name") == F.col("run"), "left").select("name", "d", F.coalesce("n", F.lit(0)).alias("n")).where("n <= 1")
-    # pieces of longer runs, of the lengths that the names left have
-    lengths = exact.agg(F.collect_set(F.length("name")).alias("lengths"))
-    longer = counts.crossJoin(F.broadcast(lengths))  # one row: the set of lengths
-    pieces = F.flatten(F.transform(F.filter("lengths", lambda l: l < F.length("run")), lambda l: F.transform(F.sequence(F.lit(1), F.length("run") - l + 1), lambda i: F.substring("run", i, l))))
-    pieces = longer.select("run", "n", F.explode(F.array_distinct(pieces)).alias("name"))
+    pieces = _pieces(counts, exact.agg(F.collect_set(F.length("name")).alias("lengths")))
     # most pieces are no names: hashes sort that out, and only names that are within runs meet their runs again
-    hashes = pieces.select(F.xxhash64("name").alias("h"))
-    inner = exact.select("name", F.xxhash64("name").alias("h")).join(hashes, "h", "left_semi").select("name")
-    within = pieces.join(inner, "name").groupBy("name").agg(F.sum(F.col("n") * occurrences(F.col("run"), F.col("name"))).alias("more"))
+    inner = exact.select("name", F.xxhash64("name").alias("h")).join(pieces.select(F.xxhash64("name").alias("h")), "h", "left_semi").select("name")
+    within = pieces.join(inner, "name").distinct().groupBy("name").agg(F.sum(F.col("n") * occurrences(F.col("run"), F.col("name"))).alias("more"))
     once = exact.join(within, "name", "left").where("n + coalesce(more, 0) = 1").select("name", "d")
 
-    # names with other characters: their longest run leads to the files
-    other = declared.where(~F.col("d.name").rlike(f"^{_RUN}$"))
-    anchors = other.withColumn("anchor", F.array_max(F.transform(F.regexp_extract_all("name", F.lit(f"({_RUN})")), lambda r: F.struct(F.length(r).alias("size"), r.alias("run"))))["run"])
-    held = runs.distinct()
-    whole = anchors.where("anchor is not null").join(held, F.col("run") == F.col("anchor")).select("name", "path")
+    # names of several runs: each run of a name with the number of runs like it; the rarest one leads to the files
+    other = declared.where(~F.col("d.name").rlike(f"^(?:{_RUN})$"))
+    named = other.select("name", F.explode(F.array_distinct(_runs(F.col("name")))).alias("run"))
+    rare = named.join(counts, "run", "left").groupBy("name").agg(F.min_by("run", F.struct(F.coalesce("n", F.lit(0)), F.col("run"))).alias("anchor"))
+    held = text.select("path", F.explode(F.array_distinct(_runs(F.col("content")))).alias("run"))
+    whole = rare.join(held, F.col("run") == F.col("anchor")).select("name", "path")
+    # the beginnings and ends of longer runs
+    sizes = rare.agg(F.coalesce(F.collect_set(F.length("anchor")), F.array().cast("array<int>")).alias("lengths"))
     edge = F.flatten(F.transform(F.filter("lengths", lambda l: l < F.length("run")), lambda l: F.array(F.substring("run", F.lit(1), l), F.substring("run", F.length("run") - l + 1, l))))
-    sizes = anchors.agg(F.coalesce(F.collect_set(F.length("anchor")), F.array().cast("array<int>")).alias("lengths"))
     ends = held.crossJoin(F.broadcast(sizes)).select("path", F.explode(F.array_distinct(edge)).alias("anchor"))
-    partial = anchors.where("anchor is not null").join(ends, "anchor").select("name", "path")
+    partial = rare.join(ends, "anchor").select("name", "path")
     places = whole.unionByName(partial).distinct()
     counted = places.join(text, "path").groupBy("name").agg(F.sum(occurrences(F.col("content"), F.col("name"))).alias("n"))
     odd = other.join(counted, "name").where("n = 1").select("name", "d")

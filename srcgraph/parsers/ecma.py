@@ -839,6 +839,8 @@ class TypeScript(JavaScript):
         elif t.kind in (STR, NUM) or self.see("true", "false", "null", "undefined", "-"):
             if self.see("-"):
                 self.step()
+                if self.now.kind is not NUM:
+                    raise Bad
             node = self.make("literal_type", self.string() if self.now.kind == STR else self.leaf("number" if self.now.kind == NUM else self.now.text))
         elif self.see("`"):
             node = self.make("template_literal_type", self.template_string())

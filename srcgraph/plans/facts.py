@@ -246,7 +246,7 @@ def check_query(query: str, language: str | None = None) -> None:
         parse_query(query, has_name(catalog.get(language).parser))
         return
     tests = [has_name(catalog.get(n).parser) for n in catalog.names()]
-    parse_query(query, lambda name: any(t(name) for t in tests))
+    parse_query(query, lambda name, what: any(t(name, what) for t in tests))
 
 
 def query_matches(files: DataFrame, query: str, full: bool = False, limit: int = 0) -> DataFrame:

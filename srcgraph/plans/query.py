@@ -14,11 +14,12 @@ from __future__ import annotations
 import ast
 import functools
 import importlib
-import inspect
 import re
+from collections.abc import Callable
 from dataclasses import dataclass, field
 
 from ..parsers.core import Tree
+from ..parsers.kinds import FIELDS, NODES
 
 _TOKEN = re.compile(r"\s+|;[^\n]*|(?P<str>\"(?:\\.|[^\"\\])*\")|(?P<cap>@[\w.-]+)|(?P<pred>#[\w-]+[?!])|(?P<field>[\w-]+\s*:)|(?P<not>![\w-]+)|(?P<name>[\w-]+)|(?P<op>[()\[\]?*+.])", re.A)
 
@@ -60,7 +61,7 @@ class Query:
 
 
 def parse_query(text: str, kinds=None) -> Query:
-    """The query of a text; kinds(name) tells whether a language has such a node or field."""
+    """The query of a text; kinds(name, "node" or "field") tells whether a language has it."""
     tokens: list[tuple[str, str]] = []
     at = 0
     while at < len(text):
@@ -92,7 +93,7 @@ def parse_query(text: str, kinds=None) -> Query:
                 return p
 
     def known(name: str, what: str) -> str:
-        if kinds is not None and name not in ("ERROR", "MISSING") and not kinds(name):
+        if kinds is not None and name not in ("ERROR", "MISSING") and not kinds(name, what):
             raise InvalidQuery(f"impossible {what} {name!r}")
         return name
 
@@ -193,24 +194,24 @@ def parse_query(text: str, kinds=None) -> Query:
 
 
 @functools.lru_cache(maxsize=None)
-def vocabulary(parser: str) -> tuple[frozenset[str], tuple[re.Pattern, ...]]:
-    """The names of nodes and fields that a parser's code can make: its string constants, and patterns of its formatted ones."""
+def vocabulary(parser: str) -> dict[str, frozenset[str]] | None:
+    """The kinds of named nodes and the fields that a parser makes: its own `nodes` and `fields`, or those declared for its language.
+
+    A parser that declares neither takes any name: None.
+    """
     module, _, name = parser.partition(":")
-    words: set[str] = set()
-    shapes: list[re.Pattern] = []
-    for cls in getattr(importlib.import_module(module), name).__mro__[:-1]:
-        for node in ast.walk(ast.parse(inspect.getsource(inspect.getmodule(cls)))):
-            if isinstance(node, ast.JoinedStr):
-                parts = [re.escape(v.value) if isinstance(v, ast.Constant) else r"[a-z]+" for v in node.values]
-                shapes.append(re.compile("".join(parts) + r"\Z"))
-            elif isinstance(node, ast.Constant) and isinstance(node.value, str) and re.fullmatch(r"[a-z_]+", node.value):
-                words.add(node.value)
-    return frozenset(words), tuple(s for s in shapes if "_" in s.pattern)
-
-
-def has_name(parser: str):
-    words, shapes = vocabulary(parser)
-    return lambda name: name in words or any(s.match(name) for s in shapes)
+    for cls in getattr(importlib.import_module(module), name).__mro__:
+        if "nodes" in vars(cls):
+            return {"node": frozenset(cls.nodes), "field": frozenset(getattr(cls, "fields", ()))}
+        if cls.__module__.startswith("srcgraph.parsers.") and cls.__name__.lower() in NODES:
+            return {"node": NODES[cls.__name__.lower()], "field": FIELDS[cls.__name__.lower()]}
+    return None
+
+
+def has_name(parser: str) -> Callable[[str, str], bool]:
+    """(name, "node" or "field") -> does the parser make it?"""
+    known = vocabulary(parser)
+    return lambda name, what: known is None or name in known[what]
 
 
 class Matcher:

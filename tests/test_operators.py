@@ -255,7 +255,7 @@ def test_unused(engine, folder):
 def test_unused_counts_text(spark):
     sources = {
         "a.go": "package p\nfunc Foo() {}\nfunc FooBar() {}\nfunc Once() {}\nfunc Aa() {}\nfunc AaAa() {}\n",
-        "b.yaml": "some key: 1\nother key: some key\nlonely key: 2\nxx: lonelyx\n",
+        "b.yaml": "some key: 1\nother key: some key\nlonely key: 2\nxx: lonelyx\n+++: 1\n'a-b': x\na-b: 2\nc-d.e: 3\n++: 4\n~: 5\n" + "long: " + "q1w2" * 2000 + "lastpiece\nlastpiece: 1\n- item one\n- item two\n",
     }
     files = spark.createDataFrame([(p, p.endswith(".go") and "go" or "yaml", bytearray(s.encode())) for p, s in sources.items()], FILES)
     found = {r["name"] for r in unused.unused_symbols(facts(files), files).collect()}

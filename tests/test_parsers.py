@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+import ast
 import random
+from pathlib import Path
 
 import pytest
 
 from srcgraph.functions import catalog
+from srcgraph.parsers.kinds import FIELDS, NODES
 from srcgraph.plans.facts import facts_of, tree_of
-from srcgraph.plans.query import compiled, has_name
+from srcgraph.plans.query import InvalidQuery, compiled, has_name
 
 EVERYTHING = frozenset(("symbols", "calls", "identifiers", "decisions"))
 
@@ -120,9 +123,37 @@ def test_catalogue_entries(language):
     assert set(entry.aux) == {"identifiers", "calls"}
     for pattern in (*entry.symbols.values(), *entry.aux.values()):
         compiled(pattern, entry.parser)  # raises on a name that the parser can't make
-    tree = parse(language, SAMPLES[language][0])
+    draw = random.Random(language)
+    text = SAMPLES[language][0]
     known = has_name(entry.parser)
-    assert all(known(n.kind) or n.kind in ("ERROR", "_") for n in tree.nodes if n.named and n.kind.replace("_", "").isalpha())
+    for cut in [text] + ["".join(draw.sample(text, len(text))) for _ in range(20)] + [text[: draw.randrange(len(text))] + draw.choice("(){}\"'`#é\n") + text[draw.randrange(len(text)) :] for _ in range(60)]:
+        for n in parse(language, cut).nodes:
+            assert not n.named or known(n.kind, "node") or n.kind in ("ERROR", "_")
+            assert n.field is None or known(n.field, "field")
+
+
+@pytest.mark.parametrize("module", ["bash", "csharp", "ecma", "golang", "java", "python", "rust", "yaml"])
+def test_names_in_the_parsers_are_declared(module):
+    """Every kind that a parser's code names when it makes a node is in its language's table."""
+    source = ast.parse((Path(__file__).parent.parent / "srcgraph" / "parsers" / f"{module}.py").read_text())
+    languages = {"ecma": ("javascript", "typescript"), "golang": ("go",)}.get(module, (module,))
+    nodes, fields = (frozenset().union(*(d[n] for n in languages)) for d in (NODES, FIELDS))
+    for call in ast.walk(source):
+        if isinstance(call, ast.Call) and isinstance(call.func, ast.Attribute) and call.func.attr == "make":
+            kinds = [c.value for c in ast.walk(call.args[0]) if isinstance(c, ast.Constant) and isinstance(c.value, str)] if isinstance(call.args[0], (ast.Constant, ast.IfExp)) else []
+            assert {k for k in kinds if k.isidentifier() and "_" in k} <= nodes
+            for part in call.args[1:]:
+                if isinstance(part, ast.Tuple) and isinstance(part.elts[0], ast.Constant):
+                    assert part.elts[0].value in fields
+
+
+def test_names_that_no_tree_has_are_invalid():
+    for language, name in [("java", "foo_declaration"), ("go", "foo_statement"), ("go", "newline"), ("rust", "foo_item"), ("csharp", "foo_expression"), ("javascript", "type_alias_declaration"), *((n, "left") for n in NODES)]:
+        with pytest.raises(InvalidQuery, match="impossible node"):
+            compiled(f"({name}) @x", catalog.get(language).parser)
+    with pytest.raises(InvalidQuery, match="impossible field"):
+        compiled("(block block_mapping: (identifier)) @x", catalog.get("go").parser)
+    assert compiled("(function_declaration name: (identifier) @n) @f", catalog.get("go").parser)
 
 
 def test_detection_and_override():
