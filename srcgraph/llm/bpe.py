@@ -73,7 +73,7 @@ def encode(enc, text: str, long: int = LONG, run: int = RUN) -> list[int]:
 def encode_documents(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = (), with_ids: bool = False) -> DataFrame:
     """Encode every whole text, decode the ids to bytes: id, n_tokens, ids_sha256, decoded_sha256[, ids].
 
-    keep names further input columns to carry. One pass, no shuffle.
+    keep names further input columns to carry; one called like a result is left out. One pass, no shuffle.
     """
 
     def one(text: str) -> tuple:
@@ -82,9 +82,9 @@ def encode_documents(docs: DataFrame, path: str, pattern: str, id_col: str = "do
         raw = np.asarray(ids, "<u4").tobytes()
         return (len(ids), hashlib.sha256(raw).hexdigest(), hashlib.sha256(enc.decode_bytes(ids)).hexdigest()) + ((ids,) if with_ids else ())
 
-    names, types = ["n_tokens", "ids_sha256", "decoded_sha256"], [pa.int64(), pa.string(), pa.string()]
-    schema = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in (id_col, *keep)) + ", n_tokens long, ids_sha256 string, decoded_sha256 string"
-    if with_ids:
-        names, types, schema = [*names, "ids"], [*types, pa.list_(pa.int32())], schema + ", ids array<int>"
-    rows = docs.select(id_col, *keep, F.col(text_col).cast("string").alias("text"))
-    return rows.mapInArrow(per_text(one, names, types), schema)
+    made = {"n_tokens": pa.int64(), "ids_sha256": pa.string(), "decoded_sha256": pa.string()} | ({"ids": pa.list_(pa.int32())} if with_ids else {})
+    rest = [c for c in dict.fromkeys((id_col, *keep)) if c not in made]  # a column called like a result gives way to it
+    rows = docs.select(*(docs[f"`{c}`"].alias(f"_c{i}") for i, c in enumerate(rest)), docs[f"`{text_col}`"].cast("string").alias("_text"))
+    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema.fields[:-1]) + ", n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * with_ids
+    out = rows.mapInArrow(per_text(one, list(made), list(made.values())), schema)
+    return out.select(*(F.col(f"_c{i}").alias(c) for i, c in enumerate(rest)), *made)

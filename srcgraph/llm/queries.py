@@ -87,6 +87,29 @@ def op7_repetition(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_repetition(_documents(spark, sf_dir))
 
 
+#: The limits of repetition.NGRAM_LIMITS and the rest, stated once more.
+OP7_SQL = """
+WITH d AS (SELECT doc_id, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS words FROM documents),
+m AS (SELECT doc_id, len(words) AS n_words, coalesce(list_sum(list_transform(words, lambda w: length(w))), 0) AS word_chars, length(regexp_replace(text, '[^#*$%&|<>]', '', 'g')) AS n_symbols FROM d),
+l AS (SELECT doc_id, line, row_number() OVER (PARTITION BY doc_id, line ORDER BY i) > 1 AS dup
+      FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS i FROM d) WHERE regexp_matches(line, '[^\\x20\\x09-\\x0D]')),
+s AS (SELECT doc_id, count(*) AS lines, count(*) FILTER (dup) AS n_dup, sum(length(line)) AS chars, coalesce(sum(length(line)) FILTER (dup), 0) AS dup_chars FROM l GROUP BY 1),
+p AS (SELECT doc_id, unnest(words) AS word, generate_subscripts(words, 1) AS i FROM d),
+g AS (SELECT doc_id, n, i, array_to_string(words[i:i + n - 1], ' ') AS gram FROM (SELECT doc_id, words, n, unnest(range(1, len(words) - n + 2)) AS i FROM d, (VALUES (3), (5), (6), (7), (8), (9), (10)) AS v(n))),
+r AS (SELECT doc_id, n, i FROM (SELECT *, row_number() OVER w AS nth, count(*) OVER (PARTITION BY doc_id, n, gram) AS times FROM g WINDOW w AS (PARTITION BY doc_id, n, gram ORDER BY i)) WHERE CASE WHEN n = 3 THEN times > 1 ELSE nth > 1 END),
+c AS (SELECT DISTINCT doc_id, n, unnest(range(i, i + n)) AS i FROM r),
+h AS (SELECT c.doc_id, c.n, count(*) AS covered, sum(length(p.word)) AS chars FROM c JOIN p ON p.doc_id = c.doc_id AND p.i = c.i GROUP BY 1, 2),
+k AS (SELECT h.doc_id, max(h.chars / greatest(1, word_chars)) FILTER (n > 3) AS worst, coalesce(max(covered) FILTER (n = 3), 0) AS n_repeat_words,
+             coalesce(bool_or(h.chars > (20 - n)::DOUBLE / 100 * word_chars + 60) FILTER (n > 3), false) AS bad FROM h JOIN m USING (doc_id) GROUP BY 1),
+f AS (SELECT m.*, coalesce(n_dup, 0) AS n_dup_lines, coalesce(n_repeat_words, 0) AS n_repeat_words, n_words < 50 OR 100 * coalesce(n_repeat_words, 0) > 50 * n_words AS base_failed,
+             coalesce(bad, false) OR coalesce(n_dup > 0.3::DOUBLE * lines + 1 OR dup_chars > 0.2::DOUBLE * s.chars + 60, false) AS bad,
+             coalesce(n_dup / lines, 0) AS dup_line_share, coalesce(dup_chars / greatest(1, s.chars), 0) AS dup_line_char_share, coalesce(worst, 0) AS max_ngram_share
+      FROM m LEFT JOIN s USING (doc_id) LEFT JOIN k USING (doc_id))
+SELECT doc_id, cast(n_words AS BIGINT) AS n_words, cast(word_chars AS BIGINT) AS word_chars, cast(n_symbols AS BIGINT) AS n_symbols, cast(n_dup_lines AS BIGINT) AS n_dup_lines, cast(n_repeat_words AS BIGINT) AS n_repeat_words,
+       base_failed, NOT (base_failed OR bad) AS kept, cast(dup_line_share AS DOUBLE) AS dup_line_share, cast(dup_line_char_share AS DOUBLE) AS dup_line_char_share, cast(max_ngram_share AS DOUBLE) AS max_ngram_share FROM f
+"""
+
+
 def op8_lattice_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's log probability under the lattice-backed unigram model."""
     import public_tokenizers
@@ -153,4 +176,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_ngram_join": op10_ngram_join,
 }
 
-ORACLES: dict[str, str] = {"op5_warc": OP5_SQL, "op9_mixing": OP9_SQL, "op10_ngram_join": OP10_SQL}
+ORACLES: dict[str, str] = {"op5_warc": OP5_SQL, "op7_repetition": OP7_SQL, "op9_mixing": OP9_SQL, "op10_ngram_join": OP10_SQL}

@@ -3,7 +3,8 @@
 Rolling hashes of the word windows of several lengths are compared within each document, all
 documents of a slice at once in numpy. Each length's coverage is the share of word characters in
 windows that repeat an earlier window; for lines it is the share of lines, and of their
-characters, that repeat an earlier line. A text whose coverage passes a limit is rejected.
+characters, that repeat an earlier line. A text whose coverage passes a limit is rejected; a few
+characters and one line are free, which matters to short texts alone.
 
 A window of n words repeats only if both its windows of n - 1 words do, so only the shortest
 windows are all sorted; the longer ones are looked for among what is left.
@@ -24,11 +25,12 @@ from pyspark.sql import functions as F
 from .common import sliced
 from .words import Words, mix, windows
 
-#: Limits on the share of word characters within repeated n-grams. Published rules for web pages take half of
-#: these; a short text of a few lines that repeats one line of boilerplate should pass.
-NGRAM_LIMITS = {5: 0.30, 6: 0.28, 7: 0.26, 8: 0.24, 9: 0.22, 10: 0.20}
+#: Limits on the share of word characters within repeated n-grams, as published rules for web pages have them.
+NGRAM_LIMITS = {5: 0.15, 6: 0.14, 7: 0.13, 8: 0.12, 9: 0.11, 10: 0.10}
 #: Limits on the share of repeated lines, and of characters in them.
-LINE_LIMIT, LINE_CHAR_LIMIT = 0.50, 0.30
+LINE_LIMIT, LINE_CHAR_LIMIT = 0.30, 0.20
+#: What any text may repeat beyond these shares: one line of boilerplate should not reject a short text. Characters, lines.
+FREE_CHARS, FREE_LINES = 60, 1
 MIN_WORDS, MAX_REPEAT_PERCENT = 50, 50
 
 _SYMBOL = np.zeros(256, bool)
@@ -77,8 +79,10 @@ def measure(data: np.ndarray, offsets: np.ndarray, limits: dict[int, float] = NG
     chars = points[ends] - points[starts]
     per_doc = lambda weight, doc: np.bincount(doc, weight, minlength=n_docs)
     out["n_dup_lines"] = per_doc(later, line_doc).astype(np.int64)
-    out["dup_line_share"] = out["n_dup_lines"] / np.maximum(1, np.bincount(line_doc, minlength=n_docs))
-    out["dup_line_char_share"] = per_doc(later * chars, line_doc) / np.maximum(1, per_doc(chars, line_doc))
+    lines, line_chars, dup_chars = np.bincount(line_doc, minlength=n_docs), per_doc(chars, line_doc), per_doc(later * chars, line_doc)
+    out["dup_line_share"] = out["n_dup_lines"] / np.maximum(1, lines)
+    out["dup_line_char_share"] = dup_chars / np.maximum(1, line_chars)
+    bad_lines = (out["n_dup_lines"] > LINE_LIMIT * lines + FREE_LINES) | (dup_chars > LINE_CHAR_LIMIT * line_chars + FREE_CHARS)
 
     words = w.hashes(w.starts, w.ends)
     size = points[w.ends] - points[w.starts]
@@ -97,12 +101,12 @@ def measure(data: np.ndarray, offsets: np.ndarray, limits: dict[int, float] = NG
         for k in range(length):
             keys = mix(keys + words[at + k])
         twice, later = _repeats(keys ^ salt[at])
-        share = per_doc(_covered(at[later], length, n_words) * size, docs) / np.maximum(1, out["word_chars"])
-        worst, bad = np.maximum(worst, share), bad | (share > limits[length])
+        covered = per_doc(_covered(at[later], length, n_words) * size, docs)
+        worst, bad = np.maximum(worst, covered / np.maximum(1, out["word_chars"])), bad | (covered > limits[length] * out["word_chars"] + FREE_CHARS)
         at = at[twice]
     out["max_ngram_share"] = worst
     out["base_failed"] = (out["n_words"] < MIN_WORDS) | (100 * out["n_repeat_words"] > MAX_REPEAT_PERCENT * out["n_words"])
-    out["kept"] = ~(out["base_failed"] | bad | (out["dup_line_share"] > LINE_LIMIT) | (out["dup_line_char_share"] > LINE_CHAR_LIMIT))
+    out["kept"] = ~(out["base_failed"] | bad | bad_lines)
     return out
 
 

@@ -31,7 +31,7 @@ import re
 from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import per_text
@@ -308,8 +308,8 @@ def harvest(docs: DataFrame, bound: int = HARVEST, text_col: str = "text") -> li
         yield pa.RecordBatch.from_arrays([pa.array(c, pa.string()) for c in (zip(*rows, strict=True) if rows else ((), (), ()))], names=["kind", "h", "word"])
 
     found = docs.select(F.col(text_col).cast("string")).mapInArrow(run, "kind string, h string, word string").distinct()
-    least = found.groupBy("kind").agg(F.slice(F.array_sort(F.collect_list(F.struct("h", "word"))), 1, bound).alias("w"))
-    return sorted((f"found_{r['kind']}", w["word"]) for r in least.collect() for w in r["w"])
+    nth = F.row_number().over(Window.partitionBy("kind").orderBy("h"))
+    return sorted((f"found_{r['kind']}", r["word"]) for r in found.withColumn("nth", nth).where(F.col("nth") <= bound).collect())
 
 
 FINDS = "array<struct<kind:string,start:int,end:int,base:boolean,score:double>>"

@@ -151,6 +151,8 @@ def read_records(selected: DataFrame, folder: str, with_payload: bool = False) -
         for batch in batches:
             for archive, start, end, parts in coalesced(list(zip(*(c.to_pylist() for c in batch.columns), strict=True))):
                 if archive != opened:
+                    if source is not None:
+                        source.close()
                     source, opened = store.open_input_file(f"{root}/{archive}"), archive
                 data = source.read_at(end - start, start)
                 out: list[list] = [[] for _ in names]

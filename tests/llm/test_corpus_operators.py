@@ -44,6 +44,18 @@ def test_archives_round_trip(spark):
     assert warc.archive_round_trip(frame.limit(0)).count() == 0
 
 
+def test_archives_are_closed_at_a_size(spark, monkeypatch, tmp_path):
+    monkeypatch.setattr(warc, "ARCHIVE_BYTES", 3000)
+    monkeypatch.setattr(warc, "READ_BYTES", 2500)
+    draw = random.Random(16)
+    pages = [(i, f"u{i}", prose(draw, draw.choice([5, 400]))) for i in range(60)] + [(99, "big", prose(draw, 2000))]
+    frame = spark.createDataFrame(pages, "page_id long, url string, html string").coalesce(2)
+    folder = f"file://{tmp_path}/w"
+    out = warc.archive_round_trip(frame, folder).collect()
+    assert {(r["page_id"], r["payload_digest"]) for r in out} == {(i, hashlib.sha1(h.encode()).hexdigest()) for i, _, h in pages}
+    assert len(os.listdir(f"{tmp_path}/w")) > 10
+
+
 def test_records_parse_and_ranges_coalesce():
     data = gzip.decompress(gzip.compress(warc.record(7, "http://x", b"body\r\n\r\nmore", hashlib.sha1(b"body\r\n\r\nmore").hexdigest(), None)))
     fields, http, payload = warc.parse(data)
@@ -101,6 +113,81 @@ def test_neighbours(spark):
     assert len(only) == 1 and only[0]["near_next"] == 1.0
 
 
+def plain_digest(text):
+    """Feature by feature: windows ranked one by one, runs of neighbours compared one by one."""
+    data = text.encode()
+    n, windows = fingerprint.WINDOW, max(0, len(data) - fingerprint.WINDOW + 1)
+    ranks = fingerprint.ranks(np.frombuffer(data, np.uint8)) if windows else []
+    wins = Counter()
+    for start in range(windows):  # the run of the windows from here, cut at the text's end
+        run = [(int(ranks[i]), i) for i in range(start, min(start + fingerprint.RUN, windows))]
+        rank, best = min(run)
+        if rank < fingerprint._NONE:
+            wins[best] += 1
+    need = min(fingerprint.POPULAR, sum(wins.values()))
+    chosen = [i for i in sorted(wins) if wins[i] >= need]
+    hashed = []
+    for i in chosen:
+        h = np.zeros(1, np.uint64)
+        for k in range(0, n, 8):
+            h = fingerprint.mix((h ^ np.frombuffer(data[i + k : i + k + 8], "<u8")) + np.uint64(0x9E3779B97F4A7C15))
+        hashed.append(int(h[0]))
+    if not hashed and data:
+        hashed = [int.from_bytes(hashlib.blake2b(data, digest_size=8).digest(), "little")]
+    filters = []
+    for k in range(0, len(hashed), fingerprint.FILTER_FEATURES):
+        bits = np.zeros(fingerprint.FILTER_BITS, bool)
+        for h in hashed[k : k + fingerprint.FILTER_FEATURES]:
+            for b in range(fingerprint.BITS):
+                bits[h >> (11 * b) & (fingerprint.FILTER_BITS - 1)] = True
+        filters.append(np.packbits(bits))
+    return filters
+
+
+def plain_likeness(a, b):
+    if len(a) == len(b) and all(np.array_equal(x, y) for x, y in zip(a, b, strict=True)):
+        return 1.0
+    if not len(a) or not len(b):
+        return 0.0
+
+    def towards(xs, ys):
+        total = weight = 0.0
+        for x in xs:
+            nx, best = int(np.unpackbits(x).sum()), -9.0
+            for y in ys:
+                ny, common = int(np.unpackbits(y).sum()), int(np.unpackbits(x & y).sum())
+                chance = nx * ny / fingerprint.FILTER_BITS
+                best = max(best, (common - chance) / max(min(nx, ny) - chance, 1e-9))
+            total += nx * min(1.0, max(0.0, (best - fingerprint.CUTOFF) / (1 - fingerprint.CUTOFF)))
+            weight += nx
+        return total / weight
+
+    return min(towards(a, b), towards(b, a)) if len(a) == len(b) else towards(a, b) if len(a) < len(b) else towards(b, a)
+
+
+def test_digests_and_likeness_are_those_of_brute_force():
+    draw = random.Random(14)
+    texts = [prose(draw, n) for n in (2, 30, 200, 900)] + ["", "a" * 300, "ab" * 90 + prose(draw, 40)]
+    texts += [texts[3][: len(texts[3]) // 2] + prose(draw, 300), texts[2] + " tail"]
+    made = [x for _, _, d, o in sliced(pa.array(texts), 700) for x in fingerprint.digests(d, o)]
+    plain = [plain_digest(t) for t in texts]
+    for a, b in zip(made, plain, strict=True):
+        assert len(a) == len(b) and all(np.array_equal(x, y) for x, y in zip(a, b, strict=True))
+    for (a, x), (b, y) in itertools.combinations(zip(made, plain, strict=True), 2):
+        assert fingerprint.likeness(a, b) == pytest.approx(plain_likeness(x, y))
+        assert fingerprint.likeness(a, b) == pytest.approx(fingerprint.likeness(b, a))
+
+
+def test_a_text_longer_than_a_slice_has_its_digest():
+    draw = random.Random(15)
+    long = prose(draw, 3000) * 80
+    assert len(long) > common.SLICE_BYTES
+    column = pa.array(["short text", long, "another"])
+    made = [x for _, _, d, o in sliced(column) for x in fingerprint.digests(d, o)]
+    alone = [x for t in column.to_pylist() for _, _, d, o in sliced(pa.array([t])) for x in fingerprint.digests(d, o)]
+    assert all(np.array_equal(a, b) for a, b in zip(made, alone, strict=True))
+
+
 # -- language model
 def test_marginal_is_the_sum_over_segmentations():
     pieces = {"_": -2.0, "a": -1.0, "b": -1.5, "ab": -0.7, "_a": -1.2, "ba": -2.2, "aba": -3.0}

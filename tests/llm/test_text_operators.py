@@ -300,6 +300,59 @@ def test_verdicts(spark):
     assert repetition.score_repetition(docs.limit(0)).count() == 0
 
 
+def plain_verdict(text):
+    words = re.findall(r"[^\x20\x09-\x0D]+", text)
+    chars = sum(map(len, words))
+    bad = False
+    for n, limit in repetition.NGRAM_LIMITS.items():
+        seen, hit = set(), set()
+        for i in range(len(words) - n + 1):
+            g = tuple(words[i : i + n])
+            if g in seen:
+                hit |= set(range(i, i + n))
+            seen.add(g)
+        bad |= sum(len(words[i]) for i in hit) > limit * chars + repetition.FREE_CHARS
+    lines, seen, again = [x for x in text.split("\n") if re.search(r"[^\x20\x09-\x0D]", x)], set(), []
+    for line in lines:
+        if line in seen:
+            again.append(line)
+        seen.add(line)
+    share, chars_share = len(again) / max(1, len(lines)), sum(map(len, again)) / max(1, sum(map(len, lines)))
+    bad |= len(again) > repetition.LINE_LIMIT * len(lines) + repetition.FREE_LINES or sum(map(len, again)) > repetition.LINE_CHAR_LIMIT * sum(map(len, lines)) + repetition.FREE_CHARS
+    n_words, *_, repeated = plain_repetition(text)
+    failed = n_words < 50 or 100 * repeated > 50 * n_words
+    return failed, not (failed or bad), share, chars_share
+
+
+def test_verdicts_and_line_shares_are_those_of_brute_force():
+    draw = random.Random(12)
+    texts = ["", "x"]
+    for _ in range(120):
+        words = ["".join(draw.choices("abcdefgh", k=draw.randint(2, 9))) for _ in range(draw.choice([20, 60, 200]))]
+        line = " ".join(draw.choices(words, k=draw.randint(3, 14)))
+        lines = [" ".join(draw.choices(words, k=draw.randint(4, 12))) for _ in range(draw.randint(3, 40))]
+        for _ in range(draw.randint(0, 6)):
+            lines.insert(draw.randrange(len(lines)), line)
+        texts.append("\n".join(lines))
+    kept = 0
+    for start, end, data, offsets in sliced(pa.array(texts), 4000):
+        m = repetition.measure(data, offsets)
+        for k, text in enumerate(texts[start:end]):
+            got = tuple(m[c][k] for c in ("base_failed", "kept", "dup_line_share", "dup_line_char_share"))
+            assert got == pytest.approx(plain_verdict(text))
+            kept += got[1]
+    assert 10 < kept < 110
+
+
+def test_encoding_nothing_and_columns_called_like_results(spark):
+    docs = spark.createDataFrame([(1, "a b", "s", 7)], "doc_id long, text string, ids_sha256 string, `odd name` int")
+    encode = lambda d, **more: bpe.encode_documents(d, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN, **more)
+    out = encode(docs, keep=("ids_sha256", "odd name"), with_ids=True)
+    assert out.columns == ["doc_id", "odd name", "n_tokens", "ids_sha256", "decoded_sha256", "ids"]
+    assert out.first()["odd name"] == 7 and out.first()["ids_sha256"] != "s"
+    assert encode(docs.limit(0)).count() == 0
+
+
 def test_texts_with_odd_characters(spark):
     docs = spark.createDataFrame([(i, t, "v") for i, t in enumerate(ODD)], "doc_id long, text string, finds string")
     for frame in (secrets.scan_secrets(docs), pii.find_pii(docs), repetition.score_repetition(docs)):
