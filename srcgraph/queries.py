@@ -203,3 +203,8 @@ FROM (SELECT doc_id, l, list_max(list_filter(range(0, 198), lambda n: strlen(lef
       FROM (SELECT doc_id, trim(regexp_replace(split_part(text, chr(10), 1), '\\s+', ' ', 'g')) AS l FROM documents))""",
     "detect_language": "SELECT 'a.b/part_' || p_partkey || e AS path, CASE e WHEN '.go' THEN 'go' WHEN '.py' THEN 'python' WHEN '.tsx' THEN 'typescript' ELSE 'yaml' END AS language FROM (SELECT p_partkey, ['.go', '.py', '.tsx', '.txt', '.GO', '.yml', ''][p_partkey % 7 + 1] AS e FROM part) WHERE e IN ('.go', '.py', '.tsx', '.yml')",
 }
+
+from . import queries_languages as _languages  # noqa: E402
+
+QUERIES |= _languages.QUERIES
+ORACLES |= _languages.ORACLES

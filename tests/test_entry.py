@@ -17,7 +17,7 @@ pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="no driver tables"
 @pytest.fixture(scope="module")
 def duck():
     con = duckdb.connect()
-    for t in ("part", "orders", "lineitem", "documents"):
+    for t in ("part", "orders", "lineitem", "documents", "supplier"):
         con.execute(f"create view {t} as select * from read_parquet('{SF}/{t}.parquet')")
     return con
 
