@@ -24,6 +24,7 @@ import bisect
 import functools
 import re
 import unicodedata
+from collections.abc import Callable
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -153,15 +154,17 @@ _PARTS = {
     "word": (("", rf"(?<![^\W_])(?P<digit>{_WORDS})(?![^\W_])(?:[\s,-]{{1,3}}(?=(?:{_WORDS})(?![^\W_])))?"),),
     "gone": (("gone", rf"[{INVISIBLE}]"),),
 }
-_HOLDS = {
-    "open": re.compile(r"[\[({<]"),
-    "@": re.compile("@"),
-    "named@": re.compile(r"(?:\s|[_-])(?:at|arroba)(?:\s|[_-])", re.I),
-    "named": re.compile(DOT_WORDS, re.I),
-    "loose": re.compile(r"\s\."),
-    "plus": re.compile("plus", re.I),
-    "gone": re.compile(f"[{INVISIBLE}]"),
+#: What a text must hold for an alternative to match: (text, text in small letters) -> can it?
+_HOLDS: dict[str, Callable[[str, str], object]] = {
+    "open": lambda flat, small: any(c in flat for c in "[({<"),
+    "@": lambda flat, small: "@" in flat,
+    "named@": lambda flat, small: "arroba" in small or "AT" in flat or any(p in small for p in PROVIDERS.split()),
+    "named": lambda flat, small: any(w in small for w in DOT_WORDS.split("|")),
+    "loose": lambda flat, small: " ." in flat or _LOOSE.search(flat),
+    "plus": lambda flat, small: "plus" in small,
+    "gone": lambda flat, small: not flat.isascii() and _INVISIBLES.search(flat),
 }
+_LOOSE = re.compile(r"\s\.")
 
 
 _INVISIBLES = re.compile(f"(?P<gone>[{INVISIBLE}])")
@@ -175,7 +178,8 @@ def _pattern(holds: frozenset[str]) -> re.Pattern:
 
 def _tokens(flat: str) -> re.Pattern:
     """The tokens that can stand in a text: an alternative is left out only if a text like this can't match it."""
-    holds = {name for name, sign in _HOLDS.items() if sign.search(flat)}
+    small = flat.lower()
+    holds = {name for name, sign in _HOLDS.items() if sign(flat, small)}
     if "named" in holds or "open" in holds:
         holds.add("bare")
     return _pattern(frozenset(holds))
@@ -207,15 +211,19 @@ def _rewritten(flat: str, pattern: re.Pattern) -> tuple[str, Places]:
     return "".join(out), spans
 
 
-def flattened(text: str) -> tuple[str, Places]:
-    """The text with look-alikes replaced and invisible characters left out."""
-    flat = text if text.isascii() else text.translate(_table()[0])
-    return _rewritten(flat, _INVISIBLES) if _HOLDS["gone"].search(flat) else (flat, [(0, 0, 0)])
+def translated(text: str) -> str:
+    """The text with look-alikes replaced."""
+    table, odd = _table()
+    return text if text.isascii() or odd.isdisjoint(text) else text.translate(table)
 
 
-def normalise(text: str) -> tuple[str, Places]:
-    """The text with all disguises rewritten."""
-    flat = text if text.isascii() else text.translate(_table()[0])
+def flattened(flat: str) -> tuple[str, Places]:
+    """A translated text without its invisible characters."""
+    return _rewritten(flat, _INVISIBLES) if not flat.isascii() and _INVISIBLES.search(flat) else (flat, [(0, 0, 0)])
+
+
+def normalise(flat: str) -> tuple[str, Places]:
+    """A translated text with all disguises rewritten."""
     return _rewritten(flat, _tokens(flat))
 
 
@@ -256,11 +264,12 @@ def find(text: str) -> tuple[list[Span], list[Span]]:
 
         return [(kind, source(s, False), source(e - 1, True)) for kind, s, e in plain(flat)]
 
-    flat, spans = flattened(text)
+    same = translated(text)
+    flat, spans = flattened(same)
     if flat != text:
         known = _Intervals(base)
         added = [f for f in from_source(flat, spans) if not known.hold(*f)]
-    whole, spans = normalise(text)
+    whole, spans = normalise(same)
     if whole != flat:
         known = _Intervals(base + added)
         added += [f for f in from_source(whole, spans) if not known.overlap(*f)]
