@@ -2,17 +2,15 @@
 
 from __future__ import annotations
 
-import re
-
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-_SPACE = re.compile(r"\s+")
-
 
 def first_line(text: str) -> str:
     """The first line with white space collapsed; above 200 bytes, 197 of them and dots."""
-    line = _SPACE.sub(" ", text.partition("\n")[0]).strip()
+    line = " ".join(text.partition("\n")[0].split())
+    if len(line) <= 50:  # 200 bytes at most
+        return line
     raw = line.encode("utf-8", "replace")
     return raw[:197].decode("utf-8", "replace") + "..." if len(raw) > 200 else line
 

@@ -9,9 +9,9 @@ from ..functions.text import path_key
 from ..plans.facts import check_query, nested, nodes, query_matches
 
 
-def parse_ast(files: DataFrame, max_depth: int | None = 20) -> DataFrame:
-    """All nodes down to a depth (20 unless given; 0 means 20, negative no limit)."""
-    return nodes(files, 20 if max_depth in (0, None) else max_depth)
+def parse_ast(files: DataFrame, max_depth: int | None = 20, columns: tuple[str, ...] | None = None) -> DataFrame:
+    """All nodes down to a depth (20 unless given; 0 means 20, negative no limit), or some of their columns."""
+    return nodes(files, 20 if max_depth in (0, None) else max_depth, columns)
 
 
 def has_error(facts: DataFrame) -> DataFrame:

@@ -11,7 +11,7 @@ from __future__ import annotations
 import bisect
 import gc
 import sys
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -196,20 +196,42 @@ def facts(files: DataFrame, want: Iterable[str] = ("symbols", "calls", "identifi
     return files.select("path", "language", "content").mapInArrow(run, FACTS)
 
 
-NODES = (
-    "path string, language string, node_id int, parent_id int, subtree_end int, depth int, child_index int, kind string, field string, "
-    f"named boolean, is_error boolean, is_missing boolean, start_byte long, end_byte long, start {POINT}, end {POINT}, leaf_text string, error string"
+NODE_COLUMNS = (
+    *"path string, language string, node_id int, parent_id int, subtree_end int, depth int, child_index int, kind string, field string, named boolean".split(", "),
+    *"is_error boolean, is_missing boolean, start_byte long, end_byte long".split(", "),
+    f"start {POINT}",
+    f"end {POINT}",
+    "leaf_text string",
+    "error string",
 )
 _NODES = pa.schema([("path", pa.string()), ("language", pa.string())] + [(c, pa.int32()) for c in ("node_id", "parent_id", "subtree_end", "depth", "child_index")] + [("kind", pa.string()), ("field", pa.string()), ("named", pa.bool_()), ("is_error", pa.bool_()), ("is_missing", pa.bool_()), ("start_byte", pa.int64()), ("end_byte", pa.int64()), ("start", _POINT), ("end", _POINT), ("leaf_text", pa.string()), ("error", pa.string())])
 
 
-def nodes(files: DataFrame, max_depth: int | None = None) -> DataFrame:
+def nodes(files: DataFrame, max_depth: int | None = None, columns: tuple[str, ...] | None = None) -> DataFrame:
     """One row a node, in preorder: a descendant d of a has node_id <= d.node_id < subtree_end.
 
     max_depth: the deepest level to give, the root being 0; no limit if None or negative. A file that can't
-    be parsed is one row with an error and nothing else.
+    be parsed is one row with an error and nothing else. columns: the only ones to make.
     """
     languages = _languages()
+    schema = pa.schema([f for f in _NODES if columns is None or f.name in columns])
+    of: dict[str, Callable[[Tree, list[int], list], list]] = {
+        "node_id": lambda t, span, n: span,
+        "parent_id": lambda t, span, n: [t.parent[i] for i in span],
+        "subtree_end": lambda t, span, n: [t.end[i] for i in span],
+        "depth": lambda t, span, n: [t.depth[i] for i in span],
+        "child_index": lambda t, span, n: [t.place[i] for i in span],
+        "kind": lambda t, span, n: [x.kind for x in n],
+        "field": lambda t, span, n: [x.field for x in n],
+        "named": lambda t, span, n: [x.named for x in n],
+        "is_error": lambda t, span, n: [x.kind == "ERROR" for x in n],
+        "is_missing": lambda t, span, n: [x.missing for x in n],
+        "start_byte": lambda t, span, n: [x.start for x in n],
+        "end_byte": lambda t, span, n: [x.end for x in n],
+        "start": lambda t, span, n: [point(t, x.start) for x in n],
+        "end": lambda t, span, n: [point(t, x.end) for x in n],
+        "leaf_text": lambda t, span, n: [None if x.kids else t.text(i) for i, x in zip(span, n, strict=True)],
+    }
     limit = max_depth if max_depth is not None and max_depth >= 0 else None
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -221,19 +243,17 @@ def nodes(files: DataFrame, max_depth: int | None = None) -> DataFrame:
                 except RecursionError:
                     wrong = "nested too deeply"
                 if wrong:
-                    yield pa.RecordBatch.from_pylist([{"path": path, "language": name, "error": wrong}], schema=_NODES)
+                    row = {"path": path, "language": name, "error": wrong}
+                    yield pa.RecordBatch.from_pylist([{c: row.get(c) for c in schema.names}], schema=schema)
                     continue
                 for s in range(0, len(tree.nodes), 20_000):
                     span = [i for i in range(s, min(s + 20_000, len(tree.nodes))) if limit is None or tree.depth[i] <= limit]
                     n = [tree.nodes[i] for i in span]
-                    columns = [
-                        [path] * len(span), [name] * len(span), span, [tree.parent[i] for i in span], [tree.end[i] for i in span], [tree.depth[i] for i in span], [tree.place[i] for i in span],
-                        [x.kind for x in n], [x.field for x in n], [x.named for x in n], [x.kind == "ERROR" for x in n], [x.missing for x in n], [x.start for x in n], [x.end for x in n],
-                        [point(tree, x.start) for x in n], [point(tree, x.end) for x in n], [None if x.kids else tree.text(i) for i, x in zip(span, n, strict=True)], [None] * len(span),
-                    ]
-                    yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, _NODES, strict=True)], schema=_NODES)
-
-    return files.select("path", "language", "content").mapInArrow(run, NODES)
+                    same = {"path": path, "language": name, "error": None}
+                    yield pa.RecordBatch.from_arrays([pa.array([same[f.name]] * len(span) if f.name in same else of[f.name](tree, span, n), f.type) for f in schema], schema=schema)
+
+    chosen = [c for c in NODE_COLUMNS if columns is None or c.split(" ")[0] in columns]
+    return files.select("path", "language", "content").mapInArrow(run, ", ".join(chosen))
 
 
 MATCHES = f"path string, match_id int, captures array<struct<name:string,text:string,start:{POINT},end:{POINT}>>, error string"

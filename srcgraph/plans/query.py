@@ -46,6 +46,7 @@ class Pattern:
     many: str = ""
     anchored: bool = False  # no named sibling between it and what stands before
     last: bool = False  # among children: nothing named may follow the last of them
+    only: frozenset[str] | None = None  # the kinds that its node can have; None: any
 
     def captures_any(self) -> bool:
         return bool(self.captures) or any(p.captures_any() for p in (*self.alternatives, *self.group, *self.children))
@@ -219,12 +220,20 @@ class Matcher:
 
     def __init__(self, query: Query):
         self.query = query
+        for p in query.patterns:
+            self.narrow(p)
         # which pattern can begin at a kind of node; None: at any
         self.starts: dict[str | None, list[int]] = {}
         for n, p in enumerate(query.patterns):
             for kind in self.roots(p):
                 self.starts.setdefault(kind, []).append(n)
 
+    def narrow(self, p: Pattern) -> None:
+        kinds = self.roots(p)
+        p.only = None if None in kinds else frozenset(kinds)
+        for q in (*p.alternatives, *p.group, *p.children):
+            self.narrow(q)
+
     def roots(self, p: Pattern) -> set[str | None]:
         if p.alternatives:
             return set().union(*(self.roots(a) for a in p.alternatives))
@@ -277,8 +286,23 @@ class Matcher:
             return []
         if not p.children:
             return [own]
+        if len(p.children) == 1 and not (p.last or p.children[0].many or p.children[0].group or p.children[0].anchored):
+            return self.with_child(own, p.children[0], tree, kids)
         return [own + b for b in self.among(p.children, 0, tree, kids, 0, last=p.last)]
 
+    def with_child(self, own: Binding, p: Pattern, tree: Tree, kids: list[int]) -> list[Binding]:
+        """What among() gives for one plain child."""
+        out: list[Binding] = []
+        nodes, role, only = tree.nodes, p.role, p.only
+        for k in kids:
+            node = nodes[k]
+            if (role is None or node.field == role) and (only is None or node.kind in only):
+                found = self.at(p, tree, k)
+                if found and not p.captures_any():
+                    return [own]
+                out += [own + b for b in found]
+        return out if len(out) < 2 else list(dict.fromkeys(out))
+
     def among(self, ps: list[Pattern], n: int, tree: Tree, kids: list[int], start: int, exact: bool = False, last: bool = False) -> list[Binding]:
         """Matches of ps[n:] with siblings kids[start:], in order."""
         if n == len(ps):
@@ -321,7 +345,8 @@ class Matcher:
         return list(dict.fromkeys(out))
 
     def single(self, p: Pattern, tree: Tree, i: int) -> list[Binding]:
-        if p.role and tree.nodes[i].field != p.role:
+        node = tree.nodes[i]
+        if p.role and node.field != p.role or p.only is not None and node.kind not in p.only:
             return []
         return self.at(p, tree, i)
 

@@ -15,6 +15,7 @@ from .functions import catalog
 from .functions.text import first_line_column, line_count, occurrences
 from .operators import calls, metrics, rename, symbols, text, tree, unused
 from .plans.facts import facts
+from .plans.store import stored
 from .sources.synthetic import CALL_QUANTITY, PARTS_A_FILE, go_corpus
 from .sources.walk import from_table
 
@@ -23,8 +24,19 @@ PART = 42
 PART_NAME = f"part_{PART:09d}"
 
 
-def _facts(spark: SparkSession, sf_dir: str, *want: str, kinds: tuple[str, ...] | None = None) -> DataFrame:
-    return facts(go_corpus(spark, sf_dir), want, kinds)
+def _corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return stored(spark, f"files of {sf_dir}", lambda: go_corpus(spark, sf_dir))
+
+
+def _facts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The corpus's facts, parsed once an application."""
+    return stored(spark, f"facts of {sf_dir}", lambda: facts(_corpus(spark, sf_dir)))
+
+
+def parse_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the parsing pass finds in each file, parsed anew: numbers of its symbols, calls, identifiers and branches."""
+    found = facts(_corpus(spark, sf_dir))
+    return found.select("path", F.size("symbols").cast("long").alias("n_symbols"), F.size("calls").cast("long").alias("n_calls"), F.size("identifiers").cast("long").alias("n_identifiers"), F.size("decisions").cast("long").alias("n_decisions"))
 
 
 def list_languages(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -33,7 +45,7 @@ def list_languages(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def parse_ast(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Named nodes by kind in all files."""
-    found = tree.parse_ast(go_corpus(spark, sf_dir), -1)
+    found = tree.parse_ast(_corpus(spark, sf_dir), -1, ("kind", "named"))
     return found.where("named").groupBy("kind").agg(F.count("*").alias("n"))
 
 
@@ -43,28 +55,28 @@ def has_error(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def query_ast(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Calls of each file by an ad-hoc pattern."""
-    found = tree.query_ast(go_corpus(spark, sf_dir), '((call_expression function: (identifier) @f arguments: (argument_list)) @call (#match? @f "^part_"))', "go")
+    found = tree.query_ast(_corpus(spark, sf_dir), '((call_expression function: (identifier) @f arguments: (argument_list)) @call (#match? @f "^part_"))', "go")
     return found.groupBy("path").agg(F.count("*").alias("n_calls"))
 
 
 def symbols_(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = symbols.symbols(_facts(spark, sf_dir, "symbols"))
+    found = symbols.symbols(_facts(spark, sf_dir))
     return found.select("path", "kind", "name", "text", (F.col("end.row") - F.col("start.row") + 1).cast("long").alias("n_lines"))
 
 
 def scan_symbols(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Numbers of symbols of each file."""
-    found = symbols.scan_symbols(_facts(spark, sf_dir, "symbols"))
+    found = symbols.scan_symbols(_facts(spark, sf_dir))
     size = lambda k: F.coalesce(F.size(F.col("kinds")[k]), F.lit(0)).cast("long")
     return found.select("path", F.when(F.map_contains_key("kinds", "functions"), size("functions")).otherwise(0).alias("n_functions"), F.when(F.map_contains_key("kinds", "variables"), size("variables")).otherwise(0).alias("n_variables"))
 
 
 def scan_variables(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return symbols.scan_variables(_facts(spark, sf_dir, "symbols", kinds=("variables",))).select("path", "name", "text")
+    return symbols.scan_variables(_facts(spark, sf_dir)).select("path", "name", "text")
 
 
 def analyze(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = metrics.analyze(_facts(spark, sf_dir, "symbols"))
+    found = metrics.analyze(_facts(spark, sf_dir))
     f = F.col("kinds")["functions"]
     return found.select("path", F.col("lines").cast("long").alias("lines"), "bytes", f["count"].cast("long").alias("n_functions"), F.round(f["avg_lines"], 6).alias("avg_lines"), f["max_lines"].cast("long").alias("max_lines"), F.col("kinds")["variables"]["count"].cast("long").alias("n_variables"), F.col("kinds")["types"]["count"].cast("long").alias("n_types"))
 
@@ -76,30 +88,29 @@ def get_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def search_name(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return symbols.search_name(_facts(spark, sf_dir, "symbols"), PART_NAME).select("file", "kind", "name", "text", F.col("col").cast("long").alias("col"))
+    return symbols.search_name(_facts(spark, sf_dir), PART_NAME).select("file", "kind", "name", "text", F.col("col").cast("long").alias("col"))
 
 
 def complexity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return metrics.complexity(_facts(spark, sf_dir, "symbols", "decisions")).select("path", "name", F.col("complexity").cast("long").alias("complexity"))
+    return metrics.complexity(_facts(spark, sf_dir)).select("path", "name", F.col("complexity").cast("long").alias("complexity"))
 
 
 def unused_symbols(spark: SparkSession, sf_dir: str) -> DataFrame:
-    corpus = go_corpus(spark, sf_dir)
-    return unused.unused_symbols(facts(corpus, ("symbols",)), corpus).select("file", "kind", "name")
+    return unused.unused_symbols(_facts(spark, sf_dir), _corpus(spark, sf_dir)).select("file", "kind", "name")
 
 
 def rename_preview(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rename.rename_preview(_facts(spark, sf_dir, "symbols", "identifiers"), PART_NAME).select("file", "text", "definition")
+    return rename.rename_preview(_facts(spark, sf_dir), PART_NAME).select("file", "text", "definition")
 
 
 def call_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One row for each function and callee; functions without calls have a null callee."""
-    found = calls.call_graph(_facts(spark, sf_dir, "symbols", "calls"))
+    found = calls.call_graph(_facts(spark, sf_dir))
     return found.select("path", "name", F.explode_outer("callees").alias("c")).select("path", "name", F.col("c.name").alias("callee"), F.col("c.count").cast("long").alias("n"))
 
 
 def callers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return calls.callers(_facts(spark, sf_dir, "symbols", "calls"), PART_NAME).select("file", "name", "kind", F.col("count").cast("long").alias("n"))
+    return calls.callers(_facts(spark, sf_dir), PART_NAME).select("file", "name", "kind", F.col("count").cast("long").alias("n"))
 
 
 def text_measures(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -124,6 +135,7 @@ def detect_language(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "list_languages": list_languages,
+    "parse_facts": parse_facts,
     "parse_ast": parse_ast,
     "has_error": has_error,
     "query_ast": query_ast,
@@ -170,6 +182,11 @@ SELECT kind, cast(n AS BIGINT) AS n FROM (SELECT unnest([
   {'kind': 'identifier', 'n': funcs + items + calls + 2 * rs}, {'kind': 'short_var_declaration', 'n': items}, {'kind': 'expression_list', 'n': 2 * items},
   {'kind': 'int_literal', 'n': items}, {'kind': 'expression_statement', 'n': calls}, {'kind': 'call_expression', 'n': calls}, {'kind': 'argument_list', 'n': calls},
   {'kind': 'if_statement', 'n': rs}, {'kind': 'binary_expression', 'n': rs}], recursive := true) FROM t) WHERE n > 0""",
+    "parse_facts": _BASE
+    + f"""
+, c AS (SELECT path, {_SUM.format('calls')} AS calls FROM o GROUP BY 1)
+SELECT f.path, count(*) + {_SUM.format('items')} AS n_symbols, coalesce(any_value(calls), 0) AS n_calls, count(*) + {_SUM.format('items')} + coalesce(any_value(calls), 0) + 2 * {_SUM.format('rs')} AS n_identifiers, 2 * {_SUM.format('rs')} AS n_decisions
+FROM f LEFT JOIN c ON c.path = f.path GROUP BY f.path""",
     "has_error": _BASE + "SELECT DISTINCT path, false AS has_error FROM f",
     "query_ast": f"SELECT path, {_SUM.format('n')} AS n_calls FROM {_CALLED} GROUP BY 1",
     "symbols": _BASE

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from .functions import catalog
 from .operators import calls, metrics, rename, symbols, text, tree, unused
 from .plans.facts import facts
+from .plans.store import stored
 from .sources.synthetic import BROKEN, TEMPLATES, mixed_corpus
 
 #: The number in the names that are searched for.
@@ -140,61 +141,68 @@ IFS = [
 RANGES = [(0, 0, 1, 0), (3, 2, 5, 1), (1, 30, 4, 3), (40, 0, 50, 0)]
 
 
+def _corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return stored(spark, f"mixed files of {sf_dir}", lambda: mixed_corpus(spark, sf_dir))
+
+
+def _facts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return stored(spark, f"mixed facts of {sf_dir}", lambda: facts(_corpus(spark, sf_dir)))
+
+
 def _point(column: str) -> list:
     return [F.col(f"{column}.row").cast("long").alias(f"{column}_row"), F.col(f"{column}.col").cast("long").alias(f"{column}_col")]
 
 
 def symbols_languages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every symbol with its extent."""
-    found = symbols.symbols(facts(mixed_corpus(spark, sf_dir), ("symbols",)))
+    found = symbols.symbols(_facts(spark, sf_dir))
     return found.select("path", "language", "kind", "name", *_point("start"), *_point("end"))
 
 
 def call_graph_languages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every function, where it begins, and its callees in order."""
-    found = calls.call_graph(facts(mixed_corpus(spark, sf_dir), ("symbols", "calls")))
+    found = calls.call_graph(_facts(spark, sf_dir))
     callees = F.array_join(F.transform("callees", lambda c: F.concat(c["name"], F.lit(":"), c["count"].cast("string"))), ",")
     return found.select("path", "name", "kind", callees.alias("callees"), *_point("start"))
 
 
 def complexity_languages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return metrics.complexity(facts(mixed_corpus(spark, sf_dir), ("symbols", "decisions"))).select("path", "name", "kind", F.col("complexity").cast("long").alias("complexity"), *_point("start"))
+    return metrics.complexity(_facts(spark, sf_dir)).select("path", "name", "kind", F.col("complexity").cast("long").alias("complexity"), *_point("start"))
 
 
 def callers_languages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Who calls one function."""
-    found = calls.callers(facts(mixed_corpus(spark, sf_dir), ("symbols", "calls")), f"help_{ONE}")
+    found = calls.callers(_facts(spark, sf_dir), f"help_{ONE}")
     return found.select("file", "name", "kind", F.col("line").cast("long").alias("line"), F.col("col").cast("long").alias("col"), F.col("count").cast("long").alias("n"))
 
 
 def search_languages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Where one name is declared."""
-    found = symbols.search_name(facts(mixed_corpus(spark, sf_dir), ("symbols",)), f"Box_{ONE}")
+    found = symbols.search_name(_facts(spark, sf_dir), f"Box_{ONE}")
     return found.select("file", "kind", "name", F.col("line").cast("long").alias("line"), F.col("col").cast("long").alias("col"), "text")
 
 
 def rename_languages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every place of one name."""
-    found = rename.rename_preview(facts(mixed_corpus(spark, sf_dir), ("symbols", "identifiers")), f"help_{ONE}")
+    found = rename.rename_preview(_facts(spark, sf_dir), f"help_{ONE}")
     return found.select("file", F.col("line").cast("long").alias("line"), F.col("col").cast("long").alias("col"), "definition")
 
 
 def unused_languages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Names that occur once in all files, with places; names of several words too."""
-    corpus = mixed_corpus(spark, sf_dir)
-    found = unused.unused_symbols(facts(corpus, ("symbols",)), corpus)
+    found = unused.unused_symbols(_facts(spark, sf_dir), _corpus(spark, sf_dir))
     return found.select("file", "kind", "name", F.col("line").cast("long").alias("line"), F.col("col").cast("long").alias("col"))
 
 
 def analyze_languages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lines, bytes and each kind's numbers, kinds without symbols included."""
-    found = metrics.analyze(facts(mixed_corpus(spark, sf_dir), ("symbols",)))
+    found = metrics.analyze(_facts(spark, sf_dir))
     return found.select("path", F.col("lines").cast("long").alias("lines"), "bytes", F.explode("kinds").alias("kind", "k")).select("path", "lines", "bytes", "kind", F.col("k.count").cast("long").alias("n"), F.round("k.avg_lines", 6).alias("avg_lines"), F.col("k.max_lines").cast("long").alias("max_lines"))
 
 
 def query_languages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """If statements by a tree pattern; languages without such a node have none."""
-    found = tree.query_ast(mixed_corpus(spark, sf_dir), "(if_statement) @s")
+    found = tree.query_ast(_corpus(spark, sf_dir), "(if_statement) @s")
     return found.where("error is null").select("path", F.col("match_id").cast("long").alias("match_id"), F.col("captures")[0].alias("c")).select("path", "match_id", *[F.col(f"c.{k}.{x}").cast("long").alias(f"{k}_{x}") for k in ("start", "end") for x in ("row", "col")])
 
 
@@ -205,7 +213,7 @@ def has_error_languages(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def get_text_languages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Several ranges of every file."""
-    corpus = mixed_corpus(spark, sf_dir)
+    corpus = _corpus(spark, sf_dir)
     parts = [text.get_text(corpus, *r).select("path", F.lit(k).cast("long").alias("k"), "text") for k, r in enumerate(RANGES)]
     out = parts[0]
     for part in parts[1:]:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import random
+import shutil
 import time
 
 import pytest
@@ -15,7 +16,9 @@ from srcgraph.api import Cancelled, Engine
 from srcgraph.functions.text import byte_offset, first_line, first_line_column, line_count, occurrences
 from srcgraph.operators import calls, metrics, rename, symbols, text, tree, unused
 from srcgraph.plans.facts import FILES, facts, innermost, nodes
+from srcgraph.plans import store
 from srcgraph.plans.query import InvalidQuery
+from srcgraph.plans.store import forget, stored
 from srcgraph.sources.walk import from_table, read_directory, read_file, walk
 
 PRICES = """package shop
@@ -358,6 +361,23 @@ def test_no_shuffle_within_files(go_facts, capsys):
         assert "Exchange" not in capsys.readouterr().out
 
 
+def test_stored_tables_are_made_once(spark):
+    made = []
+    table = lambda: (made.append(1), spark.range(len(made)))[1]
+    assert [stored(spark, "numbers", table).count() for _ in range(3)] == [1, 1, 1]
+    forget(spark, "numbers")
+    assert stored(spark, "numbers", table).count() == 2
+    shutil.rmtree(store._paths[spark.sparkContext.applicationId, "numbers"].removeprefix("file://"))
+    assert stored(spark, "numbers", table).count() == 3
+
+
+def test_some_columns_of_trees(spark, folder):
+    files = read_file(spark, f"{folder}/a.go")
+    some = tree.parse_ast(files, -1, ("kind", "start", "error"))
+    assert some.columns == ["kind", "start", "error"]
+    assert sorted(map(str, some.collect())) == sorted(map(str, nodes(files).select("kind", "start", "error").collect()))
+
+
 def test_streaming(spark, tmp_path):
     from srcgraph.streaming.incremental import read_files, write_facts
 
