@@ -27,93 +27,94 @@ class Language:
         return getattr(importlib.import_module(module), name)(text)
 
 
-def named(node: str, child: str) -> str:
-    """The pattern of a declaration: the whole is @symbol, the child in its name field @name."""
-    return f"({node} name: {child} @name) @symbol"
-
-
-def bare(*nodes: str) -> str:
-    """The pattern of declarations without a name of their own."""
-    return f"({nodes[0]}) @symbol" if len(nodes) == 1 else "[" + " ".join(f"({n})" for n in nodes) + "] @symbol"
-
-
-_HERE = "srcgraph.parsers"
-_LOGICAL = "binary_expression"  # counts as a decision only with && or ||
-
-# What each language's symbols, identifiers, calls and decisions are.
+# What each language's symbols, identifiers, calls and decisions are. A binary expression counts as a
+# decision only with && or ||.
 LANGUAGES = (
     Language(
         "bash",
         (".sh", ".bash"),
-        f"{_HERE}.bash:Bash",
-        {"functions": named("function_definition", "(word)"), "variables": "(variable_assignment variable: (variable_name) @name) @symbol"},
-        ("if_statement", "elif_clause", "for_statement", "c_style_for_statement", "while_statement", "case_statement", "case_item", "pipeline", "command_substitution", "test_command", _LOGICAL),
+        "srcgraph.parsers.bash:Bash",
+        {
+            "functions": "(function_definition name: (word) @name) @symbol",
+            "variables": "(variable_assignment variable: (variable_name) @name) @symbol",
+        },
+        ("if_statement", "elif_clause", "for_statement", "c_style_for_statement", "while_statement", "case_statement", "case_item", "pipeline", "command_substitution", "test_command", "binary_expression"),
         {"identifiers": "[(word) (variable_name)] @id", "calls": "(command_name (word) @callee)"},
     ),
     Language(
         "csharp",
         (".cs",),
-        f"{_HERE}.csharp:CSharp",
+        "srcgraph.parsers.csharp:CSharp",
         {
-            **{kind: named(f"{node}_declaration", "(identifier)") for kind, node in {"classes": "class", "interfaces": "interface", "structs": "struct", "enums": "enum", "methods": "method", "properties": "property"}.items()},
+            "classes": "(class_declaration name: (identifier) @name) @symbol",
+            "interfaces": "(interface_declaration name: (identifier) @name) @symbol",
+            "structs": "(struct_declaration name: (identifier) @name) @symbol",
+            "enums": "(enum_declaration name: (identifier) @name) @symbol",
+            "methods": "(method_declaration name: (identifier) @name) @symbol",
+            "properties": "(property_declaration name: (identifier) @name) @symbol",
             "fields": "(field_declaration (variable_declaration (variable_declarator name: (identifier) @name))) @symbol",
-            "constructors": named("constructor_declaration", "(identifier)"),
-            "imports": bare("using_directive"),
-            "namespaces": named("namespace_declaration", "[(identifier) (qualified_name)]"),
+            "constructors": "(constructor_declaration name: (identifier) @name) @symbol",
+            "imports": "(using_directive) @symbol",
+            "namespaces": "(namespace_declaration name: [(identifier) (qualified_name)] @name) @symbol",
             "variables": "(variable_declaration (variable_declarator name: (identifier) @name)) @symbol",
         },
-        ("if_statement", "for_statement", "foreach_statement", "while_statement", "do_statement", "switch_statement", "switch_section", "ternary_expression", "catch_clause", _LOGICAL),
+        ("if_statement", "for_statement", "foreach_statement", "while_statement", "do_statement", "switch_statement", "switch_section", "ternary_expression", "catch_clause", "binary_expression"),
         {"identifiers": "[(identifier) (qualified_name)] @id", "calls": "(invocation_expression function: [(identifier) (member_access_expression (identifier))] @callee)"},
     ),
     Language(
         "go",
         (".go",),
-        f"{_HERE}.golang:Go",
+        "srcgraph.parsers.golang:Go",
         {
-            "types": named("type_spec", "(type_identifier)"),
-            "functions": named("function_declaration", "(identifier)"),
-            "methods": named("method_declaration", "(field_identifier)"),
-            "imports": bare("import_declaration"),
+            "types": "(type_spec name: (type_identifier) @name) @symbol",
+            "functions": "(function_declaration name: (identifier) @name) @symbol",
+            "methods": "(method_declaration name: (field_identifier) @name) @symbol",
+            "imports": "(import_declaration) @symbol",
             "variables": "[(short_var_declaration left: (expression_list (identifier) @name)) (var_declaration (var_spec (identifier) @name)) (field_declaration name: (field_identifier) @name)] @symbol",
         },
-        ("if_statement", "for_statement", "expression_switch_statement", "type_switch_statement", "select_statement", "expression_case", "type_case", "communication_case", "default_case", _LOGICAL),
+        ("if_statement", "for_statement", "expression_switch_statement", "type_switch_statement", "select_statement", "expression_case", "type_case", "communication_case", "default_case", "binary_expression"),
         {"identifiers": "[(identifier) (type_identifier) (field_identifier)] @id", "calls": "(call_expression function: [(identifier) (field_identifier)] @callee)"},
     ),
     Language(
         "java",
         (".java",),
-        f"{_HERE}.java:Java",
+        "srcgraph.parsers.java:Java",
         {
-            **{kind: named(f"{node}_declaration", "(identifier)") for kind, node in {"classes": "class", "interfaces": "interface", "enums": "enum", "records": "record", "methods": "method", "constructors": "constructor"}.items()},
+            "classes": "(class_declaration name: (identifier) @name) @symbol",
+            "interfaces": "(interface_declaration name: (identifier) @name) @symbol",
+            "enums": "(enum_declaration name: (identifier) @name) @symbol",
+            "records": "(record_declaration name: (identifier) @name) @symbol",
+            "methods": "(method_declaration name: (identifier) @name) @symbol",
+            "constructors": "(constructor_declaration name: (identifier) @name) @symbol",
             "fields": "(field_declaration declarator: (variable_declarator name: (identifier) @name)) @symbol",
-            "imports": bare("import_declaration"),
+            "imports": "(import_declaration) @symbol",
             "variables": "(local_variable_declaration declarator: (variable_declarator name: (identifier) @name)) @symbol",
         },
-        ("if_statement", "for_statement", "enhanced_for_statement", "while_statement", "do_statement", "switch_expression", "switch_block_statement_group", "switch_rule", "ternary_expression", "catch_clause", _LOGICAL),
+        ("if_statement", "for_statement", "enhanced_for_statement", "while_statement", "do_statement", "switch_expression", "switch_block_statement_group", "switch_rule", "ternary_expression", "catch_clause", "binary_expression"),
         {"identifiers": "[(identifier) (type_identifier) (scoped_identifier)] @id", "calls": "(method_invocation name: (identifier) @callee)"},
     ),
     Language(
         "javascript",
         (".js", ".jsx"),
-        f"{_HERE}.ecma:JavaScript",
+        "srcgraph.parsers.ecma:JavaScript",
         {
-            "functions": named("function_declaration", "(identifier)"),
-            "classes": named("class_declaration", "(identifier)"),
-            "methods": named("method_definition", "[(property_identifier) (private_property_identifier)]"),
-            "imports": bare("import_statement", "import_clause"),
+            "functions": "(function_declaration name: (identifier) @name) @symbol",
+            "classes": "(class_declaration name: (identifier) @name) @symbol",
+            "methods": "(method_definition name: [(property_identifier) (private_property_identifier)] @name) @symbol",
+            "imports": "[(import_statement) (import_clause)] @symbol",
             "variables": "[(lexical_declaration (variable_declarator name: (identifier) @name)) (variable_declaration (variable_declarator name: (identifier) @name))] @symbol",
         },
-        ("if_statement", "for_statement", "for_in_statement", "while_statement", "do_statement", "switch_statement", "switch_case", "ternary_expression", "catch_clause", _LOGICAL),
+        ("if_statement", "for_statement", "for_in_statement", "while_statement", "do_statement", "switch_statement", "switch_case", "ternary_expression", "catch_clause", "binary_expression"),
         {"identifiers": "[(identifier) (property_identifier) (private_property_identifier)] @id", "calls": "(call_expression function: [(identifier) (member_expression (property_identifier))] @callee)"},
     ),
     Language(
         "python",
         (".py",),
-        f"{_HERE}.python:Python",
+        "srcgraph.parsers.python:Python",
         {
-            "classes": named("class_definition", "(identifier)"),
-            "functions": named("function_definition", "(identifier)"),
-            "imports": bare("import_statement", "import_from_statement"),
+            "classes": "(class_definition name: (identifier) @name) @symbol",
+            "functions": "(function_definition name: (identifier) @name) @symbol",
+            "imports": "[(import_statement) (import_from_statement)] @symbol",
             "variables": "(assignment left: (identifier) @name) @symbol",
         },
         ("if_statement", "for_statement", "while_statement", "conditional_expression", "boolean_operator", "except_clause", "case_clause"),
@@ -122,41 +123,46 @@ LANGUAGES = (
     Language(
         "rust",
         (".rs",),
-        f"{_HERE}.rust:Rust",
+        "srcgraph.parsers.rust:Rust",
         {
-            "functions": named("function_item", "(identifier)"),
-            **{kind: named(f"{node}_item", "(type_identifier)") for kind, node in {"structs": "struct", "enums": "enum", "traits": "trait"}.items()},
+            "functions": "(function_item name: (identifier) @name) @symbol",
+            "structs": "(struct_item name: (type_identifier) @name) @symbol",
+            "enums": "(enum_item name: (type_identifier) @name) @symbol",
+            "traits": "(trait_item name: (type_identifier) @name) @symbol",
             "impls": "(impl_item trait: (type_identifier) @name) @symbol",
-            "modules": named("mod_item", "(identifier)"),
-            "types": named("type_item", "(type_identifier)"),
-            "imports": bare("use_declaration"),
+            "modules": "(mod_item name: (identifier) @name) @symbol",
+            "types": "(type_item name: (type_identifier) @name) @symbol",
+            "imports": "(use_declaration) @symbol",
             "variables": "(let_declaration pattern: (identifier) @name) @symbol",
         },
-        ("if_expression", "if_let_expression", "for_expression", "while_expression", "loop_expression", "match_expression", "match_arm", _LOGICAL),
+        ("if_expression", "if_let_expression", "for_expression", "while_expression", "loop_expression", "match_expression", "match_arm", "binary_expression"),
         {"identifiers": "[(identifier) (type_identifier) (field_identifier) (scoped_identifier)] @id", "calls": "(call_expression function: [(identifier) (field_identifier) (scoped_identifier)] @callee)"},
     ),
     Language(
         "typescript",
         (".ts", ".tsx"),
-        f"{_HERE}.ecma:TypeScript",
+        "srcgraph.parsers.ecma:TypeScript",
         {
-            "functions": named("function_declaration", "(identifier)"),
-            "classes": named("class_declaration", "(type_identifier)"),
-            "methods": named("method_definition", "[(property_identifier) (private_property_identifier)]"),
-            "interfaces": named("interface_declaration", "(type_identifier)"),
-            "types": named("type_alias_declaration", "(type_identifier)"),
-            "enums": named("enum_declaration", "(identifier)"),
-            "imports": bare("import_statement", "import_clause"),
+            "functions": "(function_declaration name: (identifier) @name) @symbol",
+            "classes": "(class_declaration name: (type_identifier) @name) @symbol",
+            "methods": "(method_definition name: [(property_identifier) (private_property_identifier)] @name) @symbol",
+            "interfaces": "(interface_declaration name: (type_identifier) @name) @symbol",
+            "types": "(type_alias_declaration name: (type_identifier) @name) @symbol",
+            "enums": "(enum_declaration name: (identifier) @name) @symbol",
+            "imports": "[(import_statement) (import_clause)] @symbol",
             "variables": "[(lexical_declaration (variable_declarator name: (identifier) @name)) (variable_declaration (variable_declarator name: (identifier) @name))] @symbol",
         },
-        ("if_statement", "for_statement", "for_in_statement", "while_statement", "do_statement", "switch_statement", "switch_case", "ternary_expression", "catch_clause", _LOGICAL),
+        ("if_statement", "for_statement", "for_in_statement", "while_statement", "do_statement", "switch_statement", "switch_case", "ternary_expression", "catch_clause", "binary_expression"),
         {"identifiers": "[(identifier) (property_identifier) (private_property_identifier) (type_identifier)] @id", "calls": "(call_expression function: [(identifier) (member_expression (property_identifier))] @callee)"},
     ),
     Language(
         "yaml",
         (".yaml", ".yml"),
-        f"{_HERE}.yaml:Yaml",
-        {"mappings": "(block_mapping_pair key: (flow_node (plain_scalar (string_scalar)) @name)) @symbol", "sequences": bare("block_sequence_entry")},
+        "srcgraph.parsers.yaml:Yaml",
+        {
+            "mappings": "(block_mapping_pair key: (flow_node (plain_scalar (string_scalar)) @name)) @symbol",
+            "sequences": "(block_sequence_entry) @symbol",
+        },
         ("block_mapping_pair", "block_sequence_entry", "flow_mapping", "flow_sequence"),
         {"identifiers": "[(plain_scalar (string_scalar)) (double_quote_scalar) (single_quote_scalar)] @id", "calls": "(block_mapping_pair key: (flow_node (plain_scalar (string_scalar)) @callee))"},
     ),

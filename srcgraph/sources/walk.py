@@ -7,11 +7,12 @@ folder that is not there has no files. Contents are read by the executors.
 
 from __future__ import annotations
 
+import functools
 import os
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
@@ -96,6 +97,22 @@ def read_directory(spark: SparkSession, root: str, language: str | None = None,
     return (reader.option("language", language) if language else reader).load()
 
 
+def read_store(spark: SparkSession, root: str, language: str | None = None) -> DataFrame:
+    """path, language, content, error of all files below a folder of any store that Spark reads, listed and read by Spark.
+
+    For folders that are too large for the driver to list, or not on its disk. As with Spark's other
+    file sources, names that begin with a dot or an underscore are not seen; paths are URIs.
+    """
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
+    return from_table(files.where(_known(F.col("path"), language)), "path", "content", language)
+
+
+def _known(path: Column, language: str | None) -> Column:
+    """Does a path end with an extension of the language, or of any?"""
+    extensions = [e for n in ([language] if language else catalog.names()) for e in catalog.get(n).extensions]
+    return functools.reduce(lambda a, b: a | b, [path.endswith(e) for e in extensions])
+
+
 def read_file(spark: SparkSession, path: str, language: str | None = None) -> DataFrame:
     """One file as a row; unlike a scan, an unknown language or a file that can't be read is an error."""
     found = catalog.resolve(path, language)

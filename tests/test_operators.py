@@ -19,7 +19,7 @@ from srcgraph.plans.facts import FILES, facts, innermost, nodes
 from srcgraph.plans import store
 from srcgraph.plans.query import InvalidQuery
 from srcgraph.plans.store import forget, stored
-from srcgraph.sources.walk import from_table, read_directory, read_file, walk
+from srcgraph.sources.walk import from_table, read_directory, read_file, read_store, walk
 
 PRICES = """package shop
 
@@ -115,6 +115,13 @@ def test_walk(folder, tmp_path):
     assert list(walk(str(tmp_path / "no"))) == []
 
 
+def test_folders_of_any_store(spark, folder):
+    found = read_store(spark, f"file://{folder}")
+    assert sorted((os.path.relpath(r["path"].removeprefix("file:"), folder), r["language"]) for r in found.collect()) == [("a.go", "go"), ("b/b.go", "go"), ("c.go", "go"), ("empty.go", "go")]
+    assert read_store(spark, f"file://{folder}", "python").count() == 0
+    assert {r["name"] for r in symbols.search_name(facts(found, ("symbols",)), "Crate").collect()} == {"Crate"}
+
+
 def test_errors_don_t_stop_a_scan(spark, engine, tmp_path):
     (tmp_path / "ok.go").write_text("package p\nfunc A() {}\n")
     os.symlink(tmp_path / "nowhere.go", tmp_path / "broken.go")
