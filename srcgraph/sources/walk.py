@@ -101,7 +101,7 @@ def read_store(spark: SparkSession, root: str, language: str | None = None) -> D
     """path, language, content, error of all files below a folder of any store that Spark reads, listed and read by Spark.
 
     For folders that are too large for the driver to list, or not on its disk. As with Spark's other
-    file sources, names that begin with a dot or an underscore are not seen; paths are URIs.
+    file sources, empty files and names that begin with a dot or an underscore are not seen; paths are URIs.
     """
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
     return from_table(files.where(_known(F.col("path"), language)), "path", "content", language)
