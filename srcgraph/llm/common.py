@@ -143,7 +143,7 @@ def _forests(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             a, b = top(u), top(v)
             if a != b:
                 root[max(a, b)] = min(a, b)
-        if seen >= CHUNK:
+        if seen >= 2 * CHUNK:  # parts of a table are not of one size
             yield from flush()
             root, seen = {}, 0
     yield from flush()
@@ -152,26 +152,29 @@ def _forests(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def components(edges: DataFrame) -> DataFrame:
     """Connected components of edges(a, b): node, root (the least of the component), for nodes of edges between two.
 
-    Each task first unites the edges it has, a bounded number at once; then large-star and small-star
-    steps alternate until every node has one edge, to a node that has none. Each round is a table in
-    the shared folder; the driver only learns whether it is the last.
+    In each round tasks unite the edges, CHUNK at once, in as few tasks as that takes. If it takes
+    several, large-star and small-star steps follow, until every node has one edge, to a node that has
+    none. Each round is a table in the shared folder; the driver only learns its size and whether it is the last.
     """
     from pyspark.sql import functions as F
 
-    pair = edges.where("a <> b").select(F.col("a").alias("u"), F.col("b").alias("v"))
-    kind = pair.schema["u"].dataType.simpleString()
-    now = settled(pair.mapInArrow(_forests, f"u {kind}, v {kind}").distinct(), "edges")
+    now = edges.where("a <> b").select(F.col("a").alias("u"), F.col("b").alias("v"))
+    kind = now.schema["u"].dataType.simpleString()
+    now = settled(now, "edges")
     while True:
+        tasks = -(-now.count() // CHUNK) or 1
+        forests = now.coalesce(tasks).mapInArrow(_forests, f"u {kind}, v {kind}")
+        before, now = now, settled(forests if tasks == 1 else forests.distinct(), "edges")
+        discard(before)
         ends = now.select(F.col("u").alias("x"), F.lit(1).alias("up"), F.lit(0).alias("down")).unionByName(now.select(F.col("v").alias("x"), F.lit(0).alias("up"), F.lit(1).alias("down")))
-        open_ = ends.groupBy("x").agg(F.sum("up").alias("up"), F.max("down").alias("down")).where("up > 1 or (up > 0 and down > 0)")
-        if open_.isEmpty():
+        if tasks == 1 or ends.groupBy("x").agg(F.sum("up").alias("up"), F.max("down").alias("down")).where("up > 1 or (up > 0 and down > 0)").isEmpty():
             return now.select(F.col("u").alias("node"), F.col("v").alias("root"))
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+        # only nodes with larger neighbours pass their least one on, and only those with several need it joined
+        least = both.groupBy("u").agg(F.min("v").alias("m"), F.max("v").alias("most")).where("most > u").select("u", F.least("u", "m").alias("m"))
         large = spread_join(both.where("v > u"), least, ["u"]).select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = spread_join(large, least, ["u"])
-        small = small.select("u", F.col("m").alias("v")).unionByName(small.select(F.col("v").alias("u"), F.col("m").alias("v"))).where("u <> v")
-        # what a task has of the result is united again: long paths shorten in each round
-        before, now = now, settled(small.mapInArrow(_forests, f"u {kind}, v {kind}").distinct(), "edges")
+        least = large.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n")).where("n > 1").select("u", "m")
+        small = spread_join(large, least, ["u"], "left").withColumn("m", F.coalesce("m", "v"))
+        small = small.select("u", F.col("m").alias("v")).unionByName(small.select(F.col("v").alias("u"), F.col("m").alias("v"))).where("u <> v").distinct()
+        before, now = now, settled(small, "edges")
         discard(before)

@@ -401,8 +401,10 @@ def test_join_of_nothing(spark):
     assert prefix_join.jaccard_components(spark.createDataFrame([], SCHEMA)).count() == 0
 
 
+@pytest.mark.parametrize("chunk", [7, 200_000])
 @pytest.mark.parametrize("shape", ["path", "star", "random", "none"])
-def test_components(spark, shape):
+def test_components(spark, shape, chunk, monkeypatch):
+    monkeypatch.setattr(common, "CHUNK", chunk)
     draw = random.Random(11)
     edges = {"path": [(i, i + 1) for i in range(60)], "star": [(99, i) for i in range(40)], "random": [(draw.randrange(80), draw.randrange(80)) for _ in range(60)], "none": [(3, 3)]}[shape]
     draw.shuffle(edges)
