@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import per_text
+from .common import per_text, text_batches
 
 #: Texts above so many characters are split; white-space runs above RUN get a match of their own.
 LONG, RUN = 1 << 16, 1 << 12
@@ -84,7 +84,7 @@ def encode_documents(docs: DataFrame, path: str, pattern: str, id_col: str = "do
 
     made = {"n_tokens": pa.int64(), "ids_sha256": pa.string(), "decoded_sha256": pa.string()} | ({"ids": pa.list_(pa.int32())} if with_ids else {})
     rest = [c for c in dict.fromkeys((id_col, *keep)) if c not in made]  # a column called like a result gives way to it
-    rows = docs.select(*(docs[f"`{c}`"].alias(f"_c{i}") for i, c in enumerate(rest)), docs[f"`{text_col}`"].cast("string").alias("_text"))
+    rows = text_batches(docs).select(*(docs[f"`{c}`"].alias(f"_c{i}") for i, c in enumerate(rest)), docs[f"`{text_col}`"].cast("string").alias("_text"))
     schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema.fields[:-1]) + ", n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * with_ids
     out = rows.mapInArrow(per_text(one, list(made), list(made.values())), schema)
     return out.select(*(F.col(f"_c{i}").alias(c) for i, c in enumerate(rest)), *made)

@@ -76,6 +76,18 @@ def partitions(df: DataFrame) -> int:
     return max(1, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), df.rdd.getNumPartitions())
 
 
+#: Rows of an Arrow batch: rows are whole texts, and Spark's usual 10,000 of them would fill an executor's memory beside its heap.
+BATCH_ROWS = 1000
+
+
+def text_batches(df: DataFrame) -> DataFrame:
+    """df; its session hands texts to Python in batches of BATCH_ROWS, unless it was told another number than Spark's own."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if df.sparkSession.conf.get(name) == "10000":
+        df.sparkSession.conf.set(name, str(BATCH_ROWS))
+    return df
+
+
 def sliced(column: pa.Array, limit: int = SLICE_BYTES) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """(first row, end row, UTF-8 bytes, offsets from 0) for runs of rows with about `limit` bytes; nulls are empty."""
     column = pc.fill_null(column, "").cast(pa.large_string())

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import SLICE_BYTES, partitions, sliced
+from .common import SLICE_BYTES, partitions, sliced, text_batches
 from .words import mix
 
 WINDOW, RUN, POPULAR = 64, 64, 16
@@ -209,7 +209,7 @@ def fingerprint_neighbours(docs: DataFrame, id_col: str = "doc_id", text_col: st
     The next document is the next lower id (rows of one id by text, null ids last), after the last
     the first. One shuffle of the texts into blocks of neighbouring ids.
     """
-    docs = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    docs = text_batches(docs).select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     rows = _blocks(docs).repartition(partitions(docs), "block").sortWithinPartitions("block", "tail", F.desc("_id"), F.asc_nulls_first("text")).select("block", "tail", "doc_id", "text")
     kind = docs.schema["doc_id"].dataType.simpleString()
     names = ["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"]

@@ -39,7 +39,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import partitions, settled
+from .common import partitions, settled, text_batches
 from .prefix_join import grouped
 
 #: The lattice's probability of the end, the weight of its paths in training tokens, what base scores add to each count.
@@ -235,7 +235,7 @@ def score_documents(docs: DataFrame, path: str, id_col: str = "doc_id", text_col
     path: a SentencePiece model file.
     """
     p = partitions(docs)
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(held_out(F.col(id_col)), F.lit(False)).alias("held"), F.col(text_col).cast("string").alias("text"))
+    rows = text_batches(docs).select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(held_out(F.col(id_col)), F.lit(False)).alias("held"), F.col(text_col).cast("string").alias("text"))
     blocks = rows.mapInArrow(_blocks(p * BUCKETS_EACH), BLOCKS).repartitionById(p, F.col("bucket") % p).sortWithinPartitions("bucket")
     parts = blocks.mapInArrow(_score(path), VALUES).repartition(p, "block").sortWithinPartitions("block")
     table = settled(parts.mapInArrow(_gather, SCORES), "lm-sums")

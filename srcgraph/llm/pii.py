@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import per_text
+from .common import per_text, text_batches
 
 KINDS = ("email", "ip", "card", "phone")
 
@@ -299,7 +299,7 @@ def find_pii(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
         rows = sorted([(*s, True) for s in base] + [(*s, False) for s in added])
         return ([{"kind": KINDS[k], "start": s, "end": e, "base": b} for k, s, e, b in rows],)
 
-    rows = docs.select(F.col(id_col).alias("_id"), F.col(text_col).cast("string").alias("_text"))
+    rows = text_batches(docs).select(F.col(id_col).alias("_id"), F.col(text_col).cast("string").alias("_text"))
     out = rows.mapInArrow(per_text(one, ["finds"], [_SPAN]), f"_id {rows.schema[0].dataType.simpleString()}, finds {SPAN}")
     return out.withColumnRenamed("_id", id_col)
 
@@ -307,11 +307,11 @@ def find_pii(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
 def redact_pii(docs: DataFrame, text_col: str = "text", length_col: str | None = "n_chars") -> DataFrame:
     """docs with its texts redacted and, if given, their lengths renewed; a null text stays null."""
     rest = [c for c in docs.columns if c != text_col]
-    carried = docs.select(*(docs[f"`{c}`"].alias(f"_c{i}") for i, c in enumerate(rest)), docs[f"`{text_col}`"].cast("string").alias("_text"))
-    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in carried.schema.fields[:-1]) + ", _kept string, _text string"
-    shaped = carried.select(*carried.columns[:-1], F.col("_text").alias("_kept"), "_text")
+    carried = text_batches(docs).select(*(docs[f"`{c}`"].alias(f"_c{i}") for i, c in enumerate(rest)), docs[f"`{text_col}`"].cast("string").alias("_text"))
+    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in carried.schema.fields[:-1]) + ", _none boolean, _text string"
+    shaped = carried.select(*carried.columns[:-1], F.col("_text").isNull().alias("_none"), "_text")
     made = shaped.mapInArrow(per_text(lambda text: (redact(text),), ["_text"], [pa.string()]), schema)
-    text = F.when(F.col("_kept").isNotNull(), F.col("_text"))
+    text = F.when(~F.col("_none"), F.col("_text"))
     place = {c: F.col(f"_c{i}") for i, c in enumerate(rest)} | {text_col: text}
     if length_col in place:
         place[length_col] = F.coalesce(F.length(text).cast(docs.schema[length_col].dataType), place[length_col])

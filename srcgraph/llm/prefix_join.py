@@ -37,7 +37,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, partitions, settled, sliced, spread_join
+from .common import components, partitions, settled, sliced, spread_join, text_batches
 from .words import BASE, Words, mix, windows
 
 #: Documents of a block (a token's documents are bytes), buckets for each partition.
@@ -387,7 +387,7 @@ def _links(placed: DataFrame, sets: DataFrame, percent: int, p: int) -> DataFram
 def jaccard_components(docs: DataFrame, n: int = 4, percent: int = 85, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_shingles, component_id for every row of docs."""
     p = partitions(docs)
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    rows = text_batches(docs).select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     blocks = rows.mapInArrow(_blocks(n, p * BUCKETS_EACH), BLOCKS).repartitionById(p, F.col("bucket") % p).sortWithinPartitions("bucket")
     shared = blocks.mapInArrow(_count, SHARED).repartition(p, "block").sortWithinPartitions("block")
     table = settled(shared.mapInArrow(_prefixes(percent), DOCS), "ngram-sets")

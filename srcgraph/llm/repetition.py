@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import sliced
+from .common import sliced, text_batches
 from .words import Words, mix, windows
 
 #: Limits on the share of word characters within repeated n-grams, as published rules for web pages have them.
@@ -121,7 +121,7 @@ def score_repetition(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
                 yield pa.RecordBatch.from_arrays(head + [pa.array(made[c], t) for c, t in COLUMNS.items()], names=batch.schema.names[:-1] + list(COLUMNS))
 
     carried = [F.col(id_col).alias("_c0"), *(F.col(c).alias(f"_c{i}") for i, c in enumerate(keep, 1))]
-    rows = docs.select(*carried, F.col(text_col).cast("string").alias("_text"))
+    rows = text_batches(docs).select(*carried, F.col(text_col).cast("string").alias("_text"))
     schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema.fields[:-1]) + ", " + SCHEMA
     out = rows.mapInArrow(run, schema)
     return out.select(F.col("_c0").alias(id_col), *(F.col(f"_c{i}").alias(c) for i, c in enumerate(keep, 1)), *COLUMNS)

@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import per_text
+from .common import per_text, text_batches
 
 KINDS = ("assign", "access", "hex")
 
@@ -307,7 +307,7 @@ def harvest(docs: DataFrame, bound: int = HARVEST, text_col: str = "text") -> li
         rows = [(kind, h, words[h]) for kind, words in kept.items() for h in sorted(words)[:bound]]
         yield pa.RecordBatch.from_arrays([pa.array(c, pa.string()) for c in (zip(*rows, strict=True) if rows else ((), (), ()))], names=["kind", "h", "word"])
 
-    found = docs.select(F.col(text_col).cast("string")).mapInArrow(run, "kind string, h string, word string").distinct()
+    found = text_batches(docs).select(F.col(text_col).cast("string")).mapInArrow(run, "kind string, h string, word string").distinct()
     nth = F.row_number().over(Window.partitionBy("kind").orderBy("h"))
     return sorted((f"found_{r['kind']}", r["word"]) for r in found.withColumn("nth", nth).where(F.col("nth") <= bound).collect())
 
@@ -323,6 +323,6 @@ def scan_secrets(docs: DataFrame, model: dict[str, Automaton] | None = None, thr
     def one(text: str) -> tuple:
         return ([{"kind": k, "start": s, "end": e, "base": b, "score": r} for s, e, k, b, r in find(text, model, threshold)],)
 
-    rows = docs.select(F.col(id_col).alias("_id"), F.col(text_col).cast("string").alias("_text"))
+    rows = text_batches(docs).select(F.col(id_col).alias("_id"), F.col(text_col).cast("string").alias("_text"))
     out = rows.mapInArrow(per_text(one, ["finds"], [_FINDS]), f"_id {rows.schema[0].dataType.simpleString()}, finds {FINDS}")
     return out.withColumnRenamed("_id", id_col)
