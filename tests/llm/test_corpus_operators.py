@@ -528,6 +528,18 @@ def test_packed_pairs_come_back(rows):
     assert sorted(map(tuple, back.tolist())) == sorted(map(tuple, x.tolist()))
 
 
+def test_parts_that_compress_to_their_own_length_come_back():
+    draw, types, ties = np.random.default_rng(0), {"a": "<i8", "x": "<u4"}, 0
+    for _ in range(20_000):
+        n = int(draw.integers(1, 60))
+        x = {"a": np.cumsum(draw.integers(0, 1 << int(draw.integers(1, 40)), n)), "x": draw.integers(0, 1 << int(draw.integers(1, 32)), n).astype(np.uint32)}
+        blob = compact_windows.pack(x, types)
+        ties += len(blob) == 8 + 12 * n
+        back = compact_windows.unpack(blob, types)
+        assert all(np.array_equal(back[c], x[c]) for c in types)
+    assert ties
+
+
 def test_an_equal_run_is_found_at_any_shift():
     draw = np.random.default_rng(1)
     x = draw.integers(1, 1 << 31, 60).astype("<u4")
