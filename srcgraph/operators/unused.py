@@ -8,6 +8,9 @@ a name's length are looked up by hash, an equi-join. Names of several runs are c
 that hold one of their runs, the rarest; a run at a name's edge may be the end of a longer one.
 
 A long run is taken in stretches of STRETCH characters, so no row holds all pieces of one.
+
+Names, runs and texts grow with the corpus, so they meet by sort and merge: a table of names that is
+small as it is shuffled, compressed, would fill the driver as a broadcast. Only sets of lengths are sent to all.
 """
 
 from __future__ import annotations
@@ -53,27 +56,27 @@ def unused_symbols(facts: DataFrame, files: DataFrame, limit: int = 0) -> DataFr
     counts = text.select(F.explode(_runs(F.col("content"))).alias("run")).groupBy("run").agg(F.count("*").alias("n"))
 
     plain = declared.where(F.col("d.name").rlike(f"^(?:{_RUN})$"))
-    exact = plain.join(counts, F.col("name") == F.col("run"), "left").select("name", "d", F.coalesce("n", F.lit(0)).alias("n")).where("n <= 1")
+    exact = plain.join(counts.hint("merge"), F.col("name") == F.col("run"), "left").select("name", "d", F.coalesce("n", F.lit(0)).alias("n")).where("n <= 1")
     pieces = _pieces(counts, exact.agg(F.collect_set(F.length("name")).alias("lengths")))
     # most pieces are no names: hashes sort that out, and only names that are within runs meet their runs again
-    inner = exact.select("name", F.xxhash64("name").alias("h")).join(pieces.select(F.xxhash64("name").alias("h")), "h", "left_semi").select("name")
-    within = pieces.join(inner, "name").distinct().groupBy("name").agg(F.sum(F.col("n") * occurrences(F.col("run"), F.col("name"))).alias("more"))
-    once = exact.join(within, "name", "left").where("n + coalesce(more, 0) = 1").select("name", "d")
+    inner = exact.select("name", F.xxhash64("name").alias("h")).join(pieces.select(F.xxhash64("name").alias("h")).hint("merge"), "h", "left_semi").select("name")
+    within = pieces.join(inner.hint("merge"), "name").distinct().groupBy("name").agg(F.sum(F.col("n") * occurrences(F.col("run"), F.col("name"))).alias("more"))
+    once = exact.join(within.hint("merge"), "name", "left").where("n + coalesce(more, 0) = 1").select("name", "d")
 
     # names of several runs: each run of a name with the number of runs like it; the rarest one leads to the files
     other = declared.where(~F.col("d.name").rlike(f"^(?:{_RUN})$"))
     named = other.select("name", F.explode(F.array_distinct(_runs(F.col("name")))).alias("run"))
-    rare = named.join(counts, "run", "left").groupBy("name").agg(F.min_by("run", F.struct(F.coalesce("n", F.lit(0)), F.col("run"))).alias("anchor"))
+    rare = named.join(counts.hint("merge"), "run", "left").groupBy("name").agg(F.min_by("run", F.struct(F.coalesce("n", F.lit(0)), F.col("run"))).alias("anchor"))
     held = text.select("path", F.explode(F.array_distinct(_runs(F.col("content")))).alias("run"))
-    whole = rare.join(held, F.col("run") == F.col("anchor")).select("name", "path")
+    whole = rare.join(held.hint("merge"), F.col("run") == F.col("anchor")).select("name", "path")
     # the beginnings and ends of longer runs
     sizes = rare.agg(F.coalesce(F.collect_set(F.length("anchor")), F.array().cast("array<int>")).alias("lengths"))
     edge = F.flatten(F.transform(F.filter("lengths", lambda l: l < F.length("run")), lambda l: F.array(F.substring("run", F.lit(1), l), F.substring("run", F.length("run") - l + 1, l))))
     ends = held.crossJoin(F.broadcast(sizes)).select("path", F.explode(F.array_distinct(edge)).alias("anchor"))
-    partial = rare.join(ends, "anchor").select("name", "path")
+    partial = rare.join(ends.hint("merge"), "anchor").select("name", "path")
     places = whole.unionByName(partial).distinct()
-    counted = places.join(text, "path").groupBy("name").agg(F.sum(occurrences(F.col("content"), F.col("name"))).alias("n"))
-    odd = other.join(counted, "name").where("n = 1").select("name", "d")
+    counted = places.join(text.hint("merge"), "path").groupBy("name").agg(F.sum(occurrences(F.col("content"), F.col("name"))).alias("n"))
+    odd = other.join(counted.hint("merge"), "name").where("n = 1").select("name", "d")
 
     found = once.unionByName(odd)
     if limit > 0:

@@ -274,6 +274,14 @@ def test_unused_counts_text(spark):
     assert found == {n for n in declared if everything.count(n) == 1}
 
 
+def test_unused_sends_no_names_to_the_driver(spark):
+    source = "package p\n" + "".join(f"func name_{k:06d}() {{\n}}\n" for k in range(300))
+    files = spark.createDataFrame([("a.go", "go", bytearray(source.encode())), ("b.yaml", "yaml", bytearray(b"some key: 1\nother: name_000007x\n"))], FILES)
+    found = unused.unused_symbols(facts(files), files)
+    assert {f"name_{k:06d}" for k in range(300) if k != 7} | {"some key", "other"} == {r["name"] for r in found.collect()}
+    assert "BroadcastHashJoin" not in found._jdf.queryExecution().executedPlan().toString()
+
+
 def test_query(engine, folder):
     assert [r["captures"][0]["text"] for r in engine.query_ast_file(f"{folder}/b/b.go", "(pointer_type (type_identifier) @t)").rows] == ["Crate", "Crate"]
     assert len(engine.query_ast_file(f"{folder}/b/b.go", "(identifier) @i", limit=1).rows) == 1
