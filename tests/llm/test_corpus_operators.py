@@ -507,6 +507,28 @@ def test_near_passages_are_found_as_brute_force_finds_them(spark):
     assert whole >= 54
 
 
+def test_near_passages_are_found_among_documents_that_share_one_half(spark):
+    """40 pairs of a passage: half of it is the same in all, a changed word, and half that the pair alone has."""
+    draw = random.Random(1)
+    half = prose(draw, 25)
+    rows = []
+    for k in range(40):
+        own = prose(draw, 32)
+        rows += [(k + 40 * side, prose(draw, 60) + f" {half} changed{side} {own} " + prose(draw, 60), "s") for side in (0, 1)]
+    out = {r["doc_id"]: r["class_id"] for r in compact_windows.repeated_passages(spark.createDataFrame(rows, SCHEMA)).collect()}
+    assert all(out[i] == i % 40 for i in out)
+    assert len(out) >= 76
+
+
+@settings(max_examples=100, deadline=None)
+@given(st.lists(st.integers(0, 6), max_size=12))
+def test_each_is_paired_with_each(sizes):
+    starts = np.concatenate(([0], np.cumsum(sizes)[:-1])).astype(np.int64)[: len(sizes)]
+    i, j = compact_windows.each_with_each(starts, np.array(sizes, np.int64))
+    want = [p for s, n in zip(starts.tolist(), sizes, strict=True) for p in itertools.combinations(range(s, s + n), 2)]
+    assert sorted(zip(i.tolist(), j.tolist(), strict=True)) == want
+
+
 def test_equal_windows_are_sent_a_few_times_only():
     draw = random.Random(3)
     passage = prose(draw, 120)
